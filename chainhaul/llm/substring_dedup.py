@@ -1,8 +1,8 @@
 """Removal of repeated passages by seeds and extension.
 
 Seeds: every run of ``LENGTH`` words holds a winnowed anchor, the ``SEED``-word
-gram with the least hash among its ``LENGTH - SEED + 1`` grams.  Equal runs hold
-equal anchors, so a run can only repeat if one of its anchors occurs twice.
+gram with the least hash among its ``LENGTH - SEED + 1`` grams (every one that
+ties).  Equal runs hold equal anchors, so a run can only repeat if one of its anchors occurs twice.
 Documents are joined on anchors through their counts: a group of m occurrences
 costs m rows, never m * m pairs.  Extension: around each repeated anchor the
 document is extended both ways to all runs of ``LENGTH`` words that hold the
@@ -33,19 +33,26 @@ SEED = 16
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string, spans array<struct<first:int,last:int>>"
 
 
-def winnow(grams: np.ndarray, valid: np.ndarray, width: int) -> np.ndarray:
-    """Places of the least gram in each run of ``width`` grams that begins at a valid place."""
-    bits = np.uint64(max(5, (width - 1).bit_length()))
-    low = np.uint64((1 << int(bits)) - 1)
-    at = np.arange(len(grams)).astype(np.uint64)
-    least = (grams & ~low) | (at & low)
+def _slide(values: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
+    """Least or greatest of each ``width`` consecutive values."""
     done = 1
     while done < width:
         step = min(done, width - done)
-        least = np.minimum(least[:-step], least[step:]) if len(least) > step else least[:0]
+        values = pick(values[:-step], values[step:])
         done += step
-    valid = valid[valid < len(least)]
-    return np.unique(valid + ((least[valid] & low).astype(np.int64) - valid) % (1 << int(bits)))
+    return values
+
+
+def winnow(grams: np.ndarray, valid: np.ndarray, width: int) -> np.ndarray:
+    """Places of the least grams, all that tie, in each run of ``width`` grams that begins at a valid place.
+
+    A place is one if its gram equals the greatest of the least grams of the runs around it.
+    """
+    if not len(valid):
+        return valid
+    least = np.zeros(len(grams) + width - 1, dtype=np.uint64)
+    least[valid + width - 1] = _slide(grams, width, np.minimum)[valid]
+    return np.flatnonzero(_slide(least, width, np.maximum) == grams)
 
 
 def _anchors(batches: Iterator[pa.RecordBatch], length: int, seed: int) -> Iterator[pa.RecordBatch]:
