@@ -10,8 +10,8 @@ anchor; runs met again, anywhere, are repeats, and the union of overlapping
 repeats of a document is its maximal repeats of at least ``LENGTH`` words.
 
 Rows and cases: a null, empty or short text has no run and loses nothing.  A
-run repeated inside one document counts.  Repeated rows are copies of each
-other, so all their runs repeat.  Runs are judged on the input alone.  Extra
+run repeated inside one document counts.  Documents of equal text are one in
+the search, and all their runs repeat.  Runs are judged on the input alone.  Extra
 columns are dropped.  Equal runs always meet; different ones are taken as equal
 with a chance of about 2**-64 a pair.
 """
@@ -68,7 +68,7 @@ def _anchors(batches: Iterator[pa.RecordBatch], length: int, seed: int) -> Itera
 
 def _extend(batches: Iterator[pa.RecordBatch], length: int, seed: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        doc, lists = batch.column(0), batch.column(3)
+        doc, lists, weight = batch.column(0), batch.column(3), batch.column(4)
         ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
         for c in chunks(batch.column(2)):
             first, last = ends[c.first], ends[c.first + c.rows]
@@ -81,7 +81,8 @@ def _extend(batches: Iterator[pa.RecordBatch], length: int, seed: int) -> Iterat
             if len(starts):
                 row = np.searchsorted(c.woffs, starts, "right") - 1
                 h = gram_hashes(c.word_hashes(), length)[starts]
-                yield pa.RecordBatch.from_arrays([pa.array(as_long(h)), doc.take(pa.array(c.first + row)), pa.array((starts - c.woffs[row]).astype(np.int32))], names=["run", "doc", "at"])
+                rows = pa.array(c.first + row)
+                yield pa.RecordBatch.from_arrays([pa.array(as_long(h)), doc.take(rows), pa.array((starts - c.woffs[row]).astype(np.int32)), weight.take(rows)], names=["run", "doc", "at", "weight"])
 
 
 def _remove(batches: Iterator[pa.RecordBatch], length: int, texts: bool) -> Iterator[pa.RecordBatch]:
@@ -107,18 +108,21 @@ def _remove(batches: Iterator[pa.RecordBatch], length: int, texts: bool) -> Iter
         yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.string()), pa.array(spans, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])))], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept", "spans"])
 
 
-def _repeated(found: DataFrame, key: str) -> DataFrame:
+def _repeated(found: DataFrame, key: str, times) -> DataFrame:
     """doc and the places of its occurrences whose key occurs twice or more."""
-    twice = found.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(F.col(key).alias("k"))
+    twice = found.groupBy(key).agg(times.alias("n")).where("n > 1").select(F.col(key).alias("k"))
     return found.join(twice, F.col(key) == F.col("k")).groupBy("doc").agg(F.collect_list("at").alias("places"))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, texts: bool = True) -> DataFrame:
     """One row a document: word counts, the digest of what is kept, and with ``texts`` that text and the removed spans."""
-    # rows are told apart by id and text: copies of both are repeats of each other
-    docs = docs.select(F.xxhash64(F.col("doc_id"), F.col("text")).alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.xxhash64("text").alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    copies = docs.groupBy("doc").agg(F.min("doc_id").alias("low"), F.least(F.count("*"), F.lit(2)).cast("int").alias("weight")).withColumnRenamed("doc", "d")
     anchors = docs.select("doc", "text").mapInArrow(lambda it: _anchors(it, length, seed), "anchor long, doc long, at int")
-    seeds = _repeated(anchors, "anchor").withColumnRenamed("doc", "d")
-    runs = docs.join(seeds, F.col("doc") == F.col("d")).select("doc", "doc_id", "text", "places").mapInArrow(lambda it: _extend(it, length, seed), "run long, doc long, at int")
-    repeats = _repeated(runs, "run").withColumnRenamed("doc", "d")
+    seeds = _repeated(anchors, "anchor", F.count("*"))
+    seeds = seeds.join(copies, F.col("doc") == F.col("d")).select("d", "places", "low", "weight")
+    # of copies one is extended, and counts for two
+    runs = docs.join(seeds, (F.col("doc") == F.col("d")) & F.col("doc_id").eqNullSafe(F.col("low"))).select("doc", "doc_id", "text", "places", "weight")
+    runs = runs.mapInArrow(lambda it: _extend(it, length, seed), "run long, doc long, at int, weight int")
+    repeats = _repeated(runs, "run", F.sum("weight")).withColumnRenamed("doc", "d")
     return docs.join(repeats, F.col("doc") == F.col("d"), "left").select("doc", "doc_id", "text", "places").mapInArrow(lambda it: _remove(it, length, texts), SCHEMA)
