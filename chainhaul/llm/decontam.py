@@ -189,5 +189,5 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFr
 def clean(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
     """The documents that leak no item, all columns."""
     key = F.xxhash64(F.col("doc_id"), F.col("text"))
-    bad = cut(_leaking(_matches(docs.select(key.alias("id"), "text"), benchmark), share).select("id").distinct())
-    return docs.join(bad, key == F.col("id"), "left_anti")
+    bad = cut(_leaking(_matches(docs.select(key.alias("id"), "text"), benchmark), share).select(F.col("id").alias("__leaking")).distinct())
+    return docs.join(bad, key == F.col("__leaking"), "left_anti")

@@ -314,8 +314,8 @@ def representatives(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     a doc_id; of rows that share a doc_id one stays.
     """
     linked = link(docs.where("doc_id is not null"), words, percent)
-    kept = cut(linked.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct())
-    named = docs.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
+    kept = cut(linked.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct())
+    named = docs.join(kept, F.col("doc_id") == F.col("__kept"), "left_semi").dropDuplicates(["doc_id"])
     return named.unionByName(docs.where("doc_id is null"))
 
 
