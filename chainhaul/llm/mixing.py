@@ -22,6 +22,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Hash digits (of 4 bits) used by each level of the histogram.
 LEVELS = (3, 3, 3, 3)
 MOST_TIMES = 3
+#: Sources whose plan is broadcast; more are joined by a shuffle, to the same result.
+SMALL = 50_000
 WEIGHTS = (1, 2, 3)
 
 
@@ -97,5 +99,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_TI
     goals = cut(targets(sizes, weights, most)).select(F.col("source").alias("g"), "source_size", "target", "reps", "rest")
     edges = thresholds(sizes, goals.withColumnRenamed("g", "source")).withColumnRenamed("source", "e")
     plan = goals.join(edges, F.col("g").eqNullSafe(F.col("e")), "left")
+    if goals.count() <= SMALL:  # one row a source: its size is known here
+        plan = F.broadcast(plan)
     extra = F.when(F.col("place") < F.col("edge"), 1).otherwise(0)
     return sizes.join(plan, F.col("source").eqNullSafe(F.col("g"))).select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.least(F.lit(most).cast("long"), F.col("reps") + extra)).alias("taken"))
