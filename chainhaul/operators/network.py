@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sample import numbered
+
 
 def arcs(acts: DataFrame) -> DataFrame:
     """Consecutive activities of a chain that both have a facility, counted."""
@@ -100,9 +102,10 @@ def artificial_edges(mx: DataFrame, seed: int = 0) -> DataFrame:
     deg = degrees(mx)
     odd = deg.where("in_degree = 0 or out_degree = 0").select("id", (F.col("in_degree") == 0).alias("source"))
     n = ends(mx).count()
-    place = Window.orderBy("id")
-    numbered = ends(mx).select(F.col("id").alias("partner"), (F.row_number().over(place) - 1).cast("long").alias("nth"))
+    partners = numbered(ends(mx), ["id"]).withColumnRenamed("id", "partner")
     drawn = odd.withColumn("nth", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(max(n, 1))))
-    both = drawn.join(numbered, "nth").where("id <> partner")
+    # who draws itself takes the next
+    drawn = drawn.join(partners, "nth").withColumn("nth", F.when(F.col("id") == F.col("partner"), (F.col("nth") + 1) % max(n, 1)).otherwise(F.col("nth"))).drop("partner")
+    both = drawn.join(partners, "nth").where("id <> partner")
     o, d = F.when(F.col("source"), F.col("partner")).otherwise(F.col("id")), F.when(F.col("source"), F.col("id")).otherwise(F.col("partner"))
     return both.select(o.alias("o_id"), d.alias("d_id"), F.lit("dummy").alias("o_type"), F.lit("dummy").alias("d_type"), F.lit(1).cast("long").alias("weight"))

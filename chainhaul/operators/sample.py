@@ -13,18 +13,43 @@ def uniform(key: Column, seed: int) -> Column:
     return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
+#: Cells that running shares and draws meet in.
+CELLS = 1000
+
+
+def shares(weights: DataFrame, group: list[str], key: str) -> DataFrame:
+    """group..., key, low and high: the interval of running shares that each key fills, in key order.
+
+    Without a group, keys are summed by their first characters and then inside
+    those, so that no task holds them all.
+    """
+    rows = weights.where("weight > 0")
+    if not group:
+        rows = rows.withColumn("_head", F.substring(F.col(key).cast("string"), 1, 3))
+        heads = rows.groupBy("_head").agg(F.sum("weight").alias("_own"))
+        order = Window.orderBy("_head").rowsBetween(Window.unboundedPreceding, -1)
+        heads = heads.select(F.col("_head").alias("_h"), F.coalesce(F.sum("_own").over(order), F.lit(0)).alias("_before"), F.sum("_own").over(Window.partitionBy()).alias("_total"))
+        rows = rows.join(heads, F.col("_head") == F.col("_h"))
+        by = Window.partitionBy("_head")
+    else:
+        by = Window.partitionBy(*group)
+        rows = rows.withColumn("_before", F.lit(0)).withColumn("_total", F.sum("weight").over(by))
+    upto = F.sum("weight").over(by.orderBy(key).rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("_upto", F.col("_before") + upto)
+    return rows.select(*group, F.col(key).alias("_key"), ((F.col("_upto") - F.col("weight")) / F.col("_total")).alias("_low"), (F.col("_upto") / F.col("_total")).alias("_high"))
+
+
 def pick(weights: DataFrame, draws: DataFrame, group: list[str], key: str) -> DataFrame:
     """For each draw (group..., u): the first key, in order, whose running share of the group's weight reaches u.
 
-    Draws of a group meet its keys in an equi-join; the least key that
-    satisfies is kept, so nothing is gathered.  Groups without weight give no row.
+    Intervals of shares and draws meet in cells, by an equi-join; a draw lies
+    in one interval.  Groups without weight give no row.
     """
-    by = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
-    rows = weights.where("weight > 0").withColumn("_cum", F.sum("weight").over(by.orderBy(key).rowsBetween(Window.unboundedPreceding, 0)) / F.sum("weight").over(by))
-    rows = rows.select(*group, F.col(key).alias("_key"), "_cum")
-    met = draws.join(rows, group) if group else draws.crossJoin(rows)
-    cols = draws.columns
-    return met.where(F.col("_cum") >= F.col("u")).groupBy(*cols).agg(F.min("_key").alias(key))
+    cell = lambda v: F.greatest(F.least(F.floor(v * CELLS), F.lit(CELLS - 1)), F.lit(0)).cast("int")
+    rows = shares(weights, group, key).withColumn("_cell", F.explode(F.sequence(cell(F.col("_low")), cell(F.col("_high")))))
+    met = draws.withColumn("_cell", cell(F.col("u"))).join(rows, [*group, "_cell"])
+    first = (F.col("_low") == 0) & (F.col("u") <= 0)
+    return met.where((F.col("u") <= F.col("_high")) & ((F.col("u") > F.col("_low")) | first)).select(*draws.columns, F.col("_key").alias(key))
 
 
 def bernoulli(vehicles: DataFrame, fraction: float, seed: int) -> DataFrame:
@@ -46,8 +71,8 @@ def destinations(mx: DataFrame, draws: DataFrame) -> DataFrame:
 
 def start_nodes(pd: DataFrame, draws: DataFrame) -> DataFrame:
     """draws: id, u. By source weight, in id order."""
-    weights = pd.where((F.col("prev_id") == SOURCE) & (F.col("next_id") != UNKNOWN)).groupBy("node_id").agg(F.sum("weight").alias("weight")).withColumn("g", F.lit(1))
-    return pick(weights, draws.withColumn("g", F.lit(1)), ["g"], "node_id").select("id", "node_id")
+    weights = pd.where((F.col("prev_id") == SOURCE) & (F.col("next_id") != UNKNOWN)).groupBy("node_id").agg(F.sum("weight").alias("weight"))
+    return pick(weights, draws, [], "node_id").select("id", "node_id")
 
 
 def start_hours(starts: DataFrame, draws: DataFrame) -> DataFrame:
@@ -89,18 +114,17 @@ def inverse_cdf(u: Column, deciles: list[float]) -> Column:
     return F.when(u.between(0, 1), low + (u * 10 - k) * (high - low))
 
 
-def bootstrap(chains: DataFrame, n: int, seed: int) -> DataFrame:
-    """n draws with replacement from (vehicle_id, chain_seq): draw, vehicle_id, chain_seq.
+def numbered(rows: DataFrame, keys: list[str], buckets: int = 64) -> DataFrame:
+    """rows with nth, from 0: numbered inside hash buckets, which running totals (a row a bucket) put end to end."""
+    by = Window.partitionBy("_bucket").orderBy(*keys)
+    rows = rows.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+    sizes = rows.groupBy("_bucket").agg(F.count("*").alias("size"))
+    before = sizes.select("_bucket", F.coalesce(F.sum("size").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return rows.withColumn("nth", F.row_number().over(by) - 1).join(F.broadcast(before), "_bucket").withColumn("nth", F.col("_before") + F.col("nth")).drop("_bucket", "_before")
 
-    Chains are numbered by partition sizes and order inside hash partitions;
-    draws are numbers, joined.
-    """
-    spark = chains.sparkSession
-    by = Window.partitionBy("bucket").orderBy("vehicle_id", "chain_seq")
-    rows = chains.withColumn("bucket", F.pmod(F.xxhash64("vehicle_id", "chain_seq"), F.lit(64)).cast("int"))
-    sizes = rows.groupBy("bucket").agg(F.count("*").alias("size"))  # at most 64 rows
-    before = sizes.withColumn("before", F.coalesce(F.sum("size").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("size")
-    numbered = rows.withColumn("nth", F.row_number().over(by) - 1).join(F.broadcast(before), "bucket").select("vehicle_id", "chain_seq", (F.col("before") + F.col("nth")).alias("nth"))
-    total = sizes.agg(F.sum("size")).first()[0] or 0
-    draws = spark.range(n).select(F.col("id").alias("draw"), F.floor(uniform(F.col("id"), seed) * total).alias("nth"))
-    return draws.join(numbered, "nth").select("draw", "vehicle_id", "chain_seq")
+
+def bootstrap(chains: DataFrame, n: int, seed: int) -> DataFrame:
+    """n draws with replacement from (vehicle_id, chain_seq): draw, vehicle_id, chain_seq; draws are numbers, joined."""
+    total = chains.count()
+    draws = chains.sparkSession.range(n).select(F.col("id").alias("draw"), F.floor(uniform(F.col("id"), seed) * total).alias("nth"))
+    return draws.join(numbered(chains, ["vehicle_id", "chain_seq"]), "nth").select("draw", "vehicle_id", "chain_seq")

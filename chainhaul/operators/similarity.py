@@ -44,43 +44,37 @@ def position_dissimilarity(acts: DataFrame, penalty: float) -> DataFrame:
     return out.select("vehicle_id", "chain_1", "chain_2", score.cast("double").alias("dissimilarity"))
 
 
-def _strips(points: np.ndarray, d: float, xs: np.ndarray) -> list[np.ndarray]:
-    """At each x, the union of y intervals within d of the path."""
-    found: list[list[tuple[float, float]]] = [[] for _ in xs]
-    for a, b in zip(points[:-1] if len(points) > 1 else points, points[1:] if len(points) > 1 else points, strict=True):
-        for k, x in enumerate(xs):
-            span = []
-            for c in (a, b):
-                if abs(x - c[0]) <= d:
-                    h = np.sqrt(d * d - (x - c[0]) ** 2)
-                    span += [c[1] - h, c[1] + h]
-            ab = b - a
-            n = np.hypot(*ab)
-            if n > 0 and abs(ab[0]) > 1e-12 * n:
-                t = (x - a[0]) / ab[0]
-                # the band around the segment, where its edges cross this x
-                off = d * n / abs(ab[0])
-                y = a[1] + t * ab[1]
-                for sign in (-1, 1):
-                    foot = a + np.array([-ab[1], ab[0]]) / n * d * sign
-                    u = (x - foot[0]) / ab[0]
-                    if 0 <= u <= 1:
-                        span.append(y + sign * off * np.sign(ab[0]))
-            elif n > 0 and abs(x - a[0]) <= d:
-                span += [min(a[1], b[1]), max(a[1], b[1])]
-            if span:
-                found[k].append((min(span), max(span)))
-    return [np.array(_union(f)) for f in found]
-
-
-def _union(spans: list[tuple[float, float]]) -> list[tuple[float, float]]:
-    out: list[tuple[float, float]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], b))
-        else:
-            out.append((a, b))
-    return out
+def _spans(points: np.ndarray, d: float, xs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(low, high): the y interval within d of each leg (rows) at each x (columns); low > high where there is none."""
+    a = points[:-1] if len(points) > 1 else points
+    b = points[1:] if len(points) > 1 else points
+    low, high = np.full((len(a), len(xs)), np.inf), np.full((len(a), len(xs)), -np.inf)
+    for c in (a, b):
+        h = d * d - (xs - c[:, :1]) ** 2
+        reach = h >= 0
+        h = np.sqrt(np.maximum(h, 0))
+        low = np.where(reach, np.minimum(low, c[:, 1:] - h), low)
+        high = np.where(reach, np.maximum(high, c[:, 1:] + h), high)
+    step = b - a
+    n = np.hypot(step[:, 0], step[:, 1])[:, None]
+    normal = np.stack([-step[:, 1], step[:, 0]], axis=1) / np.maximum(n, 1e-300)
+    for sign in (-d, d):  # the two edges of the band around a leg, where they cross x
+        foot = a + normal * sign
+        with np.errstate(divide="ignore", invalid="ignore"):
+            u = (xs - foot[:, :1]) / step[:, :1]
+            y = foot[:, 1:] + u * step[:, 1:]
+        on = (n > 0) & (np.abs(step[:, :1]) > 1e-12 * n) & (u >= 0) & (u <= 1)
+        low, high = np.where(on, np.minimum(low, y), low), np.where(on, np.maximum(high, y), high)
+    return low, high
+
+
+def _covered(low: np.ndarray, high: np.ndarray) -> float:
+    """Total length of the union of intervals, summed over columns."""
+    order = np.argsort(low, axis=0)
+    low, high = np.take_along_axis(low, order, 0), np.take_along_axis(high, order, 0)
+    upto = np.maximum.accumulate(high, axis=0)
+    before = np.vstack([np.full((1, low.shape[1]), -np.inf), upto[:-1]])
+    return float(np.maximum(high - np.maximum(low, before), 0, where=np.isfinite(high), out=np.zeros_like(high)).sum())
 
 
 def overlap(p: np.ndarray, q: np.ndarray, d: float, steps: int = 400) -> float:
@@ -88,12 +82,8 @@ def overlap(p: np.ndarray, q: np.ndarray, d: float, steps: int = 400) -> float:
     both = np.concatenate([p, q])
     lo, hi = both[:, 0].min() - d, both[:, 0].max() + d
     xs = lo + (np.arange(steps) + 0.5) * (hi - lo) / steps
-    size = lambda spans: sum(b - a for a, b in spans)
-    a1 = a2 = u = 0.0
-    for s, t in zip(_strips(p, d, xs), _strips(q, d, xs), strict=True):
-        a1 += size(s)
-        a2 += size(t)
-        u += size(_union([*map(tuple, s), *map(tuple, t)]))
+    s, t = _spans(p, d, xs), _spans(q, d, xs)
+    a1, a2, u = _covered(*s), _covered(*t), _covered(np.vstack([s[0], t[0]]), np.vstack([s[1], t[1]]))
     return (a1 + a2 - u) / u if u else 0.0
 
 

@@ -516,7 +516,7 @@ def pd_end_pick(spark, sf):
 
 
 @query(build(f"""SELECT o_orderkey id, 's' || (o_orderkey % 120) node_id, CAST(split_part(min(s), ',', 1) AS INT) AS \"hour\", CAST(split_part(min(s), ',', 2) AS BIGINT) activities FROM orders JOIN (
-    SELECT node_id, s, sum(w) OVER (PARTITION BY node_id ORDER BY s) / sum(w) OVER (PARTITION BY node_id) cum FROM (SELECT node_id, CAST(hour AS VARCHAR) || ',' || CAST(activities AS VARCHAR) s, \"count\" w FROM starts)) c ON c.node_id = 's' || (o_orderkey % 120) AND cum >= {U} GROUP BY 1, 2""", "starts"))
+    SELECT node_id, s, sum(w) OVER (PARTITION BY node_id ORDER BY s) / sum(w) OVER (PARTITION BY node_id) cum FROM (SELECT node_id, CAST(\"hour\" AS VARCHAR) || ',' || CAST(activities AS VARCHAR) s, \"count\" w FROM starts)) c ON c.node_id = 's' || (o_orderkey % 120) AND cum >= {U} GROUP BY 1, 2""", "starts"))
 def pd_start_hour_pick(spark, sf):
     draws = _draws(spark, sf).withColumn("node_id", F.concat(F.lit("s"), F.col("id") % 120))
     return sample.start_hours(pathnet.starts(A.order_acts(spark, sf)), draws)
@@ -555,10 +555,10 @@ def cluster_points(spark, sf):
 
 @query(None)
 def dj_cluster(spark, sf):
-    return cluster.cluster(cluster_points(spark, sf), 16.6, 5)
+    return cluster.cluster(cluster_points(spark, sf), 30.0, 4)
 
 
 @query(None)
 def concave_hull(spark, sf):
-    out = cluster.facilities(cluster.cluster(cluster_points(spark, sf), 16.6, 5))
+    out = cluster.facilities(cluster.cluster(cluster_points(spark, sf), 30.0, 4), 25.0)
     return out.withColumn("hull", geo.encode_hull(F.col("hull")))

@@ -43,7 +43,7 @@ PARTS: dict[str, tuple[str, list[str]]] = {
     "pdeg": ("""SELECT id, coalesce(i, 0) in_degree, coalesce(o, 0) out_degree FROM born
         LEFT JOIN (SELECT node_id, count(DISTINCT prev_id) i FROM ctx WHERE prev_id NOT IN ('source', 'unknown') GROUP BY 1) a ON a.node_id = id
         LEFT JOIN (SELECT node_id, count(DISTINCT next_id) o FROM pd WHERE next_id NOT IN ('sink', 'unknown') GROUP BY 1) b ON b.node_id = id""", ["born", "ctx", "pd"]),
-    "starts": ("""SELECT facility_id node_id, CAST(floor(((end_ts + 7200) % 86400) / 3600) AS INT) hour, CAST(minors AS BIGINT) activities, count(*) "count" FROM pr WHERE i = 0 AND n > 1 AND facility_id IS NOT NULL GROUP BY ALL""", ["pr"]),
+    "starts": ("""SELECT facility_id node_id, CAST(floor(((end_ts + 7200) % 86400) / 3600) AS INT) AS "hour", CAST(minors AS BIGINT) activities, count(*) "count" FROM pr WHERE i = 0 AND n > 1 AND facility_id IS NOT NULL GROUP BY ALL""", ["pr"]),
     "ends2": ("""SELECT vehicle_id, chain_seq, arg_min(end_ts, act_seq) t, arg_max(start_ts, act_seq) u, arg_min("type", act_seq) ft, arg_max("type", act_seq) lt, count(*) n, count(*) FILTER (lower("type") = 'minor') minors FROM acts GROUP BY ALL""", ["acts"]),
     "cends": ("""SELECT vehicle_id, chain_seq, arg_min(end_ts, act_seq) t FROM ord GROUP BY ALL""", ["ord"]),
     "zones": ("SELECT 'z' || lpad(CAST(k AS VARCHAR), 3, '0') zone_id, CAST(floor(k / 10) * 100 AS DOUBLE) zx, CAST((k % 10) * 100 AS DOUBLE) zy FROM range(100) r(k)", []),
