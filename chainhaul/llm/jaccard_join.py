@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .graph import components
 from .lm_score import _Counter
-from .store import cut
+from .store import cut, rows_of
 from .text import Chunk, Lookup, as_long, chunks, gram_hashes, mix, repeat_ranges
 
 WORDS = 5
@@ -250,6 +250,12 @@ def _links(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Data
     return cut(both.select("a", "b", "ta", "tb").mapInArrow(lambda it: _verify(it, words, percent), "a long, b long"))
 
 
+def _enough(count, percent: int):
+    """Whether a pair's overlap, what is counted and all that the rest of either row can add, may do."""
+    rest = F.greatest(F.floor(F.col("na") * percent / 100), F.floor(F.col("nb") * percent / 100))
+    return (count + rest) * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
+
+
 def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id."""
     sc = docs.sparkSession.sparkContext
@@ -269,18 +275,23 @@ def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     packed = known.select("text").mapInArrow(lambda it: _incidence(it, frequent, words, percent, blocks), "block int, data binary")
     product = cut(packed.repartition(blocks, "block").sortWithinPartitions("block").mapInArrow(lambda it: _product(it, percent), "kind int, a long, b long, na long, nb long, count long"))
     # rows by the id of their least document from here on
-    ids = sets.select("key", "id")
-    pairs = product.where("kind <> 1").groupBy("kind", "a", "b", "na", "nb").agg(F.sum("count").alias("count"))
-    pairs = pairs.join(ids.select(F.col("key").alias("a"), F.col("id").alias("x")), "a").join(ids.select(F.col("key").alias("b"), F.col("id").alias("y")), "b").select("kind", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(F.col("x") < F.col("y"), F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(F.col("x") < F.col("y"), F.col("nb")).otherwise(F.col("na")).alias("nb"), "count")
-    pairs = cut(pairs.where("a <> b"))
-    dense = product.where("kind = 1").select(F.col("a").alias("col"), F.col("b").alias("key"), F.col("na").alias("n"))
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = cut(known.join(wanted, F.col("doc_id") == F.col("id")).select("id", "text").distinct())
+    ids = cut(sets.select("key", "id"))
+    pairs = product.where("kind <> 1").groupBy("a", "b", "na", "nb").agg(F.sum(F.when(F.col("kind") == 0, F.col("count")).otherwise(0)).alias("few"), F.sum("count").alias("count"))
+    pairs = pairs.join(ids.select(F.col("key").alias("a"), F.col("id").alias("x")), "a").join(ids.select(F.col("key").alias("b"), F.col("id").alias("y")), "b")
+    low = F.col("x") < F.col("y")
+    pairs = pairs.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(low, F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(low, F.col("nb")).otherwise(F.col("na")).alias("nb"), "few", "count")
+    dense = cut(product.where("kind = 1").select(F.col("a").alias("col"), F.col("b").alias("key"), F.col("na").alias("n")).join(ids, "key").select("col", "id", "n"))
+    # dense columns that a pair may share besides those counted
+    more = dense.groupBy("id").agg(F.count("*").alias("more"))
+    pairs = pairs.join(more.select(F.col("id").alias("x"), F.col("more").alias("ma")), F.col("a") == F.col("x"), "left").join(more.select(F.col("id").alias("y"), F.col("more").alias("mb")), F.col("b") == F.col("y"), "left")
+    most = F.col("few") + F.least(F.coalesce("ma", F.lit(0)), F.coalesce("mb", F.lit(0)))
+    pairs = cut(pairs.where(_enough(most, percent)).select("a", "b", "na", "nb", "few", "count"))
     # 3. each row with its most promising partner, in full
-    ends = pairs.groupBy("a", "b").agg(F.sum("count").alias("count"))
-    ends = ends.select(F.col("a").alias("id"), F.col("b").alias("other"), "count").unionByName(ends.select(F.col("b").alias("id"), F.col("a").alias("other"), "count"))
+    ends = pairs.select(F.col("a").alias("id"), F.col("b").alias("other"), "count").unionByName(pairs.select(F.col("b").alias("id"), F.col("a").alias("other"), "count"))
     best = ends.groupBy("id").agg(F.max(F.struct("count", "other")).alias("m")).select("id", F.col("m.other").alias("other"))
     tried = cut(best.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct())
+    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    texts = cut(rows_of(known, wanted).select("id", "text").distinct())
     first = _links(tried, texts, words, percent)
     # 4. pairs that may still join components
     comp = cut(components(first))
@@ -288,17 +299,19 @@ def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     def with_component(table: DataFrame, id_: str, out: str) -> DataFrame:
         return table.join(comp.select(F.col("id").alias("k"), "component"), F.col(id_) == F.col("k"), "left").withColumn(out, F.coalesce("component", id_)).drop("k", "component")
 
-    left = with_component(with_component(pairs.where("kind = 0"), "a", "ca"), "b", "cb").where("ca <> cb").select("a", "b", "na", "nb", "count")
-    dense = cut(with_component(dense.join(ids, "key").select("col", "id", "n"), "id", "c"))
+    left = with_component(with_component(pairs.where("few > 0"), "a", "ca"), "b", "cb").where("ca <> cb").select("a", "b", "na", "nb", F.col("few").alias("count"))
+    dense = with_component(dense, "id", "c")
     mixed = dense.groupBy("col").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("col")
-    dense = dense.join(mixed, "col")
+    dense = cut(dense.join(mixed, "col"))
     other = dense.select(F.col("col").alias("col2"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
     fits = (F.least("n", "nb") * 100 >= F.greatest("n", "nb") * percent) & (F.col("c") != F.col("cb")) & (F.col("id") < F.col("b"))
     across = dense.join(other, (F.col("col") == F.col("col2")) & fits).groupBy(F.col("id").alias("a"), "b", F.col("n").alias("na"), "nb").agg(F.count("*").alias("count"))
-    left = left.unionByName(across).groupBy("a", "b", "na", "nb").agg(F.sum("count").alias("count"))
-    rest = F.greatest(F.floor(F.col("na") * percent / 100), F.floor(F.col("nb") * percent / 100))
-    left = left.where((F.col("count") + rest) * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).select("a", "b").distinct()
-    second = _links(left.join(tried, ["a", "b"], "left_anti"), texts, words, percent)
+    left = left.unionByName(across).groupBy("a", "b", "na", "nb").agg(F.sum("count").alias("count")).where(_enough(F.col("count"), percent))
+    left = cut(left.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
+    missing = cut(left.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(wanted, "id", "left_anti"))
+    if not missing.isEmpty():
+        texts = texts.unionByName(rows_of(known, missing).select("id", "text").distinct())
+    second = _links(left, texts, words, percent)
     # 5. components of documents
     comp = components(first.unionByName(second)).select(F.col("id").alias("k"), "component")
     classes = ids.join(comp, F.col("id") == F.col("k"), "left").select(F.col("key").alias("set"), F.coalesce("component", "id").alias("component_id"))

@@ -5,7 +5,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .text import mix
 
 
 def folder(spark: SparkSession) -> str:
@@ -20,5 +27,47 @@ def folder(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, read from a table written now: whole, shared, kept when executors go."""
     path = f"{folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Ids up to this number are broadcast; bits of the filter that thins out rows before a shuffle otherwise.
+FEW_IDS, FILTER_BITS = 20_000, 1 << 22
+
+
+def _places(ids: np.ndarray) -> np.ndarray:
+    return (mix(ids.view(np.uint64)) % np.uint64(FILTER_BITS)).astype(np.int64)
+
+
+def rows_of(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of (doc_id, ...) whose doc_id is among ids (id, distinct and written), with the column id.
+
+    Few ids are broadcast, after a count.  More are joined by a shuffle, which a
+    bitmap of fixed size spares most other rows; it lets rows through by
+    chance, more as ids grow, and the join drops them.
+    """
+    condition = F.col("doc_id") == F.col("id")
+    if ids.count() <= FEW_IDS:
+        return rows.join(F.broadcast(ids), condition)
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(FILTER_BITS >> 3, dtype=np.uint8)
+        for batch in batches:
+            at = _places(batch.column(0).to_numpy())
+            np.bitwise_or.at(own, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        words = own.view(np.int64)
+        full = np.flatnonzero(words)
+        yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(words[full])], names=["word", "bits"])
+
+    got = ids.select("id").mapInArrow(bits, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()  # at most FILTER_BITS / 64 rows
+    table = np.zeros(FILTER_BITS >> 6, dtype=np.int64)
+    table[got["word"].to_numpy()] = got["bits"].to_numpy()
+    shared = rows.sparkSession.sparkContext.broadcast(table.view(np.uint8))
+    at = rows.columns.index("doc_id")
+
+    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = _places(batch.column(at).to_numpy())
+            yield batch.filter(pa.array((shared.value[place >> 3] >> (place & 7).astype(np.uint8)) & 1 > 0))
+
+    return rows.mapInArrow(thin, rows.schema).join(ids, condition)

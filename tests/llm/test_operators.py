@@ -307,3 +307,13 @@ def test_decontamination(spark):
 
 def test_lower_is_ascii_only():
     assert lower("ÄAz") == "Äaz" and math.isclose(1, 1)
+
+
+def test_rows_of_by_filter(spark, monkeypatch):
+    from chainhaul.llm import store
+
+    rows = spark.createDataFrame([(k, f"t{k}") for k in range(500)] + [(3, "again")], "doc_id long, text string")
+    ids = spark.createDataFrame([(k,) for k in (3, 77, 499, 9999)], "id long")
+    want = sorted(map(tuple, store.rows_of(rows, ids).collect()))
+    monkeypatch.setattr(store, "FEW_IDS", 0)
+    assert sorted(map(tuple, store.rows_of(rows, ids).collect())) == want and len(want) == 4
