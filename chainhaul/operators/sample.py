@@ -128,3 +128,44 @@ def bootstrap(chains: DataFrame, n: int, seed: int) -> DataFrame:
     total = chains.count()
     draws = chains.sparkSession.range(n).select(F.col("id").alias("draw"), F.floor(uniform(F.col("id"), seed) * total).alias("nth"))
     return draws.join(numbered(chains, ["vehicle_id", "chain_seq"]), "nth").select("draw", "vehicle_id", "chain_seq")
+
+
+def bootstrap_plans(acts: DataFrame, drawn: DataFrame, prefix: str) -> DataFrame:
+    """Plans of drawn chains: activities with legs between, times from midnight of the first day.
+
+    Whole days are deducted from the first end until at most one is left, and
+    as many from the last start; between, activities last as they did.
+    """
+    from ..functions import calendar
+
+    order = Window.partitionBy("draw").orderBy("act_seq")
+    rows = drawn.join(acts, ["vehicle_id", "chain_seq"])
+    last = F.row_number().over(Window.partitionBy("draw").orderBy(F.col("act_seq").desc())) == 1
+    rows = rows.withColumn("place", F.row_number().over(order) - 1).withColumn("is_last", last)
+    midnight = F.first(calendar.day_number(F.col("start_ts")) * 86400 - calendar.OFFSET).over(order)
+    first_end = F.first("end_ts").over(order) - midnight
+    shift = midnight + calendar.surplus_days(first_end) * 86400
+    rows = rows.withColumn("end_time", F.when(F.col("place") == 0, F.col("end_ts") - shift)).withColumn("start_time", F.when(F.col("is_last"), F.col("start_ts") - shift)).withColumn("max_dur", F.when((F.col("place") > 0) & ~F.col("is_last"), F.col("end_ts") - F.col("start_ts")))
+    person = F.concat(F.lit(prefix + "_"), F.col("draw").cast("string"))
+    cols = ["kind", "type", "facility_id", "x", "y", "end_time", "max_dur", "start_time"]
+    activity = F.struct((F.col("place") * 2).cast("int").alias("elem_seq"), F.lit("activity").alias("kind"), "type", "facility_id", "x", "y", "end_time", "max_dur", "start_time")
+    none = lambda c, t: F.lit(None).cast(t).alias(c)
+    leg = F.struct((F.col("place") * 2 + 1).cast("int").alias("elem_seq"), F.lit("leg").alias("kind"), F.lit("commercial").alias("type"), none("facility_id", "string"), none("x", "double"), none("y", "double"), none("end_time", "long"), none("max_dur", "long"), none("start_time", "long"))
+    out = rows.select(person.alias("person_id"), F.explode(F.when(F.col("is_last"), F.array(activity)).otherwise(F.array(activity, leg))).alias("e"))
+    return out.select("person_id", "e.elem_seq", *(f"e.{c}" for c in cols))
+
+
+def outcomes(picked: DataFrame, by: str = "by") -> DataFrame:
+    """How often draws fell back: counts by outcome."""
+    return picked.groupBy(by).agg(F.count("*").alias("n"))
+
+
+def interior_points(zones: DataFrame, seed: int, tries: int = 200) -> DataFrame:
+    """A random point inside each zone (zone_id, ring): the first of a zone's draws in its box that lies inside."""
+    from ..functions import geo
+
+    box = zones.withColumn("b", geo.envelope(F.col("ring"))).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))))
+    u, v = (uniform(F.concat_ws("-", F.col("zone_id"), F.col("k")), seed + s) for s in (0, 1))
+    x, y = F.col("b.minx") + u * (F.col("b.maxx") - F.col("b.minx")), F.col("b.miny") + v * (F.col("b.maxy") - F.col("b.miny"))
+    inside = box.withColumn("x", x).withColumn("y", y).where(geo.contains(F.col("ring"), F.col("x"), F.col("y")))
+    return inside.groupBy("zone_id").agg(F.min_by(F.struct("x", "y"), "k").alias("p")).select("zone_id", "p.x", "p.y")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import calendar, geo
 from ..operators import assign, clean, cluster, extract, generate, graph, kde, network, pathnet, reports, sample, similarity
-from ..sources import readers
+from ..sources import exports, readers
 from . import adapters as A
 from .sql import build, date, hour, second, weekday
 
@@ -197,6 +197,23 @@ def consecutive_activity_report(spark, sf):
     return reports.consecutive_report(A.order_acts(spark, sf), ABNORMAL_DAYS)
 
 
+@query(build("SELECT vehicle_id, chain_seq, facility_id, min(act_seq) pos FROM acts WHERE facility_id IS NOT NULL GROUP BY 1, 2, 3", "acts"))
+def first_positions(spark, sf):
+    return A.acts(spark, sf).where("facility_id is not null").groupBy("vehicle_id", "chain_seq", "facility_id").agg(F.min("act_seq").alias("pos"))
+
+
+@query(build("SELECT vehicle_id, chain_seq, ft first_type, lt last_type, n activities, minors FROM ends2", "ends2"))
+def chain_first_last(spark, sf):
+    return reports.chain_ends(A.acts(spark, sf)).select("vehicle_id", "chain_seq", "first_type", "last_type", "activities", "minors")
+
+
+@query(build("SELECT fromId, toId, weight, oX, oY, round(oX / 10, 6) oLon, round(oY / 10, 6) oLat FROM (SELECT o_id fromId, d_id toId, weight, o.x oX, o.y oY FROM edges JOIN places o ON o.id = o_id)", "edges", "places"))
+def weighted_edge_list(spark, sf):
+    acts = A.order_acts(spark, sf)
+    out = exports.weighted_edge_list(network.edges(network.arcs(acts)), network.nodes(acts))
+    return out.select("fromId", "toId", "weight", "oX", "oY", r6(F.col("oLon") / 10).alias("oLon"), r6(F.col("oLat") / 10).alias("oLat"))
+
+
 # cleaning
 
 MERGED = """SELECT vehicle_id, chain_seq, CAST(row_number() OVER (PARTITION BY vehicle_id, chain_seq ORDER BY island) - 1 AS INT) act_seq, "type", start_ts, end_ts, x, y, facility_id, merged FROM (
@@ -386,6 +403,11 @@ def pd_edges_in_area(spark, sf):
     return network.edges_in_area(e, pathnet.nodes(acts), area()).select("o_id", "d_id", "weight")
 
 
+@query(build("SELECT node_id, string_agg(next_id, ',' ORDER BY next_id) out_ids FROM (SELECT DISTINCT node_id, next_id FROM pd WHERE next_id NOT IN ('sink', 'unknown')) GROUP BY 1", "pd"))
+def pd_neighbours(spark, sf):
+    return pathnet.neighbours(pathnet.edges(A.order_acts(spark, sf))).withColumn("out_ids", F.array_join("out_ids", ","))
+
+
 # kernel densities
 
 EXTENT = (0.0, 0.0, 1100.0, 1000.0)
@@ -433,6 +455,11 @@ def kde_clip(spark, sf):
     return kde.boxes(_kde(kde.CELL)(spark, sf), 25.0, EXTENT[0], EXTENT[3], area())
 
 
+@query(build("SELECT col, \"row\", CAST(floor(v / max(v) OVER () * 255) AS INT) alpha FROM (SELECT CAST(floor(x / 25) AS INT) col, CAST(floor((1000 - y) / 25) AS INT) AS \"row\", CAST(count(*) AS DOUBLE) v FROM points WHERE x > 0 AND x < 1100 AND y > 0 AND y < 1000 GROUP BY 1, 2)", "points"))
+def kde_alpha(spark, sf):
+    return kde.alpha(_kde(kde.CELL)(spark, sf))
+
+
 @query("SELECT \"code\", CAST(floor(x / 50) AS BIGINT) col, CAST(floor(y / 50) AS BIGINT) AS \"row\", CAST(count(*) AS DOUBLE) weight FROM (SELECT CAST(p_size % 9 AS VARCHAR) AS \"code\", p_retailprice x, CAST((p_partkey * 37) % 1000 AS DOUBLE) y FROM part) GROUP BY 1, 2, 3")
 def landuse_density(spark, sf):
     p = A.table(spark, sf, "part")
@@ -545,6 +572,23 @@ def generate_chains(spark, sf):
     return generate.plans(pathnet.edges(acts), pathnet.starts(acts), pathnet.nodes(acts), 500, "p", DECILES, seed=7)
 
 
+@query(None)
+def bootstrap_plans(spark, sf):
+    acts = A.order_acts(spark, sf)
+    drawn = sample.bootstrap(acts.select("vehicle_id", "chain_seq").distinct(), 300, 20150317)
+    return sample.bootstrap_plans(acts, drawn, "b")
+
+
+@query(None)
+def zone_interior_points(spark, sf):
+    return sample.interior_points(A.zones(spark), 3)
+
+
+@query(None)
+def mx_artificial_edges(spark, sf):
+    return network.artificial_edges(mx(spark, sf), 1)
+
+
 # clusters
 
 

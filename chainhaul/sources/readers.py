@@ -185,3 +185,38 @@ def zones_shapefile(spark: SparkSession, path: str, id_field: str) -> DataFrame:
                 yield pd.DataFrame({"zone_id": [r[id_field] for r in rows], "rings": [[[{"x": x, "y": y} for x, y in ring] for ring in s] for s in shapes]})
 
     return pair.mapInPandas(parse, "zone_id string, rings array<array<struct<x:double,y:double>>>")
+
+
+def points_shapefile(spark: SparkSession, path: str, field: str | None = None) -> DataFrame:
+    """x, y of each point feature, with the text of one attribute as code."""
+    rows = zones_shapefile(spark, path, field) if field else _shapes(spark, path)
+    first = F.col("rings")[0][0]
+    out = rows.select(*([F.col("zone_id").alias("code")] if field else []), first["x"].alias("x"), first["y"].alias("y"))
+    return out.where("x is not null")
+
+
+def _shapes(spark: SparkSession, path: str) -> DataFrame:
+    raw = spark.read.format("binaryFile").load(f"{path}.shp").select("content")
+
+    def parse(frames):
+        import pandas as pd
+
+        for pdf in frames:
+            for shp in pdf["content"]:
+                yield pd.DataFrame({"rings": [[[{"x": x, "y": y} for x, y in ring] for ring in s] for s in parse_shp(bytes(shp))]})
+
+    return raw.mapInPandas(parse, "rings array<array<struct<x:double,y:double>>>")
+
+
+def buildings(spark: SparkSession, path: str, field: str = "S_LU_CODE") -> DataFrame:
+    """Building points (code, x, y) in the equal-area conic, from degrees."""
+    rows = points_shapefile(spark, path, field).withColumn("p", geo.to_albers(F.col("x"), F.col("y")))
+    return rows.select("code", "p.x", "p.y")
+
+
+def unique_vehicles(vehicles: DataFrame) -> DataFrame:
+    """The same rows; an id that occurs twice is an error."""
+    twice = vehicles.groupBy("_id").count().where("count > 1").limit(1).collect()
+    if twice:
+        raise ValueError(f"vehicle {twice[0]._id} is there twice")
+    return vehicles

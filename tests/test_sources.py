@@ -117,3 +117,38 @@ def test_stamp_round_trip(spark):
     df = spark.range(0, 10**9, 123456789).select(F.col("id").alias("t"))
     assert df.where(calendar.parse_stamp(calendar.stamp(F.col("t"))) != F.col("t")).count() == 0
     assert spark.range(1).select(calendar.parse_stamp(F.lit("rubbish")).alias("t")).first().t is None
+
+
+def test_exports(spark, tmp_path):
+    from chainhaul.operators import sample
+    from chainhaul.sources import exports
+
+    gps = spark.createDataFrame([("a", 2, 20, 1.0, -1.0, "0", 5), ("a", 1, 10, 1.0, -1.0, "0", 5), ("b", 1, 5, 2.0, -2.0, "1", 6)], "vehicle_id string, seq long, time long, lon double, lat double, status string, speed int")
+    exports.split_by_vehicle(gps, str(tmp_path / "split"))
+    exports.split_by_vehicle(gps, str(tmp_path / "split"))
+    assert spark.read.csv(str(tmp_path / "split")).count() == 6
+    exports.sorted_vehicle_csv(gps, str(tmp_path / "sorted"))
+    got = spark.read.option("header", True).csv(str(tmp_path / "sorted")).where("vId = 'a'").collect()
+    assert [r.time for r in got] == ["10", "20"]
+    v = gps.select("vehicle_id").distinct()
+    assert exports.collate([v.where("vehicle_id = 'a'"), v.where("vehicle_id = 'b'")]).count() == 2
+    with pytest.raises(ValueError):
+        exports.collate([v, v])
+    acts, pos = chain(spark)
+    writers.write_vehicles(acts, pos, str(tmp_path / "v2"), description="d")
+    exports.without_traces(spark, str(tmp_path / "v2"), str(tmp_path / "v1"))
+    back = readers.vehicles_xml(spark, str(tmp_path / "v1"))
+    assert readers.xml_activities(back).count() == 3 and readers.xml_positions(back).count() == 0
+    assert readers.unique_vehicles(back).count() == 1
+    clustered = spark.createDataFrame([("z", 0, 1.0, 2.0), ("z", 0, 1.0, 2.0), ("z", None, 5.0, 5.0)], "zone_id string, cluster_id long, x double, y double")
+    assert exports.facility_points(clustered).count() == 1 and exports.lost_points(clustered).count() == 1
+    drawn = spark.createDataFrame([(0, "1", 0), (1, "1", 0)], "draw long, vehicle_id string, chain_seq int")
+    plans = sample.bootstrap_plans(acts, drawn, "p").where("person_id = 'p_1'").orderBy("elem_seq").collect()
+    assert [r.kind for r in plans] == ["activity", "leg", "activity", "leg", "activity"]
+    assert (plans[0].end_time, plans[2].max_dur, plans[4].start_time) == (7200 + 500, 500, 7200 + 2000)
+
+
+def test_points_shapefile(spark, tmp_path):
+    body = struct.pack("<i2d", 1, 18.5, -33.9)
+    (tmp_path / "p.shp").write_bytes(b"\0" * 100 + struct.pack(">2i", 1, len(body) // 2) + body)
+    assert [tuple(r) for r in readers.points_shapefile(spark, str(tmp_path / "p")).collect()] == [(18.5, -33.9)]
