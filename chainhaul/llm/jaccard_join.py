@@ -42,9 +42,9 @@ WORDS = 5
 PERCENT = 80
 DENSE = 16
 FREQUENT = 1 << 20
-FREQUENT_FROM = 32
+FREQUENT_FROM = 8
 #: A task reports grams that this many of its documents hold; it holds so many entries before it writes blocks.
-LOCAL_FROM = 4
+LOCAL_FROM = 2
 HELD = 1 << 21
 #: Entries of a column block.
 BLOCK = 2_000_000
@@ -182,8 +182,11 @@ def multiply(node: np.ndarray, n: np.ndarray, col: np.ndarray, percent: int) ->
     if len(many):
         node, n, col = node[many], n[many], col[many]
         yield 1, (col, node, n)
+        # leads are the rows that meet most others in dense columns: of near copies, those with the fewest edits
+        row, back = np.unique(node, return_inverse=True)
+        meets = np.bincount(back, weights=m[many].astype(np.float64))[back]
         size = np.floor(np.log(n) / np.log(100 / percent) + 1e-9).astype(np.int64)
-        order = np.lexsort((node, size, col))
+        order = np.lexsort((node, -meets, size, col))
         node, n, col, size = node[order], n[order], col[order], size[order]
         first = np.flatnonzero(np.concatenate([[True], (col[1:] != col[:-1]) | (size[1:] != size[:-1])]))
         lead = np.repeat(first, np.diff(np.concatenate([first, [len(col)]])))
@@ -256,6 +259,13 @@ def _enough(count, percent: int):
     return (count + rest) * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
 
 
+def _best(pairs: DataFrame) -> DataFrame:
+    """Each row's pair of the greatest count."""
+    ends = pairs.select(F.col("a").alias("id"), F.col("b").alias("other"), "count").unionByName(pairs.select(F.col("b").alias("id"), F.col("a").alias("other"), "count"))
+    best = ends.groupBy("id").agg(F.max(F.struct("count", "other")).alias("m")).select("id", F.col("m.other").alias("other"))
+    return best.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+
+
 def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id."""
     sc = docs.sparkSession.sparkContext
@@ -286,19 +296,22 @@ def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     pairs = pairs.join(more.select(F.col("id").alias("x"), F.col("more").alias("ma")), F.col("a") == F.col("x"), "left").join(more.select(F.col("id").alias("y"), F.col("more").alias("mb")), F.col("b") == F.col("y"), "left")
     most = F.col("few") + F.least(F.coalesce("ma", F.lit(0)), F.coalesce("mb", F.lit(0)))
     pairs = cut(pairs.where(_enough(most, percent)).select("a", "b", "na", "nb", "few", "count"))
-    # 3. each row with its most promising partner, in full
-    ends = pairs.select(F.col("a").alias("id"), F.col("b").alias("other"), "count").unionByName(pairs.select(F.col("b").alias("id"), F.col("a").alias("other"), "count"))
-    best = ends.groupBy("id").agg(F.max(F.struct("count", "other")).alias("m")).select("id", F.col("m.other").alias("other"))
-    tried = cut(best.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct())
+    # 3. each row with its most promising partner, in full; then once more with the best one of another component
     wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     texts = cut(rows_of(known, wanted).select("id", "text").distinct())
+    tried = cut(_best(pairs))
     first = _links(tried, texts, words, percent)
-    # 4. pairs that may still join components
     comp = cut(components(first))
 
     def with_component(table: DataFrame, id_: str, out: str) -> DataFrame:
         return table.join(comp.select(F.col("id").alias("k"), "component"), F.col(id_) == F.col("k"), "left").withColumn(out, F.coalesce("component", id_)).drop("k", "component")
 
+    apart = with_component(with_component(pairs, "a", "ca"), "b", "cb").where("ca <> cb").join(tried, ["a", "b"], "left_anti")
+    again = cut(_best(apart))
+    more = _links(again, texts, words, percent)
+    tried, first = tried.unionByName(again), first.unionByName(more)
+    # 4. pairs that may still join components
+    comp = cut(components(first))
     left = with_component(with_component(pairs.where("few > 0"), "a", "ca"), "b", "cb").where("ca <> cb").select("a", "b", "na", "nb", F.col("few").alias("count"))
     dense = with_component(dense, "id", "c")
     mixed = dense.groupBy("col").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("col")
