@@ -5,7 +5,7 @@ again with other values has the same template.  Windows of ``WINDOW`` template
 tokens of documents and benchmark items meet in a hash join.  A document leaks
 an item if its matching windows cover at least ``SHARE`` of the item's windows
 and its slots are consistent: each value of the item stands for one value of
-the document.  Values are told apart by the item and the place they fill.
+the document (or the windows with unchanged values cover as much alone).  Values are told apart by the item and the place they fill.
 
 Only windows that can match leave the text scan: a bitmap of fixed size
 (``BITMAP_BITS``) holds the hashes of the benchmark's windows; what it lets
@@ -166,18 +166,19 @@ def _matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     seen = docs.mapInArrow(lambda it: _doc_windows(it, shared), "id long, hash long, at int, slots array<long>")
     total = known.groupBy(F.col("id").alias("of")).agg(F.count("*").alias("windows"))
     other = known.select(F.col("id").alias("nth"), F.col("hash").alias("h"), F.col("at").alias("item_at"), F.col("slots").alias("item_slots"))
-    met = seen.join(other, F.col("hash") == F.col("h")).select("id", "nth", "item_at", F.arrays_zip("item_slots", "slots").alias("pairs"))
+    met = seen.join(other, F.col("hash") == F.col("h")).select("id", "nth", "item_at", (F.col("item_slots") == F.col("slots")).alias("same"), F.arrays_zip("item_slots", "slots").alias("pairs"))
     met = cut(met)
-    matched = met.groupBy("id", "nth").agg(F.count_distinct("item_at").alias("matched"))
+    matched = met.groupBy("id", "nth").agg(F.count_distinct("item_at").alias("matched"), F.count_distinct(F.when(F.col("same"), F.col("item_at"))).alias("verbatim"))
     pairs = met.select("id", "nth", F.explode("pairs").alias("p")).distinct()
     # an item's value with two values of the document: a clash; each place's windows vote by distinct pairs
     clash = pairs.groupBy("id", "nth", "p.item_slots").agg(F.count("*").alias("n")).groupBy("id", "nth").agg(F.max("n").alias("most"))
     out = matched.join(total, F.col("nth") == F.col("of")).join(clash, ["id", "nth"], "left").join(names, "nth")
-    return out.select("id", "item_id", "matched", "windows", (F.coalesce("most", F.lit(1)) == 1).alias("consistent"))
+    return out.select("id", "item_id", "matched", "verbatim", "windows", (F.coalesce("most", F.lit(1)) == 1).alias("consistent"))
 
 
 def _leaking(matches: DataFrame, share: float) -> DataFrame:
-    return matches.where((F.col("matched") >= F.col("windows") * share) & F.col("consistent"))
+    enough = F.col("windows") * share
+    return matches.where((F.col("verbatim") >= enough) | (F.col("matched") >= enough) & F.col("consistent"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:

@@ -1,11 +1,11 @@
 """Toxic spans and document scores from a linear-chain conditional random field.
 
-Two states, clean and toxic; a token's features are its word, its first and its
-last three bytes (A-Z lower-cased, punctuation at the ends left out).  Labels
-come by document, so tokens are labelled first: in a toxic document, those
-words are toxic whose contexts (distinct words before them, so that copies of
-a document don't count again) lie in toxic documents far more often than chance
-allows.  The field is fitted by gradient ascent on the forward-backward
+Two states, clean and toxic; a token's features are its word, its first four
+and six bytes and its last three (A-Z lower-cased, punctuation at the ends left
+out).  Labels come by document, so tokens are labelled first: in a toxic
+document, those words are toxic that have, or begin with what has, its contexts
+(words with the distinct words before them, so that copies of a document don't
+count again) in toxic documents far more often than chance allows.  The field is fitted by gradient ascent on the forward-backward
 marginals.  A document's score is its largest marginal of the toxic state;
 tokens of 0.5 or more make the offending spans.
 
@@ -30,12 +30,15 @@ from pyspark.sql import functions as F
 
 from .langid import _bare_words
 from .store import cut
-from .text import Chunk, Lookup, chunks
+from .text import Chunk, Lookup, chunks, mix
 
 SAMPLE_ROWS = 6_000
 THRESHOLD = 0.3
-AFFIX_BITS = 14
-ROUNDS = 60
+#: Lengths in bytes of the beginnings that may be toxic as such, and their least toxic share of contexts.
+STEMS, STEM_SHARE = (4, 5, 6, 7, 8), 0.95
+#: Clean documents for each toxic one in the gradient; all count in the choice of toxic words.
+CLEAN_TO_TOXIC = 2
+ROUNDS = 40
 RATE = 0.5
 L2 = 1e-4
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int, spans string"
@@ -50,13 +53,17 @@ class Tokens:
 
     def __init__(self, c: Chunk):
         self.start, self.end, self.row = _bare_words(c)
-        prefix = c.prefix(lower=True)
-        self.word = c.range_hash(prefix, self.start, self.end)
-        shift = np.uint64(64 - AFFIX_BITS)
-        self.head = (c.range_hash(prefix, self.start, np.minimum(self.start + 3, self.end)) >> shift).astype(np.int64)
-        self.tail = (c.range_hash(prefix, np.maximum(self.end - 3, self.start), self.end) >> shift).astype(np.int64)
+        self._chunk, self._prefix = c, c.prefix(lower=True)
+        self.word = c.range_hash(self._prefix, self.start, self.end)
         self.begins = np.concatenate([[True], self.row[1:] != self.row[:-1]]) if len(self.row) else np.zeros(0, dtype=bool)
 
+    def head(self, n: int) -> np.ndarray:
+        return self._chunk.range_hash(self._prefix, self.start, np.minimum(self.start + n, self.end))
+
+    def features(self) -> list[np.ndarray]:
+        tail = self._chunk.range_hash(self._prefix, np.maximum(self.end - 3, self.start), self.end)
+        return [self.word, self.head(4), self.head(6), tail]
+
 
 def forward_backward(x: np.ndarray, begins: np.ndarray, pi: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(r, s): forward and backward odds of the second state at each token.
@@ -97,58 +104,62 @@ def forward_backward(x: np.ndarray, begins: np.ndarray, pi: np.ndarray, a: np.nd
 
 
 class Field:
-    """Weights of the conditional random field."""
+    """Weights of the conditional random field: a table for each kind of feature, its last weight for unknown ones."""
 
-    def __init__(self, words: np.ndarray):
-        self.words = Lookup(words)
-        self.word, self.head, self.tail = np.zeros(len(words) + 1), np.zeros(1 << AFFIX_BITS), np.zeros(1 << AFFIX_BITS)
+    def __init__(self, keys: list[np.ndarray]):
+        self.tables = [Lookup(k) for k in keys]
+        self.weights = [np.zeros(len(k) + 1) for k in keys]
         self.start, self.trans = np.array([0.0, -3.0]), np.array([[0.0, -3.0], [0.0, -1.0]])
 
-    def odds(self, t: Tokens, at: np.ndarray | None = None) -> np.ndarray:
-        at = self.words.find(t.word) if at is None else at
-        return np.exp(np.clip(self.word[at] + self.head[t.head] + self.tail[t.tail], -30, 30))
+    def places(self, t: Tokens) -> list[np.ndarray]:
+        return [table.find(f) for table, f in zip(self.tables, t.features(), strict=True)]
+
+    def odds(self, places: list[np.ndarray]) -> np.ndarray:
+        return np.exp(np.clip(sum(w[at] for w, at in zip(self.weights, places, strict=True)), -30, 30))
 
     def marginals(self, t: Tokens) -> np.ndarray:
         if not len(t.word):
             return np.zeros(0)
-        r, s = forward_backward(self.odds(t), t.begins, np.exp(self.start), np.exp(self.trans))
+        r, s = forward_backward(self.odds(self.places(t)), t.begins, np.exp(self.start), np.exp(self.trans))
         return r * s / (1 + r * s)
 
     def train(self, parts: list[tuple[Tokens, np.ndarray]], rounds: int = ROUNDS) -> None:
         """Gradient ascent (each step scaled by past gradients) on the log likelihood of labelled tokens."""
-        at = [self.words.find(t.word) for t, _ in parts]
-        weights = [self.word, self.head, self.tail, self.start, self.trans]
+        at = [self.places(t) for t, _ in parts]
+        weights = [*self.weights, self.start, self.trans]
         past = [np.full(w.shape, 1e-6) for w in weights]
         for _ in range(rounds):
             grads = [-L2 * w for w in weights]
             for (t, gold), k in zip(parts, at, strict=True):
-                x, pi, a = self.odds(t, k), np.exp(self.start), np.exp(self.trans)
+                x, pi, a = self.odds(k), np.exp(self.start), np.exp(self.trans)
                 r, s = forward_backward(x, t.begins, pi, a)
                 m = r * s / (1 + r * s)
                 d = gold - m
-                for g, idx in ((grads[0], k), (grads[1], t.head), (grads[2], t.tail)):
-                    # the last word weight is that of words not in the table
+                for g, idx in zip(grads, k):  # -1, an unknown feature, is the last place
                     g += np.bincount(idx % len(g), weights=d, minlength=len(g))
                 b = np.flatnonzero(t.begins)
-                grads[3] += [(1 - gold[b]).sum() - (1 - m[b]).sum(), gold[b].sum() - m[b].sum()]
+                grads[-2] += [(1 - gold[b]).sum() - (1 - m[b]).sum(), gold[b].sum() - m[b].sum()]
                 i = np.flatnonzero(~t.begins)
                 u, v = r[i - 1], x[i] * s[i]
                 w = np.stack([np.full(len(i), a[0, 0]), a[0, 1] * v, a[1, 0] * u, a[1, 1] * u * v])
                 w = (w / w.sum(axis=0)).sum(axis=1).reshape(2, 2)
                 seen = np.bincount((gold[i - 1] * 2 + gold[i]).astype(np.int64), minlength=4).reshape(2, 2)
-                grads[4] += seen - w
+                grads[-1] += seen - w
             for w, g, h in zip(weights, grads, past, strict=True):
                 h += g * g
                 w += RATE * g / np.sqrt(h)
 
 
-def toxic_words(word: np.ndarray, toxic: np.ndarray, begins: np.ndarray) -> np.ndarray:
-    """Hashes of words whose contexts are toxic beyond chance, over all words tested."""
+def toxic_keys(key: np.ndarray, word: np.ndarray, toxic: np.ndarray, begins: np.ndarray, least: float) -> np.ndarray:
+    """Keys (words, or their beginnings) whose contexts, word and word before, are toxic beyond chance, over all keys tested."""
     if not len(word):
         return word
     before = np.concatenate([[np.uint64(0)], word[:-1]])
-    before = np.where(begins, np.uint64(1), before)
-    context = np.unique(np.stack([word, before, toxic.astype(np.uint64)], axis=1), axis=0)
+    with np.errstate(over="ignore"):
+        pair = mix(np.where(begins, np.uint64(1), before)) * np.uint64(31) + word
+    order = np.lexsort((toxic, pair, key))
+    context = np.stack([key, pair, toxic.astype(np.uint64)], axis=1)[order]
+    context = context[np.concatenate([[True], (context[1:] != context[:-1]).any(axis=1)])]
     keys, first = np.unique(context[:, 0], return_index=True)
     bad = np.add.reduceat(context[:, 2].astype(np.float64), first)
     n = np.diff(np.concatenate([first, [len(context)]])).astype(np.float64)
@@ -157,7 +168,7 @@ def toxic_words(word: np.ndarray, toxic: np.ndarray, begins: np.ndarray) -> np.n
         return keys[:0]
     q = np.clip(bad / n, 1e-12, 1 - 1e-12)
     excess = n * (q * np.log(q / p) + (1 - q) * np.log((1 - q) / (1 - p)))
-    return keys[(q > max(0.5, p)) & (excess > np.log(len(keys) / 0.01))]
+    return keys[(q > max(least, p)) & (excess > np.log(len(keys) / 0.01))]
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Field | None:
@@ -177,14 +188,30 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> F
         parts.append((t, labels_of[c.first + t.row]))
     if not parts or labels_of.all() or not labels_of.any():
         return None
-    word = np.concatenate([t.word for t, _ in parts])
-    bad = np.concatenate([x for _, x in parts])
-    seeds = Lookup(toxic_words(word, bad, np.concatenate([t.begins for t, _ in parts])))
-    if not len(seeds.keys):
+    whole = [np.concatenate(x) for x in ([t.word for t, _ in parts], [x for _, x in parts], [t.begins for t, _ in parts])]
+    seeds = [Lookup(toxic_keys(whole[0], *whole, 0.5))]
+    seeds += [Lookup(toxic_keys(np.concatenate([t.head(n) for t, _ in parts]), *whole, STEM_SHARE)) for n in STEMS]
+    if not any(len(x.keys) for x in seeds):
         return None
-    keys, n = np.unique(word, return_counts=True)
-    field = Field(keys[n > 1])
-    field.train([(t, ((seeds.find(t.word) >= 0) & x).astype(np.float64)) for t, x in parts if len(t.word)])
+    # the gradient: all toxic documents, and some clean ones for each
+    clean = np.flatnonzero(~labels_of)
+    use = labels_of.copy()
+    use[clean[: CLEAN_TO_TOXIC * int(labels_of.sum())]] = True
+    chosen = column.filter(pa.array(use))
+    gold_of, parts = labels_of[use], []
+    for c in chunks(chosen):
+        t = Tokens(c)
+        if len(t.word):
+            hit = seeds[0].find(t.word) >= 0
+            for n, look in zip(STEMS, seeds[1:], strict=True):
+                hit |= (look.find(t.head(n)) >= 0) & (t.end - t.start >= n)
+            parts.append((t, (hit & gold_of[c.first + t.row]).astype(np.float64)))
+    keys = []
+    for k in range(4):
+        key, n = np.unique(np.concatenate([t.features()[k] for t, _ in parts]), return_counts=True)
+        keys.append(key[n > 1])
+    field = Field(keys)
+    field.train(parts)
     return field
 
 
