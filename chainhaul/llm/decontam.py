@@ -11,7 +11,7 @@ Only windows that can match leave the text scan: a bitmap of fixed size
 (``BITMAP_BITS``) holds the hashes of the benchmark's windows; what it lets
 through by chance the join drops.
 
-Canonical tokens, from words without punctuation at their ends, A-Z lower-cased:
+Canonical tokens, from words without punctuation at their ends, in small letters:
 a number has a digit and otherwise only digits and ``.,:/%+-``; a unit is one
 of ``UNITS`` after a number; a name begins with a capital, is not the first
 word of its text, line or sentence, and has a small letter.  Windows need
@@ -49,7 +49,7 @@ _NUMERIC[[*range(48, 58), *b".,:/%+-"]] = True
 _DIGIT = np.zeros(256, dtype=bool)
 _DIGIT[48:58] = True
 _SMALL = np.zeros(256, dtype=bool)
-_SMALL[[*range(97, 123), *range(128, 256)]] = True
+_SMALL[97:123] = True
 _STOPS = np.zeros(256, dtype=bool)
 _STOPS[list(b".!?:;")] = True
 NUMBER, NAME, UNIT = (np.uint64(x) for x in (0x1D8E4E27C47D124F, 0x2545F4914F6CDD1D, 0x369DEA0F31A53F85))
@@ -62,9 +62,19 @@ def _word_hashes(words: list[str]) -> np.ndarray:
 _UNIT_HASHES = np.sort(_word_hashes(UNITS))
 
 
+def folded(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes with accented capitals of Latin-1 made small, and a mask of small letters in the given bytes."""
+    second = np.zeros(len(data), dtype=bool)
+    second[1:] = data[:-1] == 0xC3
+    capital = second & (data >= 0x80) & (data <= 0x9E) & (data != 0x97)
+    return np.where(capital, data + 0x20, data).astype(np.uint8), _SMALL[data] | second & (data >= 0xA0)
+
+
 def canonical(c: Chunk) -> tuple[np.ndarray, np.ndarray]:
     """(template, value) hashes of each word; they differ where a placeholder stands."""
     start, end = c.start.copy(), c.end.copy()
+    given, (plain, small) = c, folded(c.data)
+    c = Chunk(c.first, plain, c.offs)
     todo = np.arange(len(end))
     while len(todo := todo[_PUNCT[c.data[end[todo] - 1]] & (end[todo] - start[todo] > 1)]):
         end[todo] -= 1
@@ -75,16 +85,16 @@ def canonical(c: Chunk) -> tuple[np.ndarray, np.ndarray]:
     template = value.copy()
     if not len(start):
         return template, value
-    first = c.data[start]
+    first = given.data[start]
     # names: the word before must be of the same row and line and end no sentence
     capital = np.flatnonzero((first >= 65) & (first <= 90) | (first == 0xC3))
-    capital = capital[(first[capital] != 0xC3) | (c.data[np.minimum(start[capital] + 1, len(c.data) - 1)] < 0x9F)]
+    capital = capital[(first[capital] != 0xC3) | (given.data[np.minimum(start[capital] + 1, len(c.data) - 1)] < 0x9F)]
     begins = np.zeros(len(start), dtype=bool)
     begins[c.woffs[:-1][c.counts > 0]] = True
     capital = capital[~begins[capital]]
     if len(capital):
         lines = np.concatenate([[0], np.cumsum(c.data == 10)])
-        small = np.concatenate([[0], np.cumsum(_SMALL[c.data])])
+        small = np.concatenate([[0], np.cumsum(small)])
         ok = ~_STOPS[c.data[c.end[capital - 1] - 1]] & (lines[start[capital]] == lines[c.end[capital - 1]]) & (small[end[capital]] > small[start[capital] + 1])
         template[capital[ok]] = NAME
     digits = np.flatnonzero(_DIGIT[first] | _NUMERIC[first])

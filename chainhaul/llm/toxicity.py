@@ -6,13 +6,14 @@ out).  Labels come by document, so tokens are labelled first: in a toxic
 document, those words are toxic that have, or begin with what has, its contexts
 (words with the distinct words before them, so that copies of a document don't
 count again) in toxic documents far more often than chance allows.  The field is fitted by gradient ascent on the forward-backward
-marginals.  A document's score is its largest marginal of the toxic state;
-tokens of 0.5 or more make the offending spans.
+marginals.  A document's score comes from its marginals of the toxic state, by
+a logistic curve over the largest, their sum and their sum for each hundred
+tokens, fitted on the same rows; tokens of 0.5 or more make the offending spans.
 
 The fit uses a bounded sample of labelled rows, about ``SAMPLE_ROWS`` of them
 chosen by a hash of doc_id; scoring reads every whole text.
 
-Rows and cases: a null or empty text scores 0 and has no span.  Of several
+Rows and cases: a null or empty text scores what no toxic token does (next to 0) and has no span.  Of several
 labels of a document the largest counts; null labels don't.  Without a toxic or
 without a clean row in the sample every score is 0.  Repeated rows score alike.
 Extra columns are dropped by ``score`` and kept by ``reject``.  Offsets count
@@ -123,6 +124,16 @@ class Field:
         r, s = forward_backward(self.odds(self.places(t)), t.begins, np.exp(self.start), np.exp(self.trans))
         return r * s / (1 + r * s)
 
+    def calibrate(self, x: np.ndarray, y: np.ndarray) -> None:
+        """Weights of the logistic curve, by Newton's steps with a weak pull to zero."""
+        w = np.zeros(x.shape[1])
+        for _ in range(30):
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            h = (x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(len(w))
+            step = np.linalg.solve(h, x.T @ (y - p) - 0.1 * w)
+            w += np.clip(step, -3, 3)
+        self.curve = w
+
     def train(self, parts: list[tuple[Tokens, np.ndarray]], rounds: int = ROUNDS) -> None:
         """Gradient ascent (each step scaled by past gradients) on the log likelihood of labelled tokens."""
         at = [self.places(t) for t, _ in parts]
@@ -179,10 +190,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> F
     place = F.pmod(F.xxhash64(F.col("label_id").cast("string"), F.lit("toxicity")), F.lit(1_000_000))
     chosen = labels.where(place < F.lit(int(share * 1_000_000)))
     sample = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("text", "is_toxic").where(F.col("text").isNotNull()).toArrow().combine_chunks()
-    parts, labels_of = [], sample["is_toxic"].to_numpy().astype(bool)
     column = sample["text"].combine_chunks()
     if isinstance(column, pa.ChunkedArray):
         column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+    return learn(column, sample["is_toxic"].to_numpy().astype(bool))
+
+
+def learn(column: pa.Array, labels_of: np.ndarray) -> Field | None:
+    """The field of labelled texts."""
+    parts = []
     for c in chunks(column):
         t = Tokens(c)
         parts.append((t, labels_of[c.first + t.row]))
@@ -212,17 +228,27 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> F
         keys.append(key[n > 1])
     field = Field(keys)
     field.train(parts)
+    rows = [aggregates(t, field.marginals(t), c.rows) for c in chunks(column) for t in [Tokens(c)]]
+    field.calibrate(np.concatenate(rows), labels_of.astype(np.float64))
     return field
 
 
+def aggregates(t: Tokens, m: np.ndarray, rows: int) -> np.ndarray:
+    """Of each row: 1, the largest marginal, and logarithms of their sum and of their sum for each hundred tokens."""
+    total, n = np.bincount(t.row, weights=m, minlength=rows), np.bincount(t.row, minlength=rows)
+    most = np.zeros(rows)
+    if len(m):
+        first = np.flatnonzero(t.begins)
+        most[t.row[first]] = np.maximum.reduceat(m, first)
+    return np.stack([np.ones(rows), most, np.log1p(total), np.log1p(100 * total / np.maximum(n, 1))], axis=1)
+
+
 def _scored(column: pa.Array, field: Field | None) -> tuple[np.ndarray, list[str]]:
     score, spans = np.zeros(len(column)), [""] * len(column)
     for c in chunks(column) if field else ():
         t = Tokens(c)
         m = field.marginals(t)
-        if len(m):
-            first = np.flatnonzero(t.begins)
-            score[c.first + t.row[first]] = np.maximum.reduceat(m, first)
+        score[c.first : c.first + c.rows] = 1 / (1 + np.exp(-np.clip(aggregates(t, m, c.rows) @ field.curve, -30, 30)))
         hot = np.flatnonzero(m >= 0.5)
         if len(hot):
             chars = np.concatenate([[0], np.cumsum((c.data & 0xC0) != 0x80)])

@@ -256,7 +256,7 @@ def test_toxicity(spark):
     got = {r.doc_id: r for r in toxicity.score(docs, labelled).collect()}
     held = [k for k in range(len(texts)) if got[k].held_out]
     assert len(held) > 50 and all(got[k].predicted == labels[k] for k in held)
-    assert [got[k].predicted for k in range(400, 404)] == [0, 0, 0, 1] and got[400].score == 0
+    assert [got[k].predicted for k in range(400, 404)] == [0, 0, 0, 1] and got[400].score < 0.1
     assert got[403].spans == "0:8,18:26"
     for k in (0, 6):
         for span in got[k].spans.split(","):
