@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -68,6 +69,9 @@ def _anchors(batches: Iterator[pa.RecordBatch], length: int, seed: int) -> Itera
 
 def _extend(batches: Iterator[pa.RecordBatch], length: int, seed: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        # of copies the one of least doc_id
+        own, low = batch.column(1), batch.column(5)
+        batch = batch.filter(pc.or_(pc.fill_null(pc.equal(own, low), False), pc.and_(pc.is_null(own), pc.is_null(low))))
         doc, lists, weight = batch.column(0), batch.column(3), batch.column(4)
         ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
         for c in chunks(batch.column(2)):
@@ -122,7 +126,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, text
     seeds = _repeated(anchors, "anchor", F.count("*"))
     seeds = seeds.join(copies, F.col("doc") == F.col("d")).select("d", "places", "low", "weight")
     # of copies one is extended, and counts for two
-    runs = docs.join(seeds, (F.col("doc") == F.col("d")) & F.col("doc_id").eqNullSafe(F.col("low"))).select("doc", "doc_id", "text", "places", "weight")
+    # (a condition on doc_id in the join would deal the texts out by other keys than the last join does)
+    runs = docs.join(seeds, F.col("doc") == F.col("d")).select("doc", "doc_id", "text", "places", "weight", "low")
     runs = runs.mapInArrow(lambda it: _extend(it, length, seed), "run long, doc long, at int, weight int")
     repeats = _repeated(runs, "run", F.sum("weight")).withColumnRenamed("doc", "d")
     return docs.join(repeats, F.col("doc") == F.col("d"), "left").select("doc", "doc_id", "text", "places").mapInArrow(lambda it: _remove(it, length, texts), SCHEMA)
