@@ -33,7 +33,7 @@ from .langid import _bare_words
 from .store import cut
 from .text import Chunk, Lookup, chunks, mix
 
-SAMPLE_ROWS = 6_000
+SAMPLE_ROWS = 3_000
 THRESHOLD = 0.3
 #: Lengths in bytes of the beginnings that may be toxic as such, and their least toxic share of contexts.
 STEMS, STEM_SHARE = (4, 5, 6, 7, 8), 0.95
@@ -112,8 +112,8 @@ class Field:
         self.weights = [np.zeros(len(k) + 1) for k in keys]
         self.start, self.trans = np.array([0.0, -3.0]), np.array([[0.0, -3.0], [0.0, -1.0]])
 
-    def places(self, t: Tokens) -> list[np.ndarray]:
-        return [table.find(f) for table, f in zip(self.tables, t.features(), strict=True)]
+    def places(self, features: list[np.ndarray]) -> list[np.ndarray]:
+        return [table.find(f).astype(np.int32) for table, f in zip(self.tables, features, strict=True)]
 
     def odds(self, places: list[np.ndarray]) -> np.ndarray:
         return np.exp(np.clip(sum(w[at] for w, at in zip(self.weights, places, strict=True)), -30, 30))
@@ -121,7 +121,7 @@ class Field:
     def marginals(self, t: Tokens) -> np.ndarray:
         if not len(t.word):
             return np.zeros(0)
-        r, s = forward_backward(self.odds(self.places(t)), t.begins, np.exp(self.start), np.exp(self.trans))
+        r, s = forward_backward(self.odds(self.places(t.features())), t.begins, np.exp(self.start), np.exp(self.trans))
         return r * s / (1 + r * s)
 
     def calibrate(self, x: np.ndarray, y: np.ndarray) -> None:
@@ -134,23 +134,25 @@ class Field:
             w += np.clip(step, -3, 3)
         self.curve = w
 
-    def train(self, parts: list[tuple[Tokens, np.ndarray]], rounds: int = ROUNDS) -> None:
-        """Gradient ascent (each step scaled by past gradients) on the log likelihood of labelled tokens."""
-        at = [self.places(t) for t, _ in parts]
+    def train(self, parts: list[tuple[list[np.ndarray], np.ndarray, np.ndarray]], rounds: int = ROUNDS) -> None:
+        """Gradient ascent (each step scaled by past gradients) on the log likelihood of labelled tokens.
+
+        parts: (places of features, begins of documents, labels) of tokens.
+        """
         weights = [*self.weights, self.start, self.trans]
         past = [np.full(w.shape, 1e-6) for w in weights]
         for _ in range(rounds):
             grads = [-L2 * w for w in weights]
-            for (t, gold), k in zip(parts, at, strict=True):
-                x, pi, a = self.odds(k), np.exp(self.start), np.exp(self.trans)
-                r, s = forward_backward(x, t.begins, pi, a)
+            for places, begins, gold in parts:
+                x, pi, a = self.odds(places), np.exp(self.start), np.exp(self.trans)
+                r, s = forward_backward(x, begins, pi, a)
                 m = r * s / (1 + r * s)
                 d = gold - m
-                for g, idx in zip(grads, k):  # -1, an unknown feature, is the last place
+                for g, idx in zip(grads, places):  # -1, an unknown feature, is the last place
                     g += np.bincount(idx % len(g), weights=d, minlength=len(g))
-                b = np.flatnonzero(t.begins)
+                b = np.flatnonzero(begins)
                 grads[-2] += [(1 - gold[b]).sum() - (1 - m[b]).sum(), gold[b].sum() - m[b].sum()]
-                i = np.flatnonzero(~t.begins)
+                i = np.flatnonzero(~begins)
                 u, v = r[i - 1], x[i] * s[i]
                 w = np.stack([np.full(len(i), a[0, 0]), a[0, 1] * v, a[1, 0] * u, a[1, 1] * u * v])
                 w = (w / w.sum(axis=0)).sum(axis=1).reshape(2, 2)
@@ -197,37 +199,42 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> F
 
 
 def learn(column: pa.Array, labels_of: np.ndarray) -> Field | None:
-    """The field of labelled texts."""
-    parts = []
+    """The field of labelled texts. Only features are kept of a chunk, so memory follows the sample's tokens."""
+    if labels_of.all() or not labels_of.any():
+        return None
+    whole: list[list[np.ndarray]] = [[], [], []]
     for c in chunks(column):
         t = Tokens(c)
-        parts.append((t, labels_of[c.first + t.row]))
-    if not parts or labels_of.all() or not labels_of.any():
-        return None
-    whole = [np.concatenate(x) for x in ([t.word for t, _ in parts], [x for _, x in parts], [t.begins for t, _ in parts])]
-    seeds = [Lookup(toxic_keys(whole[0], *whole, 0.5))]
-    seeds += [Lookup(toxic_keys(np.concatenate([t.head(n) for t, _ in parts]), *whole, STEM_SHARE)) for n in STEMS]
+        for kept, x in zip(whole, (t.word, labels_of[c.first + t.row], t.begins), strict=True):
+            kept.append(x)
+    word, bad, begins = map(np.concatenate, whole)
+    del whole
+    seeds = [Lookup(toxic_keys(word, word, bad, begins, 0.5))]
+    for n in STEMS:
+        seeds.append(Lookup(toxic_keys(np.concatenate([Tokens(c).head(n) for c in chunks(column)]), word, bad, begins, STEM_SHARE)))
+    del word, bad, begins
     if not any(len(x.keys) for x in seeds):
         return None
     # the gradient: all toxic documents, and some clean ones for each
     clean = np.flatnonzero(~labels_of)
     use = labels_of.copy()
     use[clean[: CLEAN_TO_TOXIC * int(labels_of.sum())]] = True
-    chosen = column.filter(pa.array(use))
     gold_of, parts = labels_of[use], []
-    for c in chunks(chosen):
+    for c in chunks(column.filter(pa.array(use))):
         t = Tokens(c)
         if len(t.word):
             hit = seeds[0].find(t.word) >= 0
             for n, look in zip(STEMS, seeds[1:], strict=True):
                 hit |= (look.find(t.head(n)) >= 0) & (t.end - t.start >= n)
-            parts.append((t, (hit & gold_of[c.first + t.row]).astype(np.float64)))
+            parts.append((t.features(), t.begins, (hit & gold_of[c.first + t.row]).astype(np.float64)))
     keys = []
     for k in range(4):
-        key, n = np.unique(np.concatenate([t.features()[k] for t, _ in parts]), return_counts=True)
+        key, n = np.unique(np.concatenate([f[k] for f, _, _ in parts]), return_counts=True)
         keys.append(key[n > 1])
     field = Field(keys)
+    parts = [(field.places(f), begins, gold) for f, begins, gold in parts]
     field.train(parts)
+    del parts
     rows = [aggregates(t, field.marginals(t), c.rows) for c in chunks(column) for t in [Tokens(c)]]
     field.calibrate(np.concatenate(rows), labels_of.astype(np.float64))
     return field
