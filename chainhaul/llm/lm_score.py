@@ -1,21 +1,25 @@
 """Language-model scoring with a weighted backoff automaton.
 
-Counts of words and of n-grams come from all training documents.  N-grams of
-two and three words become states and arcs if they make up at least
-``GRAM_SHARE`` of all training tokens; words that make up at least
-``WORD_SHARE`` are arcs of the root.  A share bounds their number (at most
-1 / share of each order) whatever the size of the corpus, so the automaton fits
-every worker, and it behaves alike at every size.  Rarer words all leave the
-root by one arc whose weight needs the word's count: those tokens meet the
-table of counts in a join.
+Counts of words and of n-grams come from all training documents.  Every n-gram
+of two and three words that occurs ``LEAST`` times is an arc, whatever share of
+the corpus it is, so the model grows with the corpus.  It is held in tables
+keyed by 64-bit hashes: scoring meets them in one join, by additive weights.
+Leaving a state h by its failure arc adds bow(h); an n-gram hw that is an arc
+adds what its log probability differs from that way.  So a document's score is
+the sum, over all its words and n-grams, of one weight each.
+
+What bounds memory: words and n-grams that make up at least ``WORD_SHARE`` and
+``GRAM_SHARE`` of all training tokens are held by every worker (at most
+1 / share of each), all others are joined; bitmaps of fixed size keep n-grams
+that cannot be arcs out of the counts and the join.  Neither changes a result.
 
 Smoothing: the root gives log10((c + 0.5) / (N + 0.5 (V + 1))).  A higher state
 h gives a seen word w (c(hw) - D) / c(h); its failure arc has the weight that
 makes the state's probabilities sum to one, (D n(h) + the unseen part) over
-what the lower state leaves to unseen words.  One traversal from left to right
-carries the state and adds up log probabilities; documents are laid end to end
-and cut into lanes that advance together, each lane starting from the state
-that the words before it leave.
+what the lower state leaves to unseen words.
+
+``fit`` builds an ``Automaton`` of what one worker can hold (n-grams above a
+share), to walk it token by token; ``score`` does not use it.
 
 Rows and cases: a null or empty text is its end token alone.  Repeated rows are
 scored alike (and counted in training as often as they occur).  An empty
@@ -36,6 +40,8 @@ from .text import Chunk, Lookup, as_long, chunks, mix
 
 WORD_SHARE = 5e-7
 GRAM_SHARE = 1e-5
+#: N-grams that occur less often are no arcs.
+LEAST = 2
 ORDER = 3
 DISCOUNT = 0.75
 LANE = 512
@@ -59,14 +65,15 @@ def tokens_of(c: Chunk) -> tuple[np.ndarray, np.ndarray]:
 
 
 class _Counter:
-    """Counts of 64-bit keys, merged now and then."""
+    """Counts of 64-bit keys, merged now and then; further columns that a key determines go with it."""
 
     def __init__(self):
         self.parts, self.held, self.limit = [], 0, 1 << 20
 
-    def add(self, keys: np.ndarray) -> None:
+    def add(self, keys: np.ndarray, *more: np.ndarray) -> None:
         if len(keys):
-            self._push(np.unique(keys, return_counts=True))
+            keys, at, n = np.unique(keys, return_index=True, return_counts=True)
+            self._push((keys, n, *(x[at] for x in more)))
 
     def _push(self, part) -> None:
         self.parts.append(part)
@@ -76,19 +83,19 @@ class _Counter:
             self.limit = max(1 << 20, 2 * self.held)
 
     def _merge(self) -> None:
-        keys = np.concatenate([p[0] for p in self.parts])
-        n = np.concatenate([p[1] for p in self.parts])
+        keys, n, *more = (np.concatenate(x) for x in zip(*self.parts, strict=True))
         order = np.argsort(keys, kind="stable")
         keys, n = keys[order], n[order]
         first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        self.parts, self.held = [(keys[first], np.add.reduceat(n, first))], len(first)
+        self.parts, self.held = [(keys[first], np.add.reduceat(n, first), *(x[order[first]] for x in more))], len(first)
 
     def batches(self, size: int = 1 << 17) -> Iterator[pa.RecordBatch]:
         if self.parts:
             self._merge()
-            keys, n = self.parts[0]
+            keys, n, *more = self.parts[0]
             for k in range(0, len(keys), size):
-                yield pa.RecordBatch.from_arrays([pa.array(as_long(keys[k : k + size])), pa.array(n[k : k + size].astype(np.int64))], names=["key", "n"])
+                own = more or [keys]
+                yield pa.RecordBatch.from_arrays([*(pa.array(as_long(x[k : k + size])) for x in own), pa.array(n[k : k + size].astype(np.int64))], names=["left", "right", "n"] if more else ["key", "n"])
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,37 +256,144 @@ class Automaton:
         return out.ravel()[:n]
 
 
-SCHEMA = "row long, doc_id long, held_out boolean, key long, tf long, n_tokens long, n_known long, base_local double, score_local double"
-_NAMES = ["row", "doc_id", "held_out", "key", "tf", "n_tokens", "n_known", "base_local", "score_local"]
+#: Bits of the filter that holds the keys of one order.
+FILTER_BITS = 1 << 26
+
+
+def _turn(n: int) -> int:
+    return 6 * n - 11
+
+
+def _joined(left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
+    """Keys of n-grams from those of their first and last n - 1 words; _key does the same."""
+    t = np.uint64(_turn(n))
+    return left ^ (right << t | right >> (np.uint64(64) - t))
+
+
+def _key(n: int) -> Column:
+    return F.col("left").bitwiseXOR(F.shiftleft("right", _turn(n)).bitwiseOR(F.shiftrightunsigned("right", 64 - _turn(n))))
+
+
+def _grams(tokens: np.ndarray, offs: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For n = 2, 3, ...: the places where n-grams begin, and the keys of n - 1 and of n words from each place."""
+    left = np.repeat(offs[1:], np.diff(offs)) - np.arange(len(tokens))
+    keys = tokens
+    for n in range(2, order + 1):
+        shorter, keys = keys, keys.copy()
+        keys[:-1] = _joined(shorter[:-1], shorter[1:], n)
+        yield np.flatnonzero(left >= n), shorter, keys
+
+
+def _places(keys: np.ndarray) -> np.ndarray:
+    return (mix(keys) % np.uint64(FILTER_BITS)).astype(np.int64)
+
+
+def _in(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    place = _places(keys)
+    return (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 > 0
+
+
+def _filter(keys: DataFrame) -> np.ndarray:
+    """The bitmap of a column key; at most FILTER_BITS / 64 rows reach the driver."""
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = _places(batch.column(0).to_numpy().view(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array((place >> 6).astype(np.int32)), pa.array(as_long(np.uint64(1) << (place & 63).astype(np.uint64)))], names=["word", "bits"])
+
+    got = keys.select("key").mapInArrow(bits, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    table = np.zeros(FILTER_BITS >> 6, dtype=np.int64)
+    table[got["word"].to_numpy()] = got["bits"].to_numpy()
+    return table.view(np.uint8)
+
+
+def _count_longer(batches: Iterator[pa.RecordBatch], shared, n: int) -> Iterator[pa.RecordBatch]:
+    """Counts of n-grams whose two (n-1)-grams pass the filter: no other can occur often enough."""
+    bits, counter = shared.value, _Counter()
+    for batch in batches:
+        for c in chunks(batch.column(0)):
+            *_, (at, shorter, keys) = _grams(*tokens_of(c), n)
+            ok = _in(bits, shorter)
+            at = at[ok[at] & ok[at + 1]]
+            counter.add(keys[at], shorter[at], shorter[at + 1])
+    yield from counter.batches()
+
+
+def weights(train: DataFrame, order: int = ORDER, least: int = LEAST) -> tuple[int, int, DataFrame, list[np.ndarray]]:
+    """Training tokens, distinct words, the table (key, is_word, n, v) of all words and arcs, written, and a filter for each order of n-grams.
+
+    v of a word is the failure weight of its state (0 where it is none), v of
+    an n-gram that and what its arc adds.
+    """
+    sc = train.sparkSession.sparkContext
+    texts = train.select("text")
+    counts = cut(texts.mapInArrow(_count_words, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))
+    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    parts = [counts.select("key", F.lit(True).alias("is_word"), "n", F.lit(0.0).alias("v"))]
+    kept = counts.where(F.col("n") >= least).select("key", "n", F.log10((F.col("n") + 0.5) / F.lit(total + 0.5 * (distinct + 1))).alias("p"))
+    filters = [_filter(kept)]
+    for n in range(2, order + 1):
+        shared = sc.broadcast(filters[-1])
+        counted = texts.mapInArrow(lambda it, shared=shared, n=n: _count_longer(it, shared, n), "left long, right long, n long").groupBy("left", "right").agg(F.sum("n").alias("n"))
+        grams = counted.where(F.col("n") >= least).withColumn("key", _key(n))
+        grams = grams.join(kept.select(F.col("key").alias("left"), F.col("n").alias("c")), "left").join(kept.select(F.col("key").alias("right"), F.col("p").alias("low")), "right")
+        grams = cut(grams.select("key", "left", "n", "low", F.log10((F.col("n") - DISCOUNT) / F.col("c")).alias("p")))
+        room = [F.greatest(1 - F.sum(F.pow(F.lit(10.0), F.col(x))), F.lit(1e-9)) for x in ("p", "low")]
+        states = cut(grams.groupBy("left").agg(F.log10(room[0] / room[1]).alias("bow")))
+        parts.append(states.select(F.col("left").alias("key"), F.lit(n == 2).alias("is_word"), F.lit(0).cast("long").alias("n"), F.col("bow").alias("v")))
+        parts.append(grams.join(states, "left").select("key", F.lit(False).alias("is_word"), "n", (F.col("p") - F.col("low") - F.col("bow")).alias("v")))
+        kept = grams.select("key", "n", "p")
+        filters.append(_filter(kept))
+        shared.unpersist()
+    table = parts[0]
+    for part in parts[1:]:
+        table = table.unionAll(part)
+    return total, distinct, cut(table.groupBy("key").agg(F.max("is_word").alias("is_word"), F.max("n").alias("n"), F.sum("v").alias("v"))), filters[1:]
+
+
+_DOC = pa.struct([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
+SCHEMA = "row long, key long, tf int, gram boolean, doc struct<doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double>"
+_NAMES = ["row", "key", "tf", "gram", "doc"]
 
 
 def _score(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    """A row a document (tf null, any key) with what the automaton holds, and a row for each of its rare words."""
-    model = shared.value
+    """A row a document (tf null, any key) with what the worker holds, and rows for its other words and for n-grams that may be arcs."""
+    words, base, v, grams, gram_v, filters = shared.value
+
+    def features(rows: np.ndarray, keys: np.ndarray, tf: np.ndarray, gram: bool) -> Iterator[pa.RecordBatch]:
+        for k in range(0, len(keys), 1 << 17):
+            own = slice(k, k + (1 << 17))
+            m = len(keys[own])
+            yield pa.RecordBatch.from_arrays([pa.array(rows[own]), pa.array(as_long(keys[own])), pa.array(tf[own].astype(np.int32)), pa.array(np.full(m, gram)), pa.nulls(m, _DOC)], names=_NAMES)
+
     for batch in batches:
         ids, held, text, place = batch.columns
         for c in chunks(text):
             tokens, offs = tokens_of(c)
-            word = model.words.find(tokens)
+            word = words.find(tokens)
             known = word >= 0
-            logs = model.walk(word, offs[:-1])
-            base = np.where(known, model.base[word] if len(model.base) else 0.0, 0.0)
             n = np.diff(offs)
             row = np.repeat(np.arange(c.rows), n)
-            total = [np.bincount(row, weights=x, minlength=c.rows) for x in (known, base, logs)]
-            at = pa.array(np.arange(c.first, c.first + c.rows))
-            own = place.take(at)
-            spread = pa.array(as_long(mix(own.to_numpy().view(np.uint64))))
-            yield pa.RecordBatch.from_arrays([own, ids.take(at), held.take(at), spread, pa.nulls(c.rows, pa.int64()), pa.array(n.astype(np.int64)), pa.array(total[0].astype(np.int64)), pa.array(total[1]), pa.array(total[2])], names=_NAMES)
+            own = place.slice(c.first, c.rows)
+            rows = own.to_numpy()
+            logs = np.where(known, (base + v)[word] if len(base) else 0.0, 0.0)
+            for (at, _, keys), bits in zip(_grams(tokens, offs, len(filters) + 1), filters, strict=True):
+                at = at[_in(bits, keys[at])]
+                found = grams.find(keys[at])
+                hit = found >= 0
+                logs[at[hit]] += gram_v[found[hit]]
+                at = at[~hit]
+                yield from features(rows[row[at]], keys[at], np.ones(len(at)), True)
+            total = [np.bincount(row, weights=x, minlength=c.rows) for x in (known, np.where(known, base[word] if len(base) else 0.0, 0.0), logs)]
+            doc = pa.StructArray.from_arrays([ids.slice(c.first, c.rows), held.slice(c.first, c.rows), pa.array(n.astype(np.int64)), pa.array(total[0].astype(np.int64)), pa.array(total[1]), pa.array(total[2])], fields=list(_DOC))
+            spread = pa.array(as_long(mix(rows.view(np.uint64))))
+            yield pa.RecordBatch.from_arrays([own, spread, pa.nulls(c.rows, pa.int32()), pa.array(np.zeros(c.rows, dtype=bool)), doc], names=_NAMES)
             rare = np.flatnonzero(~known)
             if len(rare):
                 order = rare[np.lexsort((tokens[rare], row[rare]))]
-                keys, rows = tokens[order], row[order]
-                first = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (rows[1:] != rows[:-1])]))
-                tf = np.diff(np.concatenate([first, [len(order)]]))
-                k = len(first)
-                none, real = pa.nulls(k, pa.int64()), pa.nulls(k, pa.float64())
-                yield pa.RecordBatch.from_arrays([place.take(pa.array(c.first + rows[first])), none, pa.nulls(k, pa.bool_()), pa.array(as_long(keys[first])), pa.array(tf.astype(np.int64)), none, none, real, real], names=_NAMES)
+                keys, of = tokens[order], row[order]
+                first = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (of[1:] != of[:-1])]))
+                yield from features(rows[of[first]], keys[first], np.diff(np.concatenate([first, [len(order)]])), False)
 
 
 def _frequent(counts: DataFrame, least: float) -> tuple[np.ndarray, np.ndarray]:
@@ -309,16 +423,19 @@ def fit(train: DataFrame, order: int = ORDER, word_share: float = WORD_SHARE, gr
     return Automaton(total, distinct, words, grams), counts
 
 
-def score(docs: DataFrame, order: int = ORDER, word_share: float = WORD_SHARE, gram_share: float = GRAM_SHARE) -> DataFrame:
-    """Learn from documents that aren't held out and score all, a row a document."""
+def score(docs: DataFrame, order: int = ORDER, word_share: float = WORD_SHARE, gram_share: float = GRAM_SHARE, least: int = LEAST) -> DataFrame:
+    """Learn from documents that aren't held out and score all, a row a document; the shares bound what a worker holds, not the model."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
-    model, counts = fit(docs.where(~F.col("held_out")), order, word_share, gram_share)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    total, distinct = model.total, model.distinct
+    total, distinct, table, filters = weights(docs.where(~F.col("held_out")), order, least)
+    held = table.where(F.col("n") >= F.when(F.col("is_word"), word_share * total).otherwise(gram_share * total)).toArrow()
+    is_word, keys, n, v = (held[x].to_numpy() for x in ("is_word", "key", "n", "v"))
+    is_word, keys = is_word.astype(bool), keys.view(np.uint64)
+    base = np.log10((n[is_word] + 0.5) / (total + 0.5 * (distinct + 1)))
+    shared = docs.sparkSession.sparkContext.broadcast((Lookup(keys[is_word]), base, v[is_word], Lookup(keys[~is_word]), v[~is_word], filters))
     local = docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(lambda it: _score(it, shared), SCHEMA)
-    joined = local.join(counts.withColumnRenamed("key", "k"), F.col("key") == F.col("k"), "left")
-    c = F.coalesce(F.col("n"), F.lit(0))
-    rare = F.col("tf") * F.log10((c + 0.5) / F.lit(total + 0.5 * (distinct + 1)))
-    joined = joined.select("row", "doc_id", "held_out", "n_tokens", F.coalesce("n_known", F.when(c > 0, F.col("tf")).otherwise(0)).alias("n_known"), F.coalesce("base_local", rare).alias("base"), F.coalesce("score_local", rare).alias("score"))
+    joined = local.join(table.select(F.col("key").alias("k"), "n", "v"), F.col("key") == F.col("k"), "left")
+    c, v, rare = F.coalesce("n", F.lit(0)), F.coalesce("v", F.lit(0.0)), F.col("tf").isNotNull() & ~F.col("gram")
+    base = F.when(rare, F.col("tf") * F.log10((c + 0.5) / F.lit(total + 0.5 * (distinct + 1)))).otherwise(0.0)
+    joined = joined.select("row", "doc.doc_id", "doc.held_out", "doc.n_tokens", F.coalesce("doc.n_known", F.when(rare & (c > 0), F.col("tf")).otherwise(0)).alias("n_known"), F.coalesce("doc.base", base).alias("base"), F.coalesce("doc.score", base + F.col("tf") * v).alias("score"))
     by = joined.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"))
     return by.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

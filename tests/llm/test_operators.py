@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -112,6 +113,52 @@ def test_lm_automaton_sums_to_one_and_walks(spark, texts):
     assert counts.count() == model.distinct
 
 
+def backoff_scores(texts, least=2, discount=0.75):
+    """Scores by recursion over counts of all n-grams up to three words."""
+    tokens = [[*words(lower(t)), None] for t in texts]
+    held = [h for h, *_ in base_scores(texts)]
+    c = Counter(tuple(t[i : i + n]) for t, h in zip(tokens, held) if not h for n in (1, 2, 3) for i in range(len(t) - n + 1))
+    total, distinct = sum(v for g, v in c.items() if len(g) == 1), sum(len(g) == 1 for g in c)
+    arcs = {}
+    for g, v in c.items():
+        if len(g) > 1 and v >= least:
+            arcs.setdefault(g[:-1], {})[g[-1]] = (v - discount) / c[g[:-1]]
+    bow = {}
+
+    def p(h, w):
+        if not h:
+            return (c[w,] + 0.5) / (total + 0.5 * (distinct + 1))
+        if h not in arcs:
+            return p(h[1:], w)
+        if w in arcs[h]:
+            return arcs[h][w]
+        if h not in bow:
+            bow[h] = max(1 - sum(arcs[h].values()), 1e-9) / max(1 - sum(p(h[1:], x) for x in arcs[h]), 1e-9)
+        return bow[h] * p(h[1:], w)
+
+    return [sum(math.log10(p(tuple(t[max(0, i - 2) : i]), w)) for i, w in enumerate(t)) for t in tokens]
+
+
+def test_lm_scores_equal_brute_force(spark, docs, texts):
+    want = backoff_scores(texts)
+    for shares in ({}, {"word_share": 2.0, "gram_share": 2.0}):  # all that is frequent held, or nothing
+        got = {r.doc_id: r.score for r in lm_score.score(docs, **shares).collect()}
+        assert [got[k] for k in range(len(texts))] == pytest.approx(want, rel=1e-9)
+
+
+def test_lm_keeps_ngrams_of_any_share(spark):
+    # 400,000 tokens: a passage seen twice is below 1e-5 of them
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 3000, 4000)) for _ in range(125)]
+    passage = " ".join(f"p{k}" for k in range(20))
+    train, test = ([k for k, (h, *_) in enumerate(base_scores(texts)) if h == x] for x in (False, True))
+    for k in (*train[:2], test[0]):
+        texts[k] += " " + passage
+    want = backoff_scores(texts)
+    got = {r.doc_id: r.score for r in lm_score.score(documents(spark, texts).repartition(4)).collect()}
+    assert [got[k] for k in range(len(texts))] == pytest.approx(want, rel=1e-9)
+
+
 def test_lm_empty_training(spark):
     docs = documents(spark, ["a b", None]).withColumn("doc_id", F.lit(3).cast("long"))
     got = lm_score.score(docs.limit(0))
