@@ -341,13 +341,9 @@ def eigenvector_k_steps(spark, sf):
     return graph.eigenvector_steps(network.edges(mx(spark, sf)), 3).withColumn("score", F.round("score", 9))
 
 
-def _small(spark, sf):
-    return network.edges(mx(spark, sf)).where("weight >= 2 and length(o_id) <= 3 and length(d_id) <= 3")
-
-
 @query(None)
 def betweenness_small(spark, sf):
-    return graph.betweenness(_small(spark, sf)).withColumn("betweenness", r6("betweenness"))
+    return graph.betweenness(network.edges(mx(spark, sf))).withColumn("betweenness", r6("betweenness"))
 
 
 # second-order network

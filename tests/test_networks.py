@@ -117,3 +117,33 @@ def test_betweenness_and_eigenvector(spark):
     assert got == {"a": 3.0, "b": 3.0, "c": 0.0, "d": 3.0} or sum(got.values()) == 9.0
     s = {r.id: r.score for r in graph.eigenvector(e).collect()}
     assert sum(s.values()) == pytest.approx(1) and s["d"] > s["c"]
+
+
+def test_betweenness_query_takes_all_edges(spark, tmp_path):
+    import random
+
+    from chainhaul.operators import network
+    from chainhaul.plans import queries
+
+    rng = random.Random(3)
+    stops = [8, 9, 10, 99, 100, 102, 1000, 1002, 12345]
+    lines = [(o, k, "2020-01-01", 1, rng.choice(stops), 1.0, "N", 1) for o in range(12) for k in range(3)]
+    spark.createDataFrame([(o, o) for o in range(12)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_shipdate string, l_partkey long, l_suppkey long, l_extendedprice double, l_returnflag string, l_quantity int").selectExpr("*", "to_date(l_shipdate) d").drop("l_shipdate").withColumnRenamed("d", "l_shipdate").write.parquet(f"{tmp_path}/lineitem.parquet")
+    edges = network.edges(queries.mx(spark, str(tmp_path))).collect()
+    assert any(e.weight == 1 for e in edges) and any(len(e.o_id) > 3 for e in edges)
+    nodes = sorted({x for e in edges for x in (e.o_id, e.d_id)})
+    to = {v: {e.d_id for e in edges if e.o_id == v} - {v} for v in nodes}
+    far, ways = {}, {}
+    for s in nodes:
+        far[s, s], ways[s, s], at, depth = 0, 1, [s], 0
+        while at:
+            depth += 1
+            new = {w for v in at for w in to[v] if (s, w) not in far}
+            for w in new:
+                ways[s, w] = sum(ways[s, v] for v in at if w in to[v])
+            far |= dict.fromkeys(((s, w) for w in new), depth)
+            at = sorted(new)
+    want = {v: sum(ways[s, v] * ways[v, t] / ways[s, t] for s, t in far if v not in (s, t) and far.get((s, v), 99) + far.get((v, t), 99) == far[s, t]) for v in nodes}
+    got = {r.id: r.betweenness for r in queries.betweenness_small(spark, str(tmp_path)).collect()}
+    assert got == pytest.approx(want, abs=1e-6) and max(want.values()) > 0
