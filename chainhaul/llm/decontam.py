@@ -2,10 +2,14 @@
 
 Numbers, units and names give way to typed placeholders, so a question asked
 again with other values has the same template.  Windows of ``WINDOW`` template
-tokens of documents and benchmark items meet in a hash join.  A document leaks
-an item if its matching windows cover at least ``SHARE`` of the item's windows
-and its slots are consistent: each value of the item stands for one value of
-the document (or the windows with unchanged values cover as much alone).  Values are told apart by the item and the place they fill.
+tokens of documents and benchmark items meet in a hash join.  Matching windows
+are judged by occurrence: those of one document and item whose offset between
+both texts is the same, those whose offsets lie close (``SPANS``; words were put
+in or left out), and those of the whole document.  A document leaks an item if,
+in any occurrence, matching windows cover at least ``SHARE`` of the item's
+windows and its slots are consistent: each value of the item stands for one
+value of the document.  Windows with unchanged values that cover as much suffice
+too, wherever they stand.
 
 Only windows that can match leave the text scan: a bitmap of fixed size
 (``BITMAP_BITS``) holds the hashes of the benchmark's windows; what it lets
@@ -40,6 +44,8 @@ from .text import Chunk, as_long, chunks, gram_hashes, mix
 WINDOW = 8
 LITERALS = 4
 SHARE = 0.5
+#: Offsets that differ by no more than one of these are also judged as one occurrence.
+SPANS = (8, 64)
 BITMAP_BITS = 1 << 24
 #: The units that are told apart from other words.
 UNITS = ("mm cm m km in ft yd mi inch inches foot feet mile miles meter meters metre metres kilometer kilometers kilometre kilometres mg g kg t lb lbs oz gram grams kilogram kilograms pound pounds ounce ounces ton tons ml l liter liters litre litres gallon gallons s sec secs second seconds min mins minute minutes h hr hrs hour hours day days week weeks month months year years usd eur dollar dollars euro euros cent cents percent degree degrees mph kmh").split()
@@ -164,7 +170,11 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(id, item, windows, matched, consistent) of the items whose windows meet a document's; docs: (id, text)."""
+    """(id, item_id, matched, verbatim, windows, agreed) of the items whose windows meet a document's; docs: (id, text).
+
+    matched and verbatim count windows of the whole document, agreed those of
+    the consistent occurrence that has most.
+    """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").withColumn("item", F.struct("item_id", F.monotonically_increasing_id().alias("nth")))
     known = cut(items.select(F.col("item.nth").alias("id"), "text").mapInArrow(_item_windows, "id long, hash long, at int, slots array<long>, size int"))
     names = cut(items.select("item.nth", "item_id"))
@@ -176,19 +186,25 @@ def _matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     seen = docs.mapInArrow(lambda it: _doc_windows(it, shared), "id long, hash long, at int, slots array<long>")
     total = known.groupBy(F.col("id").alias("of")).agg(F.count("*").alias("windows"))
     other = known.select(F.col("id").alias("nth"), F.col("hash").alias("h"), F.col("at").alias("item_at"), F.col("slots").alias("item_slots"))
-    met = seen.join(other, F.col("hash") == F.col("h")).select("id", "nth", "item_at", (F.col("item_slots") == F.col("slots")).alias("same"), F.arrays_zip("item_slots", "slots").alias("pairs"))
+    met = seen.join(other, F.col("hash") == F.col("h")).select("id", "nth", "item_at", (F.col("at") - F.col("item_at")).alias("offset"), (F.col("item_slots") == F.col("slots")).alias("same"), F.arrays_zip("item_slots", "slots").alias("pairs"))
     met = cut(met)
-    matched = met.groupBy("id", "nth").agg(F.count_distinct("item_at").alias("matched"), F.count_distinct(F.when(F.col("same"), F.col("item_at"))).alias("verbatim"))
-    pairs = met.select("id", "nth", F.explode("pairs").alias("p")).distinct()
-    # an item's value with two values of the document: a clash; each place's windows vote by distinct pairs
-    clash = pairs.groupBy("id", "nth", "p.item_slots").agg(F.count("*").alias("n")).groupBy("id", "nth").agg(F.max("n").alias("most"))
-    out = matched.join(total, F.col("nth") == F.col("of")).join(clash, ["id", "nth"], "left").join(names, "nth")
-    return out.select("id", "item_id", "matched", "verbatim", "windows", (F.coalesce("most", F.lit(1)) == 1).alias("consistent"))
+    spot = lambda span, place: F.struct(F.lit(span).alias("span"), place.cast("long").alias("place"))
+    near = [spot(n, F.floor(F.col("offset") / n) - k) for n in SPANS for k in (0, 1)]
+    spots = met.withColumn("spot", F.explode(F.array(spot(1, F.col("offset")), *near, spot(0, F.lit(0))))).select("id", "nth", "item_at", "same", "pairs", "spot.*")
+    key = ["id", "nth", "span", "place"]
+    matched = spots.groupBy(*key).agg(F.count_distinct("item_at").alias("matched"), F.count_distinct(F.when(F.col("same"), F.col("item_at"))).alias("verbatim"))
+    pairs = spots.select(*key, F.explode("pairs").alias("p")).distinct()
+    # an item's value with two values of an occurrence: a clash; each place's windows vote by distinct pairs
+    clash = pairs.groupBy(*key, "p.item_slots").agg(F.count("*").alias("n")).groupBy(*key).agg(F.max("n").alias("most"))
+    agreed = F.when(F.coalesce("most", F.lit(1)) == 1, F.col("matched")).otherwise(0)
+    judged = matched.join(clash, key, "left").groupBy("id", "nth").agg(F.max("matched").alias("matched"), F.max("verbatim").alias("verbatim"), F.max(agreed).alias("agreed"))
+    out = judged.join(total, F.col("nth") == F.col("of")).join(names, "nth")
+    return out.select("id", "item_id", "matched", "verbatim", "windows", "agreed")
 
 
 def _leaking(matches: DataFrame, share: float) -> DataFrame:
     enough = F.col("windows") * share
-    return matches.where((F.col("verbatim") >= enough) | (F.col("matched") >= enough) & F.col("consistent"))
+    return matches.where((F.col("verbatim") >= enough) | (F.col("agreed") >= enough))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:

@@ -352,6 +352,21 @@ def test_decontamination(spark):
     assert decontam.leaks(docs, bench.limit(0)).count() == 0 and decontam.leaks(docs.limit(0), bench).count() == 0
 
 
+def test_decontamination_judges_occurrences(spark):
+    noise = " ".join(f"n{k}" for k in range(80))
+
+    def asked(n, h, place, name):
+        return ITEMS[0].replace("40", n).replace("3 hours", f"{h} hours").replace("Boston", place).replace("Mary", name)
+
+    first, second = asked("75", 9, "Denver", "Peter"), asked("81", 5, "Dallas", "Paula")
+    stray = "walk if the train needs 5 hours more?"
+    put_in = first.replace("long bridge", "very long and old bridge")
+    rows = [f"{noise}. {first} {second} {noise}", f"{noise}. {first} {noise} {stray}", f"{noise}. {put_in} {noise} {second.replace('after 5', 'after 6')}", f"{stray} {noise}", f"{noise}. {first.replace('needs 9', 'needs 4')} {noise} {second.replace('needs 5', 'needs 7')}"]
+    bench = spark.createDataFrame([(0, ITEMS[0])], "item_id long, text string")
+    assert {r.doc_id for r in decontam.leaks(documents(spark, rows), bench).collect()} == {0, 1, 2}
+    assert {r.doc_id for r in decontam.clean(documents(spark, rows), bench).collect()} == {3, 4}
+
+
 def test_lower_is_ascii_only():
     assert lower("ÄAz") == "Äaz" and math.isclose(1, 1)
 
