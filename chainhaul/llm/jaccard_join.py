@@ -6,21 +6,30 @@ Columns are ordered from rare to frequent; the size of a row bounds which of
 its first columns any partner must share (n - ceil(t n) + 1 of them), and only
 those enter the product.  A block of columns holds rows in compressed form and
 accumulates overlap counts of row pairs whose sizes fit.  A pair is dropped if
-its count plus what the rest of either row can add stays below the overlap that
-both sizes ask for, ceil(t (n1 + n2) / (1 + t)); the others are counted in full
-on their whole texts.
-
-A column of up to ``DENSE`` rows gives all its pairs.  A denser one first gives
-stars (each row with the least of its size class); once what these link is one
-component, its remaining pairs across components follow by a join, so a group
-of m near copies costs about m pairs and still no link between components is
-lost.  The frequent columns are known by a bounded list (``FREQUENT`` of them),
-which shapes only the order of columns, never the result.
+no column that it shares could be its first (the places of the column in both
+rows leave too little), or if its count plus what the rest of either row can add
+stays below the overlap that both sizes ask for, ceil(t (n1 + n2) / (1 + t));
+the others are counted in full on their whole texts.
+
+A column of up to ``DENSE`` rows gives its pairs.  The rows of a denser one meet
+its lead only, the row with most frequent columns, and are counted in full
+against it.  What a row x differs from a lead by, D(x), replaces it from there
+on: |x ^ y| = |D(x)| + |D(y)| - 2 |D(x) & D(y)|, so two rows of a lead link at
+once if their slacks, (1 - t) n - (1 + t) |D|, don't sum below zero, and
+otherwise only if D(x) and D(y) share at least a number of elements that the
+slacks give.  The first kind hangs on the row of most slack; the second comes
+from a second product, over the first elements of D, of pairs that don't both
+hang there.  So a group of m near copies costs m full counts, and no link
+between components is lost.  The frequent columns are known by a bounded list
+(``FREQUENT`` of them, from counters of bounded size), which shapes only the
+order of columns, never the result; their rows are dealt out by row, so that no
+task gets a frequent column as a whole.
 
 Rows and cases: a null or empty text has no n-grams and links with nothing;
 fewer words than n make one gram of the whole sequence.  Repeated rows fall
 into one component, rows of one doc_id are one vertex, and a null doc_id has a
-null component.  Extra columns are dropped.
+null component.  Extra columns are dropped.  A very long text is one row like
+any other; a task holds the n-grams of one chunk of texts.
 """
 
 from __future__ import annotations
@@ -30,25 +39,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
-from .lm_score import _Counter
 from .store import cut, rows_of
 from .text import Chunk, Lookup, as_long, chunks, gram_hashes, mix, repeat_ranges
 
 WORDS = 5
 PERCENT = 80
-DENSE = 16
+DENSE = 4
 FREQUENT = 1 << 20
 FREQUENT_FROM = 8
-#: A task reports grams that this many of its documents hold; it holds so many entries before it writes blocks.
-LOCAL_FROM = 2
-HELD = 1 << 21
-#: Entries of a column block.
-BLOCK = 2_000_000
+#: A task reports grams that so many of its documents hold after the first; bits of its filter of grams seen, and how many it takes before a new one; counts held.
+LOCAL_FROM, SEEN_BITS, SEEN, COUNTED = 2, 1 << 26, 1 << 24, 1 << 19
+#: A task holds so many entries before it writes blocks.
+HELD = 1 << 20
+#: Entries of a column block; most shuffle partitions.
+BLOCK, PARTITIONS = 2_000_000, 1 << 15
 COLUMN_BITS = 48
+#: Rows of a run of difference elements that one task pairs; longer runs are dealt out by pairs of their parts.
+RUN = 2048
 
 
 def gram_sets(c: Chunk, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -80,73 +91,129 @@ def set_keys(rows: np.ndarray, grams: np.ndarray, n_rows: int) -> tuple[np.ndarr
     return n, mix(sums + n.astype(np.uint64))
 
 
-def _measure(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
-    """Rows of two kinds: (doc_id, key, n) of each document; (null, gram, count) of grams frequent in this task."""
+class _Often:
+    """Counts of the keys that come again, in bounded memory: a filter tells first occurrences, which aren't counted."""
+
+    def __init__(self):
+        self.bits, self.taken = np.zeros(SEEN_BITS >> 3, dtype=np.uint8), 0
+        self.parts, self.held = [], 0
+
+    def add(self, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Takes keys; gives (key, n) when too many are held."""
+        if self.taken > SEEN:
+            self.bits[:], self.taken = 0, 0
+        keys, n = np.unique(keys, return_counts=True)
+        place = (mix(keys) % np.uint64(SEEN_BITS)).astype(np.int64)
+        at, bit = place >> 3, (1 << (place & 7)).astype(np.uint8)
+        seen = self.bits[at] & bit > 0
+        np.bitwise_or.at(self.bits, at[~seen], bit[~seen])
+        self.taken += len(keys)
+        n = n - ~seen
+        self.parts.append((keys[n > 0], n[n > 0]))
+        self.held += len(self.parts[-1][0])
+        if self.held > COUNTED:
+            self._merge()
+            if self.held > COUNTED // 2:
+                yield from self.batches()
+
+    def _merge(self) -> None:
+        keys, n = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        order = np.argsort(keys, kind="stable")
+        keys, n = keys[order], n[order]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, dtype=np.int64)
+        self.parts, self.held = [(keys[first], np.add.reduceat(n, first) if len(first) else n[:0])], len(first)
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        if self.parts:
+            self._merge()
+            keys, n = self.parts[0]
+            keys, n = keys[n >= LOCAL_FROM], n[n >= LOCAL_FROM] + 1
+            self.parts, self.held = [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(as_long(keys)), pa.array(n.astype(np.int64))], names=["key", "n"])
+
+
+def _measure(batches: Iterator[pa.RecordBatch], words: int, count: bool = True) -> Iterator[pa.RecordBatch]:
+    """Rows of two kinds: (doc_id, key, n) of each document; with ``count`` (null, gram, count) of grams frequent in this task."""
     names = ["doc_id", "key", "n"]
-    counter = _Counter()
+    counter = _Often() if count else None
+
+    def counts(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own in found:
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(own), pa.int64()), *own.columns], names=names)
+
     for batch in batches:
         for c in chunks(batch.column(1)):
             rows, grams = gram_sets(c, words)
-            counter.add(grams)
             n, key = set_keys(rows, grams, c.rows)
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.first, c.rows), pa.array(as_long(key)), pa.array(n.astype(np.int64))], names=names)
-    for batch in counter.batches():
-        often = batch.filter(pa.array(batch.column(1).to_numpy() >= LOCAL_FROM))
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(often), pa.int64()), *often.columns], names=names)
+            if counter:
+                yield from counts(counter.add(grams))
+    if counter:
+        yield from counts(counter.batches())
 
 
-def _pack(block: int, node: np.ndarray, n: np.ndarray, col: np.ndarray) -> tuple[int, bytes]:
-    """Rows of a block: per row its key, size and number of columns, then the columns."""
+def _pack(block: int, node: np.ndarray, n: np.ndarray, col: np.ndarray, pos: np.ndarray) -> tuple[int, bytes]:
+    """Rows of a block: per row its key, size and number of columns, then the columns and their places in the row."""
     first = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
     count = np.diff(np.concatenate([first, [len(node)]]))
     planes = col.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
     head = np.array([len(first), len(col)], dtype=np.int64).tobytes()
-    sizes = zlib.compress(n[first].astype(np.int32).tobytes() + count.astype(np.int32).tobytes(), 1)
+    sizes = zlib.compress(n[first].astype(np.int32).tobytes() + count.astype(np.int32).tobytes() + pos.astype(np.int32).tobytes(), 1)
     return block, head + np.int64(len(sizes)).tobytes() + sizes + node[first].tobytes() + planes
 
 
-def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    rows, cols, size = np.frombuffer(data, np.int64, 3)
+def _unpack(data: bytes) -> tuple[np.ndarray, ...]:
+    """(node, n, col, pos) of a pack's entries."""
+    rows, cols, size = (int(x) for x in np.frombuffer(data, np.int64, 3))
     numbers = np.frombuffer(zlib.decompress(data[24 : 24 + size]), np.int32)
-    at = 24 + int(size)
+    at = 24 + size
     node = np.frombuffer(data, np.uint64, rows, at)
     col = np.zeros((cols, 8), dtype=np.uint8)
-    col[:, :6] = np.frombuffer(data, np.uint8, cols * 6, at + 8 * int(rows)).reshape(-1, 6)
-    return np.repeat(node, numbers[rows:]), np.repeat(numbers[:rows], numbers[rows:]), col.view(np.uint64).ravel()
+    col[:, :6] = np.frombuffer(data, np.uint8, cols * 6, at + 8 * rows).reshape(-1, 6)
+    count = numbers[rows : 2 * rows]
+    return np.repeat(node, count), np.repeat(numbers[:rows], count), col.view(np.uint64).ravel(), numbers[2 * rows :]
+
+
+#: Columns from here on are those of the list of frequent ones.
+LISTED = np.uint64(1 << (COLUMN_BITS - 1))
+
+
+def prefix_size(n: np.ndarray, percent: int) -> np.ndarray:
+    return np.where(n > 0, n + (-percent * n) // 100 + 1, 0)
 
 
-def prefix_columns(rows: np.ndarray, grams: np.ndarray, n: np.ndarray, frequent: Lookup, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, column) of each row's first columns, as many as its size asks for."""
+def prefix_columns(rows: np.ndarray, grams: np.ndarray, n: np.ndarray, frequent: Lookup, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, place in the row) of each row's first columns, as many as its size asks for."""
     place = frequent.find(grams)
-    top = np.uint64(1 << (COLUMN_BITS - 1))
-    col = np.where(place >= 0, top + place.astype(np.uint64), grams >> np.uint64(64 - COLUMN_BITS + 1))
+    col = np.where(place >= 0, LISTED + place.astype(np.uint64), grams >> np.uint64(64 - COLUMN_BITS + 1))
     order = np.lexsort((col, rows))
     rows, col = rows[order], col[order]
     offs = np.concatenate([[0], np.cumsum(n)])
-    most = np.where(n > 0, n + (-percent * n) // 100 + 1, 0)
+    most = prefix_size(n, percent)
     keep = repeat_ranges(offs[:-1], most)
-    return rows[keep], col[keep]
+    return rows[keep], col[keep], repeat_ranges(np.zeros(len(n), dtype=np.int64), most)
 
 
 def _incidence(batches: Iterator[pa.RecordBatch], shared, words: int, percent: int, blocks: int) -> Iterator[pa.RecordBatch]:
-    """Packed column blocks of the rows of this task."""
+    """Packed column blocks of the rows of this task; entries of listed columns go by row."""
     frequent, held, size = shared.value, [], 0
 
     def written() -> Iterator[pa.RecordBatch]:
-        node, n, col = (np.concatenate([x[k] for x in held]) for k in range(3))
-        block = (mix(col) % np.uint64(blocks)).astype(np.int64)
+        node, n, col, pos = (np.concatenate([x[k] for x in held]) for k in range(4))
+        block = (np.where(col >= LISTED, mix(node ^ LISTED), mix(col)) % np.uint64(blocks)).astype(np.int64)
         order = np.lexsort((node, block))
-        node, n, col, block = node[order], n[order], col[order], block[order]
-        edges = np.searchsorted(block, np.arange(blocks + 1))
-        out = [_pack(k, node[a:b], n[a:b], col[a:b]) for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if b > a]
+        node, n, col, pos, block = node[order], n[order], col[order], pos[order], block[order]
+        first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+        edges = np.concatenate([first, [len(block)]])
+        out = [_pack(int(block[a]), node[a:b], n[a:b], col[a:b], pos[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], names=["block", "data"])
 
     for batch in batches:
         for c in chunks(batch.column(0)):
             rows, grams = gram_sets(c, words)
             n, key = set_keys(rows, grams, c.rows)
-            rows, col = prefix_columns(rows, grams, n, frequent, percent)
-            held.append((key[rows], n[rows], col))
+            rows, col, pos = prefix_columns(rows, grams, n, frequent, percent)
+            held.append((key[rows], n[rows].astype(np.int32), col, pos.astype(np.int32)))
             size += len(col)
             if size >= HELD:
                 yield from written()
@@ -159,61 +226,54 @@ def _fit(n1: np.ndarray, n2: np.ndarray, percent: int) -> np.ndarray:
     return 100 * np.minimum(n1, n2) >= percent * np.maximum(n1, n2)
 
 
-def multiply(node: np.ndarray, n: np.ndarray, col: np.ndarray, percent: int) -> Iterator[tuple[int, tuple[np.ndarray, ...]]]:
-    """Of one column block: 0: counted pairs (a, b, n_a, n_b, count); 1: entries (column, row, n) of dense columns; 2: their stars, as pairs."""
+def multiply(node: np.ndarray, n: np.ndarray, col: np.ndarray, pos: np.ndarray, percent: int) -> Iterator[tuple[int, tuple[np.ndarray, ...]]]:
+    """Of one column block: 0: counted pairs (a, b, n_a, n_b, count, able); 1: entries (column, row, n, place, listed columns of the row) of dense columns."""
     order = np.lexsort((node, col))
-    node, n, col = node[order], n[order].astype(np.int64), col[order]
+    node, n, col, pos = node[order], n[order].astype(np.int64), col[order], pos[order].astype(np.int64)
     keep = np.ones(len(col), dtype=bool)
     keep[1:] = (col[1:] != col[:-1]) | (node[1:] != node[:-1])
-    node, n, col = node[keep], n[keep], col[keep]
+    node, n, col, pos = node[keep], n[keep], col[keep], pos[keep]
     first = np.flatnonzero(np.concatenate([[True], col[1:] != col[:-1]])) if len(col) else np.zeros(0, dtype=np.int64)
     m = np.diff(np.concatenate([first, [len(col)]]))
     m = np.repeat(m, m)
-    few = np.flatnonzero((m > 1) & (m <= DENSE))
-    fn, fs, fc = node[few], n[few], col[few]
+    listed = col >= LISTED
+    few = np.flatnonzero((m > 1) & (m <= DENSE) & ~listed)
+    fn, fs, fc, left = node[few], n[few], col[few], (n - pos)[few]
     pairs = []
     for k in range(1, DENSE):
         at = np.flatnonzero((fc[k:] == fc[:-k]) & _fit(fs[k:], fs[:-k], percent)) if len(fc) > k else []
         if len(at):
-            pairs.append((fn[at], fn[at + k], fs[at], fs[at + k]))
+            # the rows' overlap, if this is the first column they share, is at most what either has left
+            able = np.minimum(left[at], left[at + k]) * (100 + percent) >= percent * (fs[at] + fs[at + k])
+            pairs.append((fn[at], fn[at + k], fs[at], fs[at + k], able))
     if pairs:
-        yield 0, _counted(*(np.concatenate([p[k] for p in pairs]) for k in range(4)))
-    many = np.flatnonzero(m > DENSE)
+        yield 0, _counted(*(np.concatenate([p[k] for p in pairs]) for k in range(5)))
+    many = np.flatnonzero((m > DENSE) | listed)
     if len(many):
-        node, n, col = node[many], n[many], col[many]
-        yield 1, (col, node, n)
-        # leads are the rows that meet most others in dense columns: of near copies, those with the fewest edits
-        row, back = np.unique(node, return_inverse=True)
-        meets = np.bincount(back, weights=m[many].astype(np.float64))[back]
-        size = np.floor(np.log(n) / np.log(100 / percent) + 1e-9).astype(np.int64)
-        order = np.lexsort((node, -meets, size, col))
-        node, n, col, size = node[order], n[order], col[order], size[order]
-        first = np.flatnonzero(np.concatenate([[True], (col[1:] != col[:-1]) | (size[1:] != size[:-1])]))
-        lead = np.repeat(first, np.diff(np.concatenate([first, [len(col)]])))
-        at = np.flatnonzero((np.arange(len(col)) != lead) & _fit(n, n[lead], percent))
-        if len(at):
-            yield 2, _counted(node[lead[at]], node[at], n[lead[at]], n[at])
+        row, back = np.unique(node[many], return_inverse=True)
+        own = np.bincount(back, weights=listed[many])[back].astype(np.int64)
+        yield 1, (col[many], node[many], n[many], pos[many], own)
 
 
-def _counted(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> tuple[np.ndarray, ...]:
+def _counted(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, able: np.ndarray) -> tuple[np.ndarray, ...]:
     order = np.lexsort((b, a))
     a, b, na, nb = a[order], b[order], na[order], nb[order]
     first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-    return a[first], b[first], na[first], nb[first], np.diff(np.concatenate([first, [len(a)]]))
+    return a[first], b[first], na[first], nb[first], np.diff(np.concatenate([first, [len(a)]])), np.maximum.reduceat(able[order].astype(np.int64), first)
 
 
 def _product(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """The product of each block; a block's rows come one after the other."""
-    names = ["kind", "a", "b", "na", "nb", "count"]
+    names = ["kind", "a", "b", "na", "nb", "count", "able"]
 
     def done(parts: list) -> Iterator[pa.RecordBatch]:
-        for kind, found in multiply(*(np.concatenate([p[k] for p in parts]) for k in range(3)), percent):
+        for kind, found in multiply(*(np.concatenate([p[k] for p in parts]) for k in range(4)), percent):
             if kind == 1:
-                col, node, n = found
-                columns = [as_long(col), as_long(node), n, n, np.ones(len(n), dtype=np.int64)]
+                col, node, n, pos, own = found
+                columns = [as_long(col), as_long(node), n, pos, own, np.ones(len(n), dtype=np.int64)]
             else:
-                a, b, na, nb, count = found
-                columns = [as_long(a), as_long(b), na, nb, count]
+                a, b, na, nb, count, able = found
+                columns = [as_long(a), as_long(b), na, nb, count, able]
             for k in range(0, len(columns[0]), 1 << 17):
                 part = [np.ascontiguousarray(x[k : k + (1 << 17)]) for x in columns]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part[0]), kind, dtype=np.int32)), *map(pa.array, part)], names=names)
@@ -230,40 +290,151 @@ def _product(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
         yield from done(parts)
 
 
-def _verify(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of texts whose sets are similar enough, counted in full."""
+def _sets(column: pa.Array, words: int) -> list[np.ndarray]:
+    out = []
+    for c in chunks(column):
+        rows, grams = gram_sets(c, words)
+        out += np.split(grams, np.searchsorted(rows, np.arange(1, c.rows)))
+    return out
 
-    def sets(column: pa.Array) -> list[np.ndarray]:
-        out = []
-        for c in chunks(column):
-            rows, grams = gram_sets(c, words)
-            out += np.split(grams, np.searchsorted(rows, np.arange(1, c.rows)))
-        return out
 
+def _verify(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of texts whose sets are similar enough, counted in full."""
     for batch in batches:
         keep = []
-        for x, y in zip(sets(batch.column(2)), sets(batch.column(3)), strict=True):
+        for x, y in zip(_sets(batch.column(2), words), _sets(batch.column(3), words), strict=True):
             both = len(np.intersect1d(x, y, assume_unique=True))
             keep.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
         yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
-def _links(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    both = pairs.select("a", "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-    return cut(both.select("a", "b", "ta", "tb").mapInArrow(lambda it: _verify(it, words, percent), "a long, b long"))
+def _differ(batches: Iterator[pa.RecordBatch], shared, words: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """(x, lead, slack of x, slack of the lead, d, first elements of D(x)) of pairs of a row and its lead.
 
+    Elements come in one order for all rows of a lead: those of x, then those
+    of the lead that x lacks, frequent ones first there: what the lead alone
+    has is in every D.
+    """
+    frequent, up, down = shared.value, 100 - percent, 100 + percent
+    for batch in batches:
+        slack, own, size, elements = [], [], [], []
+        for x, y in zip(_sets(batch.column(2), words), _sets(batch.column(3), words), strict=True):
+            plus, minus = np.setdiff1d(x, y, assume_unique=True), np.setdiff1d(y, x, assume_unique=True)
+            d, p, m = len(plus) + len(minus), frequent.find(plus), frequent.find(minus)
+            s = up * len(x) - down * d
+            # a partner's slack is at most that of an equal row of the greatest size that fits
+            k = max(1, -((s + up * len(x) * 100 // percent) // (2 * down)))
+            plus, minus = plus[np.lexsort((plus, p))], minus[np.lexsort((minus, m, m < 0))]
+            slack.append(s)
+            own.append(up * len(y))
+            size.append(d)
+            elements.append(np.concatenate([plus, minus])[: max(0, d - k + 1)])
+        offs = np.concatenate([[0], np.cumsum([len(e) for e in elements])]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(offs), pa.array(as_long(np.concatenate(elements) if elements else np.zeros(0, dtype=np.uint64))))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(v, pa.int64()) for v in (slack, own, size)), lists], names=["x", "lead", "slack", "own", "d", "elements"])
+
+
+def _meet(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of rows that may link by an element that they differ from their lead by; rows come sorted by lead, element and cell.
+
+    Two rows that hang on the lead's best aren't paired, nor those of one side
+    of a cell of two parts.
+    """
+    down = 2 * (100 + percent)
+
+    def pairs(t: pa.Table) -> pa.RecordBatch:
+        lead, element, cell, side, x, slack, left, hangs = (t[k].to_numpy() for k in ("lead", "element", "cell", "side", "x", "slack", "left", "hangs"))
+        new = np.concatenate([[True], (lead[1:] != lead[:-1]) | (element[1:] != element[:-1]) | (cell[1:] != cell[:-1])])
+        run = np.cumsum(new)
+        own = np.bincount(run)[run] > 1
+        run, side, x, slack, left, hangs = run[own], side[own], x[own], slack[own], left[own], hangs[own]
+        a, b = [], []
+        k, at = 1, np.arange(len(run) - 1) if len(run) else np.zeros(0, dtype=np.int64)
+        while len(at):
+            at = at[at + k < len(run)]
+            at = at[run[at] == run[at + k]]
+            y = at + k
+            need = np.maximum(1, -((slack[at] + slack[y]) // down))
+            ok = (slack[at] + slack[y] < 0) & ~(hangs[at] & hangs[y]) & (np.minimum(left[at], left[y]) >= need) & ((side[at] != side[y]) | (side[at] < 0)) & (x[at] != x[y])
+            a.append(np.minimum(x[at[ok]], x[y[ok]]))
+            b.append(np.maximum(x[at[ok]], x[y[ok]]))
+            k += 1
+        both = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=0) if a else np.zeros((0, 2), dtype=np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1]))], names=["a", "b"])
+
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        held.append(batch)
+        size += len(batch)
+        if size >= 1 << 17:
+            t = pa.Table.from_batches(held).combine_chunks()
+            last = [t[k].to_numpy() for k in ("lead", "element", "cell")]
+            same = np.flatnonzero((last[0] != last[0][-1]) | (last[1] != last[1][-1]) | (last[2] != last[2][-1]))
+            whole = int(same[-1]) + 1 if len(same) else 0  # the last run may go on
+            if whole:
+                yield pairs(t.slice(0, whole))
+            held, size = t.slice(whole).combine_chunks().to_batches(), len(t) - whole
+    if size:
+        yield pairs(pa.Table.from_batches(held).combine_chunks())
 
-def _enough(count, percent: int):
+
+def _enough(count: Column, percent: int) -> Column:
     """Whether a pair's overlap, what is counted and all that the rest of either row can add, may do."""
     rest = F.greatest(F.floor(F.col("na") * percent / 100), F.floor(F.col("nb") * percent / 100))
     return (count + rest) * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
 
 
-def _best(pairs: DataFrame) -> DataFrame:
-    """Each row's pair of the greatest count."""
-    ends = pairs.select(F.col("a").alias("id"), F.col("b").alias("other"), "count").unionByName(pairs.select(F.col("b").alias("id"), F.col("a").alias("other"), "count"))
-    best = ends.groupBy("id").agg(F.max(F.struct("count", "other")).alias("m")).select("id", F.col("m.other").alias("other"))
-    return best.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+def _with_texts(pairs: DataFrame, texts: DataFrame, a: str, b: str) -> DataFrame:
+    both = pairs.select(a, b).join(texts.select(F.col("key").alias(a), F.col("text").alias("ta")), a).join(texts.select(F.col("key").alias(b), F.col("text").alias("tb")), b)
+    return both.select(a, b, "ta", "tb")
+
+
+def _of_key(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    """Those rows of (key, text) whose text has this key: rows of one doc_id may have several texts."""
+    for batch in batches:
+        for c in chunks(batch.column(1)):
+            own = batch.slice(c.first, c.rows)
+            _, key = set_keys(*gram_sets(c, words), c.rows)
+            yield own.filter(pa.array(as_long(key) == own.column(0).to_numpy()))
+
+
+def _leads(dense: DataFrame, percent: int) -> DataFrame:
+    """(x, lead): rows of dense columns that may have a partner there, with the column's row of most listed columns."""
+    lead = F.max(F.struct("own", F.xxhash64("key").alias("spread"), "key"))
+    stats = dense.groupBy("col").agg(lead.alias("lead"), F.min("n").alias("least"), F.max(F.col("n") - F.col("pos")).alias("room"), F.count("*").alias("rows"))
+    stats = stats.where("rows > 1").select(F.col("col").alias("c"), F.col("lead.key").alias("lead"), "least", "room")
+    met = dense.join(stats, F.col("col") == F.col("c"))
+    need = (F.col("n") + F.greatest("least", F.ceil(F.col("n") * percent / 100))) * percent
+    able = F.least(F.col("n") - F.col("pos"), F.col("room")) * (100 + percent) >= need
+    return met.where(able & (F.col("key") != F.col("lead"))).select(F.col("key").alias("x"), "lead").distinct()
+
+
+def _candidates(differ: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(a, b) that link for sure, and (a, b) that may, of rows and what they differ from their leads by."""
+    down = 2 * (100 + percent)
+    best = F.max(F.struct("slack", F.xxhash64("x").alias("spread"), "x"))
+    hubs = differ.groupBy("lead").agg(best.alias("best"), F.max("own").alias("top"), F.min("slack").alias("low"))
+    lead_is = F.col("top") >= F.col("best.slack")
+    hubs = hubs.select(F.col("lead").alias("l"), F.when(lead_is, F.col("lead")).otherwise(F.col("best.x")).alias("hub"), F.greatest("top", "best.slack").alias("most"), F.col("best.slack").alias("next"), "low")
+    rows = differ.join(hubs, F.col("lead") == F.col("l")).withColumn("hangs", F.col("slack") + F.col("most") >= 0)
+    sure = rows.where("hangs").select(F.col("x").alias("a"), F.col("hub").alias("b")).unionByName(rows.where(F.col("slack") + F.col("own") >= 0).select(F.col("x").alias("a"), F.col("lead").alias("b"))).where("a <> b").distinct()
+    # partners of a row that hangs are those that don't; of others, all rows but the lead
+    other = F.when(F.col("hangs"), -F.col("most") - 1).otherwise(F.col("next"))
+    need = F.greatest(F.lit(1), F.ceil(-(F.col("slack") + other) / down)).cast("int")
+    rows = rows.where(F.col("low") + F.col("most") < 0).withColumn("need", need).where("need <= d")
+    rows = rows.select("lead", "x", "slack", "d", "hangs", F.posexplode(F.slice("elements", F.lit(1), (F.col("d") - F.col("need") + 1).cast("int"))).alias("pos", "element"))
+    rows = cut(rows.select("lead", "element", "x", "slack", (F.col("d") - F.col("pos")).cast("long").alias("left"), "hangs"))
+    # a run without a row that doesn't hang has no pair; long runs go in cells, each two of their parts
+    runs = rows.groupBy("lead", "element").agg(F.count("*").alias("m"), F.min("hangs").alias("all")).where("m > 1 and not all")
+    runs = runs.select(F.col("lead").alias("l"), F.col("element").alias("e"), F.ceil(F.col("m") / RUN).cast("int").alias("parts"))
+    met = rows.join(runs, (F.col("lead") == F.col("l")) & (F.col("element") == F.col("e")))
+    part = F.pmod(F.xxhash64("x"), F.col("parts")).cast("int")
+    met = met.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    low, high = F.least("part", "other"), F.greatest("part", "other")
+    met = met.select("lead", "element", (low * F.col("parts") + high).alias("cell"), F.when(low == high, -1).otherwise((F.col("part") == high).cast("int")).alias("side"), "x", "slack", "left", "hangs")
+    met = met.repartition("lead", "element", "cell").sortWithinPartitions("lead", "element", "cell")
+    return sure, met.mapInArrow(lambda it: _meet(it, percent), "a long, b long").distinct()
 
 
 def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -278,55 +449,40 @@ def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     often = often.orderBy(F.col("n").desc(), "key").limit(FREQUENT).toArrow()
     by = np.argsort(often["n"].to_numpy(), kind="stable")
     frequent = sc.broadcast(Lookup(often["key"].to_numpy().view(np.uint64)[by]))
-    sets = rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("id"))
+    del often, by
+    ids = cut(rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("id")))
     total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     # 2. the product of the first columns, block by block
     blocks = max(24, total * (100 - percent) // 100 // BLOCK)
     packed = known.select("text").mapInArrow(lambda it: _incidence(it, frequent, words, percent, blocks), "block int, data binary")
-    product = cut(packed.repartition(blocks, "block").sortWithinPartitions("block").mapInArrow(lambda it: _product(it, percent), "kind int, a long, b long, na long, nb long, count long"))
-    # rows by the id of their least document from here on
-    ids = cut(sets.select("key", "id"))
-    pairs = product.where("kind <> 1").groupBy("a", "b", "na", "nb").agg(F.sum(F.when(F.col("kind") == 0, F.col("count")).otherwise(0)).alias("few"), F.sum("count").alias("count"))
-    pairs = pairs.join(ids.select(F.col("key").alias("a"), F.col("id").alias("x")), "a").join(ids.select(F.col("key").alias("b"), F.col("id").alias("y")), "b")
-    low = F.col("x") < F.col("y")
-    pairs = pairs.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(low, F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(low, F.col("nb")).otherwise(F.col("na")).alias("nb"), "few", "count")
-    dense = cut(product.where("kind = 1").select(F.col("a").alias("col"), F.col("b").alias("key"), F.col("na").alias("n")).join(ids, "key").select("col", "id", "n"))
+    product = cut(packed.repartition(min(blocks, PARTITIONS), "block").sortWithinPartitions("block").mapInArrow(lambda it: _product(it, percent), "kind int, a long, b long, na long, nb long, count long, able long"))
+    pairs = product.where("kind = 0").groupBy("a", "b", "na", "nb").agg(F.sum("count").alias("count"), F.max("able").alias("able")).where("able = 1")
     # dense columns that a pair may share besides those counted
-    more = dense.groupBy("id").agg(F.count("*").alias("more"))
-    pairs = pairs.join(more.select(F.col("id").alias("x"), F.col("more").alias("ma")), F.col("a") == F.col("x"), "left").join(more.select(F.col("id").alias("y"), F.col("more").alias("mb")), F.col("b") == F.col("y"), "left")
-    most = F.col("few") + F.least(F.coalesce("ma", F.lit(0)), F.coalesce("mb", F.lit(0)))
-    pairs = cut(pairs.where(_enough(most, percent)).select("a", "b", "na", "nb", "few", "count"))
-    # 3. each row with its most promising partner, in full; then once more with the best one of another component
-    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    texts = cut(rows_of(known, wanted).select("id", "text").distinct())
-    tried = cut(_best(pairs))
-    first = _links(tried, texts, words, percent)
-    comp = cut(components(first))
-
-    def with_component(table: DataFrame, id_: str, out: str) -> DataFrame:
-        return table.join(comp.select(F.col("id").alias("k"), "component"), F.col(id_) == F.col("k"), "left").withColumn(out, F.coalesce("component", id_)).drop("k", "component")
-
-    apart = with_component(with_component(pairs, "a", "ca"), "b", "cb").where("ca <> cb").join(tried, ["a", "b"], "left_anti")
-    again = cut(_best(apart))
-    more = _links(again, texts, words, percent)
-    tried, first = tried.unionByName(again), first.unionByName(more)
-    # 4. pairs that may still join components
-    comp = cut(components(first))
-    left = with_component(with_component(pairs.where("few > 0"), "a", "ca"), "b", "cb").where("ca <> cb").select("a", "b", "na", "nb", F.col("few").alias("count"))
-    dense = with_component(dense, "id", "c")
-    mixed = dense.groupBy("col").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("col")
-    dense = cut(dense.join(mixed, "col"))
-    other = dense.select(F.col("col").alias("col2"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-    fits = (F.least("n", "nb") * 100 >= F.greatest("n", "nb") * percent) & (F.col("c") != F.col("cb")) & (F.col("id") < F.col("b"))
-    across = dense.join(other, (F.col("col") == F.col("col2")) & fits).groupBy(F.col("id").alias("a"), "b", F.col("n").alias("na"), "nb").agg(F.count("*").alias("count"))
-    left = left.unionByName(across).groupBy("a", "b", "na", "nb").agg(F.sum("count").alias("count")).where(_enough(F.col("count"), percent))
-    left = cut(left.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
-    missing = cut(left.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(wanted, "id", "left_anti"))
-    if not missing.isEmpty():
-        texts = texts.unionByName(rows_of(known, missing).select("id", "text").distinct())
-    second = _links(left, texts, words, percent)
-    # 5. components of documents
-    comp = components(first.unionByName(second)).select(F.col("id").alias("k"), "component")
+    dense = product.where("kind = 1").select(F.col("a").alias("col"), F.col("b").alias("key"), F.col("na").alias("n"), F.col("nb").alias("pos"), F.col("count").alias("own"))
+    more = dense.groupBy("key").agg(F.count("*").alias("more"))
+    pairs = pairs.join(more.select(F.col("key").alias("x"), F.col("more").alias("ma")), F.col("a") == F.col("x"), "left").join(more.select(F.col("key").alias("y"), F.col("more").alias("mb")), F.col("b") == F.col("y"), "left")
+    most = F.col("count") + F.least(F.coalesce("ma", F.lit(0)), F.coalesce("mb", F.lit(0)))
+    pairs = cut(pairs.where(_enough(most, percent)).select("a", "b"))
+    leads = cut(_leads(dense, percent))
+    # 3. the texts of rows to be counted in full, one a set
+    ends = [pairs.select(F.col("a").alias("k")), pairs.select("b"), leads.select("x"), leads.select("lead")]
+    wanted = ends[0]
+    for end in ends[1:]:
+        wanted = wanted.union(end)
+    wanted = cut(ids.join(wanted.distinct(), F.col("key") == F.col("k")).select("id", "key"))
+    texts = rows_of(known, wanted).select("key", "text").mapInArrow(lambda it: _of_key(it, words), "key long, text string")
+    texts = cut(texts.dropDuplicates(["key"]))
+    # 4. rows against leads, then pairs
+    differ = cut(_with_texts(leads, texts, "x", "lead").mapInArrow(lambda it: _differ(it, frequent, words, percent), "x long, lead long, slack long, own long, d long, elements array<long>"))
+    sure, may = _candidates(differ, percent)
+    pairs = cut(pairs.unionByName(may).distinct())
+    found = cut(_with_texts(pairs, texts, "a", "b").mapInArrow(lambda it: _verify(it, words, percent), "a long, b long").unionByName(sure))
+    frequent.unpersist()
+    # 5. components of documents; sets that rows of one doc_id have are linked by it
+    twice = rows.where("n > 0").groupBy("doc_id").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a <> b").select(F.col("doc_id").alias("d"), "a")
+    found = found.unionByName(rows.where("n > 0").join(twice, F.col("doc_id") == F.col("d")).select("a", F.col("key").alias("b")).where("a <> b"))
+    found = found.join(ids.select(F.col("key").alias("a"), F.col("id").alias("x")), "a").join(ids.select(F.col("key").alias("b"), F.col("id").alias("y")), "b")
+    comp = components(found.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("id").alias("k"), "component")
     classes = ids.join(comp, F.col("id") == F.col("k"), "left").select(F.col("key").alias("set"), F.coalesce("component", "id").alias("component_id"))
     linked = rows.join(classes, (F.col("key") == F.col("set")) & (F.col("n") > 0), "left")
     same = linked.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
@@ -337,15 +493,27 @@ def representatives(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     """One document of each component, that of least doc_id; all columns.
 
     Documents without words are in no component and stay, as do those without
-    a doc_id; of rows that share a doc_id one stays.
+    a doc_id; of rows that share a doc_id the one of least text stays (of equal
+    texts, that of least other columns).
     """
     linked = link(docs.where("doc_id is not null"), words, percent)
-    kept = cut(linked.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct())
-    named = docs.join(kept, F.col("doc_id") == F.col("__kept"), "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null"))
+    kept = cut(linked.where("doc_id = component_id").groupBy(F.col("doc_id").alias("__kept")).agg(F.count("*").alias("__rows")))
+    named = docs.join(kept, F.col("doc_id") == F.col("__kept"))
+    once = named.where(F.col("__rows") == 1).select(*map(_name, docs.columns))
+    order = Window.partitionBy("doc_id").orderBy(F.col("text").isNull(), "text", F.xxhash64(*(F.col(_quoted(c)) for c in docs.columns if c not in ("doc_id", "text"))))
+    first = named.where(F.col("__rows") > 1).withColumn("__nth", F.row_number().over(order)).where(F.col("__nth") == 1).select(*map(_name, docs.columns))
+    return once.unionByName(first).unionByName(docs.where("doc_id is null"))
+
+
+def _quoted(name: str) -> str:
+    return f"`{name}`"
+
+
+def _name(name: str) -> Column:
+    return F.col(_quoted(name))
 
 
 def _nameless(docs: DataFrame, words: int) -> DataFrame:
     """Documents without an id: sizes only."""
-    measured = docs.where("doc_id is null").select(F.lit(0).cast("long").alias("doc_id"), "text").mapInArrow(lambda it: _measure(it, words), "doc_id long, key long, n long")
-    return measured.where("doc_id is not null").select(F.lit(None).cast("long").alias("doc_id"), F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
+    measured = docs.where("doc_id is null").select(F.lit(0).cast("long").alias("doc_id"), "text").mapInArrow(lambda it: _measure(it, words, False), "doc_id long, key long, n long")
+    return measured.select(F.lit(None).cast("long").alias("doc_id"), F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
