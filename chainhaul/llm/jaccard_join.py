@@ -227,7 +227,7 @@ def _fit(n1: np.ndarray, n2: np.ndarray, percent: int) -> np.ndarray:
 
 
 def multiply(node: np.ndarray, n: np.ndarray, col: np.ndarray, pos: np.ndarray, percent: int) -> Iterator[tuple[int, tuple[np.ndarray, ...]]]:
-    """Of one column block: 0: counted pairs (a, b, n_a, n_b, count, able); 1: entries (column, row, n, place, listed columns of the row) of dense columns."""
+    """Of one column block: 0: counted pairs (a, b, n_a, n_b, count, able); 1: entries (column, row, n, place, listed columns of the row) of dense columns; 2: rows and their numbers of other columns that aren't theirs alone."""
     order = np.lexsort((node, col))
     node, n, col, pos = node[order], n[order].astype(np.int64), col[order], pos[order].astype(np.int64)
     keep = np.ones(len(col), dtype=bool)
@@ -248,6 +248,9 @@ def multiply(node: np.ndarray, n: np.ndarray, col: np.ndarray, pos: np.ndarray,
             pairs.append((fn[at], fn[at + k], fs[at], fs[at + k], able))
     if pairs:
         yield 0, _counted(*(np.concatenate([p[k] for p in pairs]) for k in range(5)))
+    if len(few):
+        row, count = np.unique(fn, return_counts=True)
+        yield 2, (row, count)
     many = np.flatnonzero((m > DENSE) | listed)
     if len(many):
         row, back = np.unique(node[many], return_inverse=True)
@@ -271,6 +274,8 @@ def _product(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
             if kind == 1:
                 col, node, n, pos, own = found
                 columns = [as_long(col), as_long(node), n, pos, own, np.ones(len(n), dtype=np.int64)]
+            elif kind == 2:
+                columns = [as_long(found[0]), *(found[1] for _ in range(5))]
             else:
                 a, b, na, nb, count, able = found
                 columns = [as_long(a), as_long(b), na, nb, count, able]
@@ -308,8 +313,14 @@ def _verify(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> Iter
         yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
+def _most_slack(slack: int, n: int, percent: int) -> int:
+    """Of a partner of a row: it is no larger than sizes allow, and no nearer to the lead than what both may differ by."""
+    own = (100 - percent) * (n * 100 // percent)
+    return min(own, slack + 2 * own)
+
+
 def _differ(batches: Iterator[pa.RecordBatch], shared, words: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """(x, lead, slack of x, slack of the lead, d, first elements of D(x)) of pairs of a row and its lead.
+    """(x, lead, slack of x, slack of the lead, d, most slack of a partner, first elements of D(x)) of pairs of a row and its lead.
 
     Elements come in one order for all rows of a lead: those of x, then those
     of the lead that x lacks, frequent ones first there: what the lead alone
@@ -317,13 +328,13 @@ def _differ(batches: Iterator[pa.RecordBatch], shared, words: int, percent: int)
     """
     frequent, up, down = shared.value, 100 - percent, 100 + percent
     for batch in batches:
-        slack, own, size, elements = [], [], [], []
+        slack, own, size, bound, elements = [], [], [], [], []
         for x, y in zip(_sets(batch.column(2), words), _sets(batch.column(3), words), strict=True):
             plus, minus = np.setdiff1d(x, y, assume_unique=True), np.setdiff1d(y, x, assume_unique=True)
             d, p, m = len(plus) + len(minus), frequent.find(plus), frequent.find(minus)
             s = up * len(x) - down * d
-            # a partner's slack is at most that of an equal row of the greatest size that fits
-            k = max(1, -((s + up * len(x) * 100 // percent) // (2 * down)))
+            bound.append(_most_slack(s, len(x), percent))
+            k = max(1, -((s + bound[-1]) // (2 * down)))
             plus, minus = plus[np.lexsort((plus, p))], minus[np.lexsort((minus, m, m < 0))]
             slack.append(s)
             own.append(up * len(y))
@@ -331,7 +342,7 @@ def _differ(batches: Iterator[pa.RecordBatch], shared, words: int, percent: int)
             elements.append(np.concatenate([plus, minus])[: max(0, d - k + 1)])
         offs = np.concatenate([[0], np.cumsum([len(e) for e in elements])]).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(offs), pa.array(as_long(np.concatenate(elements) if elements else np.zeros(0, dtype=np.uint64))))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(v, pa.int64()) for v in (slack, own, size)), lists], names=["x", "lead", "slack", "own", "d", "elements"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(v, pa.int64()) for v in (slack, own, size, bound)), lists], names=["x", "lead", "slack", "own", "d", "bound", "elements"])
 
 
 def _meet(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -400,29 +411,34 @@ def _of_key(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Record
 
 
 def _leads(dense: DataFrame, percent: int) -> DataFrame:
-    """(x, lead): rows of dense columns that may have a partner there, with the column's row of most listed columns."""
-    lead = F.max(F.struct("own", F.xxhash64("key").alias("spread"), "key"))
-    stats = dense.groupBy("col").agg(lead.alias("lead"), F.min("n").alias("least"), F.max(F.col("n") - F.col("pos")).alias("room"), F.count("*").alias("rows"))
-    stats = stats.where("rows > 1").select(F.col("col").alias("c"), F.col("lead.key").alias("lead"), "least", "room")
+    """(x, lead): rows of dense columns that may have a partner there, with one of the column's rows that may have one of their size.
+
+    dense: (col, key, n, pos, own, cap); cap: how many columns of the row may
+    be another's.  Of a pair the smaller row (or either, if equal) could meet
+    another of its size.
+    """
+    dense = dense.withColumn("most", F.least("cap", F.col("n") - F.col("pos"))).withColumn("able", F.col("most") * (100 + percent) >= 2 * percent * F.col("n"))
+    lead = F.max(F.struct("able", "own", F.xxhash64("key").alias("spread"), "key"))
+    stats = dense.groupBy("col").agg(lead.alias("lead"), F.min(F.when(F.col("able"), F.col("n"))).alias("least"), F.count("*").alias("rows"))
+    stats = stats.where("rows > 1 and lead.able").select(F.col("col").alias("c"), F.col("lead.key").alias("lead"), "least")
     met = dense.join(stats, F.col("col") == F.col("c"))
-    need = (F.col("n") + F.greatest("least", F.ceil(F.col("n") * percent / 100))) * percent
-    able = F.least(F.col("n") - F.col("pos"), F.col("room")) * (100 + percent) >= need
-    return met.where(able & (F.col("key") != F.col("lead"))).select(F.col("key").alias("x"), "lead").distinct()
+    smaller = (F.col("least") <= F.col("n")) & (F.col("most") * (100 + percent) >= (F.col("n") + F.greatest("least", F.ceil(F.col("n") * percent / 100))) * percent)
+    return met.where((F.col("able") | smaller) & (F.col("key") != F.col("lead"))).select(F.col("key").alias("x"), "lead").distinct()
 
 
 def _candidates(differ: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """(a, b) that link for sure, and (a, b) that may, of rows and what they differ from their leads by."""
     down = 2 * (100 + percent)
     best = F.max(F.struct("slack", F.xxhash64("x").alias("spread"), "x"))
-    hubs = differ.groupBy("lead").agg(best.alias("best"), F.max("own").alias("top"), F.min("slack").alias("low"))
+    hubs = differ.groupBy("lead").agg(best.alias("best"), F.max("own").alias("top"), F.min("slack").alias("low"), F.count("*").alias("rows"))
     lead_is = F.col("top") >= F.col("best.slack")
-    hubs = hubs.select(F.col("lead").alias("l"), F.when(lead_is, F.col("lead")).otherwise(F.col("best.x")).alias("hub"), F.greatest("top", "best.slack").alias("most"), F.col("best.slack").alias("next"), "low")
+    hubs = hubs.select(F.col("lead").alias("l"), F.when(lead_is, F.col("lead")).otherwise(F.col("best.x")).alias("hub"), F.greatest("top", "best.slack").alias("most"), F.col("best.slack").alias("next"), "low", "rows")
     rows = differ.join(hubs, F.col("lead") == F.col("l")).withColumn("hangs", F.col("slack") + F.col("most") >= 0)
     sure = rows.where("hangs").select(F.col("x").alias("a"), F.col("hub").alias("b")).unionByName(rows.where(F.col("slack") + F.col("own") >= 0).select(F.col("x").alias("a"), F.col("lead").alias("b"))).where("a <> b").distinct()
     # partners of a row that hangs are those that don't; of others, all rows but the lead
-    other = F.when(F.col("hangs"), -F.col("most") - 1).otherwise(F.col("next"))
+    other = F.least("bound", F.when(F.col("hangs"), -F.col("most") - 1).otherwise(F.col("next")))
     need = F.greatest(F.lit(1), F.ceil(-(F.col("slack") + other) / down)).cast("int")
-    rows = rows.where(F.col("low") + F.col("most") < 0).withColumn("need", need).where("need <= d")
+    rows = rows.where((F.col("low") + F.col("most") < 0) & (F.col("rows") > 1)).withColumn("need", need).where("need <= d")
     rows = rows.select("lead", "x", "slack", "d", "hangs", F.posexplode(F.slice("elements", F.lit(1), (F.col("d") - F.col("need") + 1).cast("int"))).alias("pos", "element"))
     rows = cut(rows.select("lead", "element", "x", "slack", (F.col("d") - F.col("pos")).cast("long").alias("left"), "hangs"))
     # a run without a row that doesn't hang has no pair; long runs go in cells, each two of their parts
@@ -457,13 +473,17 @@ def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     packed = known.select("text").mapInArrow(lambda it: _incidence(it, frequent, words, percent, blocks), "block int, data binary")
     product = cut(packed.repartition(min(blocks, PARTITIONS), "block").sortWithinPartitions("block").mapInArrow(lambda it: _product(it, percent), "kind int, a long, b long, na long, nb long, count long, able long"))
     pairs = product.where("kind = 0").groupBy("a", "b", "na", "nb").agg(F.sum("count").alias("count"), F.max("able").alias("able")).where("able = 1")
-    # dense columns that a pair may share besides those counted
+    # of a row's first columns, those that aren't its own alone; no pair shares more of them than either has
     dense = product.where("kind = 1").select(F.col("a").alias("col"), F.col("b").alias("key"), F.col("na").alias("n"), F.col("nb").alias("pos"), F.col("count").alias("own"))
-    more = dense.groupBy("key").agg(F.count("*").alias("more"))
-    pairs = pairs.join(more.select(F.col("key").alias("x"), F.col("more").alias("ma")), F.col("a") == F.col("x"), "left").join(more.select(F.col("key").alias("y"), F.col("more").alias("mb")), F.col("b") == F.col("y"), "left")
+    common = product.where("kind > 0").groupBy(F.when(F.col("kind") == 1, F.col("b")).otherwise(F.col("a")).alias("k")).agg(F.sum(F.when(F.col("kind") == 1, 1).otherwise(F.col("count"))).alias("common"), F.sum(F.when(F.col("kind") == 1, 1).otherwise(0)).alias("more"))
+    common = cut(common)
+    more = common.where("more > 0")
+    pairs = pairs.join(more.select(F.col("k").alias("x"), F.col("more").alias("ma")), F.col("a") == F.col("x"), "left").join(more.select(F.col("k").alias("y"), F.col("more").alias("mb")), F.col("b") == F.col("y"), "left")
     most = F.col("count") + F.least(F.coalesce("ma", F.lit(0)), F.coalesce("mb", F.lit(0)))
     pairs = cut(pairs.where(_enough(most, percent)).select("a", "b"))
-    leads = cut(_leads(dense, percent))
+    rest = F.floor(F.col("n") * percent / 100)
+    rest = F.when(F.col("n") * percent % 100 == 0, rest - 1).otherwise(rest)
+    leads = cut(_leads(dense.join(more, F.col("key") == F.col("k")).withColumn("cap", rest + F.col("common")), percent))
     # 3. the texts of rows to be counted in full, one a set
     ends = [pairs.select(F.col("a").alias("k")), pairs.select("b"), leads.select("x"), leads.select("lead")]
     wanted = ends[0]
@@ -473,7 +493,7 @@ def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     texts = rows_of(known, wanted).select("key", "text").mapInArrow(lambda it: _of_key(it, words), "key long, text string")
     texts = cut(texts.dropDuplicates(["key"]))
     # 4. rows against leads, then pairs
-    differ = cut(_with_texts(leads, texts, "x", "lead").mapInArrow(lambda it: _differ(it, frequent, words, percent), "x long, lead long, slack long, own long, d long, elements array<long>"))
+    differ = cut(_with_texts(leads, texts, "x", "lead").mapInArrow(lambda it: _differ(it, frequent, words, percent), "x long, lead long, slack long, own long, d long, bound long, elements array<long>"))
     sure, may = _candidates(differ, percent)
     pairs = cut(pairs.unionByName(may).distinct())
     found = cut(_with_texts(pairs, texts, "a", "b").mapInArrow(lambda it: _verify(it, words, percent), "a long, b long").unionByName(sure))
