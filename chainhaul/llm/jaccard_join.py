@@ -58,6 +58,8 @@ HELD = 1 << 20
 #: Entries of a column block; most shuffle partitions.
 BLOCK, PARTITIONS = 2_000_000, 1 << 15
 COLUMN_BITS = 48
+#: Elements of a lead's rows that meet in one task; those of larger groups are dealt out by element.
+GROUP = 1 << 20
 #: Rows of a run of difference elements that one task pairs; longer runs are dealt out by pairs of their parts.
 RUN = 2048
 
@@ -345,49 +347,86 @@ def _differ(batches: Iterator[pa.RecordBatch], shared, words: int, percent: int)
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(v, pa.int64()) for v in (slack, own, size, bound)), lists], names=["x", "lead", "slack", "own", "d", "bound", "elements"])
 
 
-def _meet(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of rows that may link by an element that they differ from their lead by; rows come sorted by lead, element and cell.
+def _paired(run: np.ndarray, x: np.ndarray, slack: np.ndarray, left: np.ndarray, hangs: np.ndarray, side: np.ndarray | None, percent: int) -> np.ndarray:
+    """(a, b) of rows that may link by an element both differ from their lead by; run: numbers of (lead, element), ascending.
 
     Two rows that hang on the lead's best aren't paired, nor those of one side
     of a cell of two parts.
     """
     down = 2 * (100 + percent)
-
-    def pairs(t: pa.Table) -> pa.RecordBatch:
-        lead, element, cell, side, x, slack, left, hangs = (t[k].to_numpy() for k in ("lead", "element", "cell", "side", "x", "slack", "left", "hangs"))
-        new = np.concatenate([[True], (lead[1:] != lead[:-1]) | (element[1:] != element[:-1]) | (cell[1:] != cell[:-1])])
-        run = np.cumsum(new)
-        own = np.bincount(run)[run] > 1
-        run, side, x, slack, left, hangs = run[own], side[own], x[own], slack[own], left[own], hangs[own]
-        a, b = [], []
-        k, at = 1, np.arange(len(run) - 1) if len(run) else np.zeros(0, dtype=np.int64)
-        while len(at):
-            at = at[at + k < len(run)]
-            at = at[run[at] == run[at + k]]
-            y = at + k
-            need = np.maximum(1, -((slack[at] + slack[y]) // down))
-            ok = (slack[at] + slack[y] < 0) & ~(hangs[at] & hangs[y]) & (np.minimum(left[at], left[y]) >= need) & ((side[at] != side[y]) | (side[at] < 0)) & (x[at] != x[y])
-            a.append(np.minimum(x[at[ok]], x[y[ok]]))
-            b.append(np.maximum(x[at[ok]], x[y[ok]]))
-            k += 1
-        both = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=0) if a else np.zeros((0, 2), dtype=np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1]))], names=["a", "b"])
-
+    if not len(run):
+        return np.zeros((0, 2), dtype=np.int64)
+    first = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
+    own = np.diff(np.concatenate([first, [len(run)]]))
+    own = np.repeat((own > 1) & ~np.logical_and.reduceat(hangs, first), own)
+    run, x, slack, left, hangs = run[own], x[own], slack[own], left[own], hangs[own]
+    side = None if side is None else side[own]
+    out, k, at = [np.zeros((0, 2), dtype=np.int64)], 1, np.arange(max(0, len(run) - 1))
+    while len(at):
+        at = at[at + k < len(run)]
+        at = at[run[at] == run[at + k]]
+        y = at + k
+        total = slack[at] + slack[y]
+        ok = (total < 0) & ~(hangs[at] & hangs[y]) & (np.minimum(left[at], left[y]) >= np.maximum(1, -(total // down))) & (x[at] != x[y])
+        if side is not None:
+            ok &= (side[at] != side[y]) | (side[at] < 0)
+        one, two = x[at[ok]], x[y[ok]]
+        out.append(np.stack([np.minimum(one, two), np.maximum(one, two)], axis=1))
+        if len(out) > 64:
+            out = [np.unique(np.concatenate(out), axis=0)]
+        k += 1
+    return np.unique(np.concatenate(out), axis=0)
+
+
+def _pair_batch(both: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, k])) for k in range(2)], names=["a", "b"])
+
+
+def _whole_runs(batches: Iterator[pa.RecordBatch], keys: list[str], most: int) -> Iterator[pa.Table]:
+    """The rows in tables of about ``most``, none of which ends inside a run of equal keys."""
     held: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:
+        if not len(batch):
+            continue
         held.append(batch)
         size += len(batch)
-        if size >= 1 << 17:
+        if size >= most:
             t = pa.Table.from_batches(held).combine_chunks()
-            last = [t[k].to_numpy() for k in ("lead", "element", "cell")]
-            same = np.flatnonzero((last[0] != last[0][-1]) | (last[1] != last[1][-1]) | (last[2] != last[2][-1]))
+            same = np.zeros(len(t), dtype=bool)
+            for k in keys:
+                column = t[k].to_numpy()
+                same |= column != column[-1]
+            same = np.flatnonzero(same)
             whole = int(same[-1]) + 1 if len(same) else 0  # the last run may go on
             if whole:
-                yield pairs(t.slice(0, whole))
+                yield t.slice(0, whole).combine_chunks()
             held, size = t.slice(whole).combine_chunks().to_batches(), len(t) - whole
     if size:
-        yield pairs(pa.Table.from_batches(held).combine_chunks())
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _meet(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of rows of large groups; rows come an element each, sorted by lead, element and cell."""
+    for t in _whole_runs(batches, ["lead", "element", "cell"], 1 << 17):
+        lead, element, cell, side, x, slack, left, hangs = (t[k].to_numpy() for k in ("lead", "element", "cell", "side", "x", "slack", "left", "hangs"))
+        run = np.cumsum(np.concatenate([[True], (lead[1:] != lead[:-1]) | (element[1:] != element[:-1]) | (cell[1:] != cell[:-1])]))
+        yield _pair_batch(_paired(run, x, slack, left, hangs, side, percent))
+
+
+def _meet_groups(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of rows of groups of bounded size; rows come whole, sorted by lead."""
+    for t in _whole_runs(batches, ["lead"], 1 << 9):
+        size = t["elements"].combine_chunks().value_lengths().to_numpy()
+        element = t["elements"].combine_chunks().flatten().to_numpy()
+        row = np.repeat(np.arange(len(t)), size)
+        left = t["d"].to_numpy()[row] - repeat_ranges(np.zeros(len(t), dtype=np.int64), size.astype(np.int64))
+        lead = t["lead"].to_numpy()[row]
+        order = np.lexsort((element, lead))
+        lead, element, row, left = lead[order], element[order], row[order], left[order]
+        run = np.cumsum(np.concatenate([[True], (lead[1:] != lead[:-1]) | (element[1:] != element[:-1])])) if len(row) else row
+        x, slack, hangs = (t[k].to_numpy()[row] for k in ("x", "slack", "hangs"))
+        yield _pair_batch(_paired(run, x, slack, left, hangs, None, percent))
 
 
 def _enough(count: Column, percent: int) -> Column:
@@ -430,27 +469,31 @@ def _candidates(differ: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """(a, b) that link for sure, and (a, b) that may, of rows and what they differ from their leads by."""
     down = 2 * (100 + percent)
     best = F.max(F.struct("slack", F.xxhash64("x").alias("spread"), "x"))
-    hubs = differ.groupBy("lead").agg(best.alias("best"), F.max("own").alias("top"), F.min("slack").alias("low"), F.count("*").alias("rows"))
+    hubs = differ.groupBy("lead").agg(best.alias("best"), F.max("own").alias("top"), F.min("slack").alias("low"), F.count("*").alias("rows"), F.sum(F.size("elements")).alias("sum"))
     lead_is = F.col("top") >= F.col("best.slack")
-    hubs = hubs.select(F.col("lead").alias("l"), F.when(lead_is, F.col("lead")).otherwise(F.col("best.x")).alias("hub"), F.greatest("top", "best.slack").alias("most"), F.col("best.slack").alias("next"), "low", "rows")
+    hubs = hubs.select(F.col("lead").alias("l"), F.when(lead_is, F.col("lead")).otherwise(F.col("best.x")).alias("hub"), F.greatest("top", "best.slack").alias("most"), F.col("best.slack").alias("next"), "low", "rows", "sum")
     rows = differ.join(hubs, F.col("lead") == F.col("l")).withColumn("hangs", F.col("slack") + F.col("most") >= 0)
     sure = rows.where("hangs").select(F.col("x").alias("a"), F.col("hub").alias("b")).unionByName(rows.where(F.col("slack") + F.col("own") >= 0).select(F.col("x").alias("a"), F.col("lead").alias("b"))).where("a <> b").distinct()
     # partners of a row that hangs are those that don't; of others, all rows but the lead
     other = F.least("bound", F.when(F.col("hangs"), -F.col("most") - 1).otherwise(F.col("next")))
     need = F.greatest(F.lit(1), F.ceil(-(F.col("slack") + other) / down)).cast("int")
     rows = rows.where((F.col("low") + F.col("most") < 0) & (F.col("rows") > 1)).withColumn("need", need).where("need <= d")
-    rows = rows.select("lead", "x", "slack", "d", "hangs", F.posexplode(F.slice("elements", F.lit(1), (F.col("d") - F.col("need") + 1).cast("int"))).alias("pos", "element"))
-    rows = cut(rows.select("lead", "element", "x", "slack", (F.col("d") - F.col("pos")).cast("long").alias("left"), "hangs"))
+    rows = rows.select("lead", "x", "slack", "d", "hangs", "sum", F.slice("elements", F.lit(1), (F.col("d") - F.col("need") + 1).cast("int")).alias("elements"))
+    rows = cut(rows)
+    small = rows.where(F.col("sum") <= GROUP).select("lead", "x", "slack", "d", "hangs", "elements").repartition("lead").sortWithinPartitions("lead")
+    small = small.mapInArrow(lambda it: _meet_groups(it, percent), "a long, b long")
+    large = rows.where(F.col("sum") > GROUP).select("lead", "x", "slack", "d", "hangs", F.posexplode("elements").alias("pos", "element"))
+    large = large.select("lead", "element", "x", "slack", (F.col("d") - F.col("pos")).cast("long").alias("left"), "hangs")
     # a run without a row that doesn't hang has no pair; long runs go in cells, each two of their parts
-    runs = rows.groupBy("lead", "element").agg(F.count("*").alias("m"), F.min("hangs").alias("all")).where("m > 1 and not all")
+    runs = large.groupBy("lead", "element").agg(F.count("*").alias("m"), F.min("hangs").alias("all")).where("m > 1 and not all")
     runs = runs.select(F.col("lead").alias("l"), F.col("element").alias("e"), F.ceil(F.col("m") / RUN).cast("int").alias("parts"))
-    met = rows.join(runs, (F.col("lead") == F.col("l")) & (F.col("element") == F.col("e")))
+    met = large.join(runs, (F.col("lead") == F.col("l")) & (F.col("element") == F.col("e")))
     part = F.pmod(F.xxhash64("x"), F.col("parts")).cast("int")
     met = met.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     low, high = F.least("part", "other"), F.greatest("part", "other")
     met = met.select("lead", "element", (low * F.col("parts") + high).alias("cell"), F.when(low == high, -1).otherwise((F.col("part") == high).cast("int")).alias("side"), "x", "slack", "left", "hangs")
-    met = met.repartition("lead", "element", "cell").sortWithinPartitions("lead", "element", "cell")
-    return sure, met.mapInArrow(lambda it: _meet(it, percent), "a long, b long").distinct()
+    met = met.repartition("lead", "element", "cell").sortWithinPartitions("lead", "element", "cell").mapInArrow(lambda it: _meet(it, percent), "a long, b long")
+    return sure, small.unionByName(met).distinct()
 
 
 def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -490,8 +533,15 @@ def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     for end in ends[1:]:
         wanted = wanted.union(end)
     wanted = cut(ids.join(wanted.distinct(), F.col("key") == F.col("k")).select("id", "key"))
-    texts = rows_of(known, wanted).select("key", "text").mapInArrow(lambda it: _of_key(it, words), "key long, text string")
-    texts = cut(texts.dropDuplicates(["key"]))
+    # (only rows that share a doc_id can give a text twice)
+    again = cut(rows.where("n > 0").groupBy(F.col("doc_id").alias("d")).agg(F.count("*").alias("m"), F.min("key").alias("a"), F.max("key").alias("b")).where("m > 1"))
+    fetched = rows_of(known, wanted).select("doc_id", "key", "text")
+    texts = fetched.select("key", "text")
+    if not again.isEmpty():
+        texts = fetched.join(again.select("d"), F.col("doc_id") == F.col("d"), "left_anti").select("key", "text")
+        several = fetched.join(again.select("d"), F.col("doc_id") == F.col("d"), "left_semi").select("key", "text")
+        texts = texts.unionByName(several.mapInArrow(lambda it: _of_key(it, words), "key long, text string").dropDuplicates(["key"]))
+    texts = cut(texts)
     # 4. rows against leads, then pairs
     differ = cut(_with_texts(leads, texts, "x", "lead").mapInArrow(lambda it: _differ(it, frequent, words, percent), "x long, lead long, slack long, own long, d long, bound long, elements array<long>"))
     sure, may = _candidates(differ, percent)
@@ -499,7 +549,7 @@ def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     found = cut(_with_texts(pairs, texts, "a", "b").mapInArrow(lambda it: _verify(it, words, percent), "a long, b long").unionByName(sure))
     frequent.unpersist()
     # 5. components of documents; sets that rows of one doc_id have are linked by it
-    twice = rows.where("n > 0").groupBy("doc_id").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a <> b").select(F.col("doc_id").alias("d"), "a")
+    twice = again.where("a <> b").select("d", "a")
     found = found.unionByName(rows.where("n > 0").join(twice, F.col("doc_id") == F.col("d")).select("a", F.col("key").alias("b")).where("a <> b"))
     found = found.join(ids.select(F.col("key").alias("a"), F.col("id").alias("x")), "a").join(ids.select(F.col("key").alias("b"), F.col("id").alias("y")), "b")
     comp = components(found.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("id").alias("k"), "component")
