@@ -35,6 +35,26 @@ def cut(df: DataFrame) -> DataFrame:
 FEW_IDS, FILTER_BITS = 20_000, 1 << 22
 
 
+def bitmap(keys: DataFrame, bits: int) -> np.ndarray:
+    """A bitmap of the 64-bit keys in the first column; at most bits / 64 rows reach the driver."""
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = (mix(batch.column(0).to_numpy().view(np.uint64)) % np.uint64(bits)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array((place >> 6).astype(np.int32)), pa.array((np.uint64(1) << (place & 63).astype(np.uint64)).view(np.int64))], names=["word", "bits"])
+
+    got = keys.mapInArrow(words, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    table = np.zeros(bits >> 6, dtype=np.int64)
+    table[got["word"].to_numpy()] = got["bits"].to_numpy()
+    return table.view(np.uint8)
+
+
+def marked(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which keys a bitmap may hold: all that it does, others by chance."""
+    place = (mix(keys) % np.uint64(len(table) << 3)).astype(np.int64)
+    return (table[place >> 3] >> (place & 7).astype(np.uint8)) & 1 > 0
+
+
 def _places(ids: np.ndarray) -> np.ndarray:
     return (mix(ids.view(np.uint64)) % np.uint64(FILTER_BITS)).astype(np.int64)
 

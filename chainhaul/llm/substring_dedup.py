@@ -2,18 +2,24 @@
 
 Seeds: every run of ``LENGTH`` words holds a winnowed anchor, the ``SEED``-word
 gram with the least hash among its ``LENGTH - SEED + 1`` grams (every one that
-ties).  Equal runs hold equal anchors, so a run can only repeat if one of its anchors occurs twice.
-Documents are joined on anchors through their counts: a group of m occurrences
-costs m rows, never m * m pairs.  Extension: around each repeated anchor the
-document is extended both ways to all runs of ``LENGTH`` words that hold the
-anchor; runs met again, anywhere, are repeats, and the union of overlapping
-repeats of a document is its maximal repeats of at least ``LENGTH`` words.
+ties).  Equal runs hold equal anchors, so a run can only repeat if one of its
+anchors occurs twice.  Documents are joined on anchors through their counts: a
+bitmap of the anchors that repeat goes to all texts; what it lets through by
+chance costs time only.  Extension: around each repeated anchor the document is
+extended both ways to all runs of ``LENGTH`` words that hold the anchor; runs
+met again, anywhere, are repeats, and the union of overlapping repeats of a
+document is its maximal repeats of at least ``LENGTH`` words.
+
+A task that meets a run twice among the texts it holds knows it to be a repeat;
+it sends the run on once, whatever its number of occurrences, and of copies of a
+text only one is extended.  So a run, however frequent, has a row a task (and
+not one an occurrence) where runs meet.
 
 Rows and cases: a null, empty or short text has no run and loses nothing.  A
 run repeated inside one document counts.  Documents of equal text are one in
 the search, and all their runs repeat.  Runs are judged on the input alone.  Extra
-columns are dropped.  Equal runs always meet; different ones are taken as equal
-with a chance of about 2**-64 a pair.
+columns are dropped.  A very long text is a chunk of its own.  Equal runs always
+meet; different ones are taken as equal with a chance of about 2**-64 a pair.
 """
 
 from __future__ import annotations
@@ -23,14 +29,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import as_long, chunks, gram_hashes, repeat_ranges
+from .store import bitmap, cut, marked
+from .text import Chunk, as_long, chunks, gram_hashes, repeat_ranges
 
 LENGTH = 35
 SEED = 16
+#: Bits of the bitmap for each repeated anchor, and least and most bits in all.
+BITS_EACH, LEAST_BITS, MOST_BITS = 16, 1 << 22, 1 << 28
+#: Anchors or runs, and texts, that a task holds before it sends them on.
+HELD, TEXTS = 1 << 20, 1 << 17
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string, spans array<struct<first:int,last:int>>"
 
 
@@ -56,37 +66,80 @@ def winnow(grams: np.ndarray, valid: np.ndarray, width: int) -> np.ndarray:
     return np.flatnonzero(_slide(least, width, np.maximum) == grams)
 
 
+def _seeds(c: Chunk, words: np.ndarray, length: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(anchors, their places) of a chunk's texts."""
+    grams = gram_hashes(words, seed)
+    at = winnow(grams, repeat_ranges(c.woffs[:-1], np.maximum(c.counts - length + 1, 0)), length - seed + 1)
+    return grams[at], at
+
+
 def _anchors(batches: Iterator[pa.RecordBatch], length: int, seed: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for c in chunks(batch.column(1)):
-            grams = gram_hashes(c.word_hashes(), seed)
-            runs = np.maximum(c.counts - length + 1, 0)
-            at = winnow(grams, repeat_ranges(c.woffs[:-1], runs), length - seed + 1)
-            row = np.searchsorted(c.woffs, at, "right") - 1
-            doc = batch.column(0).take(pa.array(c.first + row))
-            yield pa.RecordBatch.from_arrays([pa.array(as_long(grams[at])), doc, pa.array((at - c.woffs[row]).astype(np.int32))], names=["anchor", "doc", "at"])
+    """(anchor, n): of the texts that a task holds at once, n is 2 at most."""
+    held, size = [], 0
 
+    def counted() -> pa.RecordBatch:
+        keys, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(as_long(keys)), pa.array(np.minimum(n, 2).astype(np.int32))], names=["anchor", "n"])
 
-def _extend(batches: Iterator[pa.RecordBatch], length: int, seed: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        # of copies the one of least doc_id
-        own, low = batch.column(1), batch.column(5)
-        batch = batch.filter(pc.or_(pc.fill_null(pc.equal(own, low), False), pc.and_(pc.is_null(own), pc.is_null(low))))
-        doc, lists, weight = batch.column(0), batch.column(3), batch.column(4)
-        ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
-        for c in chunks(batch.column(2)):
-            first, last = ends[c.first], ends[c.first + c.rows]
-            per = np.diff(ends[c.first : c.first + c.rows + 1])
-            row = np.repeat(np.arange(c.rows), per)
-            at = flat[first:last].astype(np.int64)
-            low = np.maximum(at - (length - seed), 0)
-            high = np.minimum(at, (c.counts - length)[row])
-            starts = np.unique(repeat_ranges(c.woffs[row] + low, np.maximum(high - low + 1, 0)))
-            if len(starts):
-                row = np.searchsorted(c.woffs, starts, "right") - 1
-                h = gram_hashes(c.word_hashes(), length)[starts]
-                rows = pa.array(c.first + row)
-                yield pa.RecordBatch.from_arrays([pa.array(as_long(h)), doc.take(rows), pa.array((starts - c.woffs[row]).astype(np.int32)), weight.take(rows)], names=["run", "doc", "at", "weight"])
+        for c in chunks(batch.column(0)):
+            held.append(_seeds(c, c.word_hashes(), length, seed)[0])
+            size += len(held[-1])
+            if size >= HELD:
+                yield counted()
+                held, size = [], 0
+    if size:
+        yield counted()
+
+
+def _runs(batches: Iterator[pa.RecordBatch], shared, length: int, seed: int) -> Iterator[pa.RecordBatch]:
+    """Rows of three kinds: 0: (run, doc, first = last) met once here; 1: (doc, first, last) of consecutive runs met here again; 2: such a run, once."""
+    held: list[tuple[np.ndarray, ...]] = []
+    seen: dict[int, int] = {}  # texts held, and whether one came again
+    size = 0
+
+    def rows(kind: int, run: np.ndarray, doc: np.ndarray, first: np.ndarray, last: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(run), kind, dtype=np.int32)), pa.array(as_long(run)), pa.array(doc), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))], names=["kind", "run", "doc", "first", "last"])
+
+    def sent() -> Iterator[pa.RecordBatch]:
+        run, doc, at = (np.concatenate([x[k] for x in held]) for k in range(3))
+        copied = np.array([d for d, again in seen.items() if again], dtype=np.int64)
+        _, back, n = np.unique(run, return_inverse=True, return_counts=True)
+        often = (n[back] > 1) | np.isin(doc, copied)
+        alone = np.flatnonzero(~often)
+        yield rows(0, run[alone], doc[alone], at[alone], at[alone])
+        marks = np.unique(run[often])
+        yield rows(2, marks, np.zeros(len(marks), dtype=np.int64), np.zeros(len(marks)), np.zeros(len(marks)))
+        doc, at = doc[often], at[often]
+        if len(at):
+            new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1)])
+            first, last = np.flatnonzero(new), np.flatnonzero(np.concatenate([new[1:], [True]]))
+            yield rows(1, np.zeros(len(first), dtype=np.uint64), doc[first], at[first], at[last])
+
+    for batch in batches:
+        docs = batch.column(0).to_numpy()
+        for c in chunks(batch.column(1)):
+            fresh = np.zeros(c.rows, dtype=bool)
+            for r, d in enumerate(docs[c.first : c.first + c.rows].tolist()):
+                fresh[r] = d not in seen
+                seen[d] = int(not fresh[r])
+            words = c.word_hashes()
+            anchors, at = _seeds(c, words, length, seed)
+            row = np.searchsorted(c.woffs, at, "right") - 1
+            keep = marked(shared.value, anchors) & fresh[row]
+            at, row = at[keep], row[keep]
+            low = np.maximum(at - (length - seed), c.woffs[:-1][row])
+            high = np.minimum(at, (c.woffs[1:] - length)[row])
+            starts = np.unique(repeat_ranges(low, np.maximum(high - low + 1, 0)))
+            row = np.searchsorted(c.woffs, starts, "right") - 1
+            held.append((gram_hashes(words, length)[starts], docs[c.first + row], starts - c.woffs[row]))
+            size += len(starts)
+            if size >= HELD or len(seen) >= TEXTS:
+                yield from sent()
+                held, size = [], 0
+                seen.clear()
+    if held:
+        yield from sent()
 
 
 def _remove(batches: Iterator[pa.RecordBatch], length: int, texts: bool) -> Iterator[pa.RecordBatch]:
@@ -96,9 +149,11 @@ def _remove(batches: Iterator[pa.RecordBatch], length: int, texts: bool) -> Iter
             words = (text.as_py() or "").encode().split()
             found = []
             if starts.is_valid and len(starts):
-                s = np.unique(starts.values.to_numpy())
-                breaks = np.flatnonzero(np.diff(s) > length)
-                found = list(zip(s[np.concatenate([[0], breaks + 1])].tolist(), (s[np.concatenate([breaks, [len(s) - 1]])] + length).tolist(), strict=True))
+                first, last = (starts.values.field(k).to_numpy() for k in range(2))
+                order = np.argsort(first, kind="stable")
+                first, ends = first[order], np.maximum.accumulate(last[order] + length)
+                new = np.concatenate([[True], first[1:] > ends[:-1]])
+                found = list(zip(first[new].tolist(), ends[np.concatenate([new[1:], [True]])].tolist(), strict=True))
             rest, done = [], 0
             for a, b in found:
                 rest += words[done:a]
@@ -112,22 +167,17 @@ def _remove(batches: Iterator[pa.RecordBatch], length: int, texts: bool) -> Iter
         yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.string()), pa.array(spans, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])))], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept", "spans"])
 
 
-def _repeated(found: DataFrame, key: str, times) -> DataFrame:
-    """doc and the places of its occurrences whose key occurs twice or more."""
-    twice = found.groupBy(key).agg(times.alias("n")).where("n > 1").select(F.col(key).alias("k"))
-    return found.join(twice, F.col(key) == F.col("k")).groupBy("doc").agg(F.collect_list("at").alias("places"))
-
-
 def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, texts: bool = True) -> DataFrame:
     """One row a document: word counts, the digest of what is kept, and with ``texts`` that text and the removed spans."""
     docs = docs.select(F.xxhash64("text").alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    copies = docs.groupBy("doc").agg(F.min("doc_id").alias("low"), F.least(F.count("*"), F.lit(2)).cast("int").alias("weight")).withColumnRenamed("doc", "d")
-    anchors = docs.select("doc", "text").mapInArrow(lambda it: _anchors(it, length, seed), "anchor long, doc long, at int")
-    seeds = _repeated(anchors, "anchor", F.count("*"))
-    seeds = seeds.join(copies, F.col("doc") == F.col("d")).select("d", "places", "low", "weight")
-    # of copies one is extended, and counts for two
-    # (a condition on doc_id in the join would deal the texts out by other keys than the last join does)
-    runs = docs.join(seeds, F.col("doc") == F.col("d")).select("doc", "doc_id", "text", "places", "weight", "low")
-    runs = runs.mapInArrow(lambda it: _extend(it, length, seed), "run long, doc long, at int, weight int")
-    repeats = _repeated(runs, "run", F.sum("weight")).withColumnRenamed("doc", "d")
+    held = docs.where(F.col("text").isNotNull())
+    anchors = held.select("text").mapInArrow(lambda it: _anchors(it, length, seed), "anchor long, n int")
+    twice = cut(anchors.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor"))
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_EACH * twice.count()).bit_length()))
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(twice, bits))
+    runs = cut(held.select("doc", "text").mapInArrow(lambda it: _runs(it, shared, length, seed), "kind int, run long, doc long, first int, last int"))
+    shared.unpersist()
+    again = runs.where("kind <> 1").groupBy("run").agg(F.count("*").alias("n")).where("n > 1").select(F.col("run").alias("r"))
+    found = runs.where("kind = 0").join(again, F.col("run") == F.col("r")).select("doc", "first", "last").unionByName(runs.where("kind = 1").select("doc", "first", "last"))
+    repeats = cut(found.groupBy(F.col("doc").alias("d")).agg(F.collect_set(F.struct("first", "last")).alias("places")))
     return docs.join(repeats, F.col("doc") == F.col("d"), "left").select("doc", "doc_id", "text", "places").mapInArrow(lambda it: _remove(it, length, texts), SCHEMA)
