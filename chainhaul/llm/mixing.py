@@ -6,8 +6,9 @@ is refined by the next bits of the hash, level after level.  The mix is then a
 filter on hash thresholds; nothing is sorted and no list is gathered.
 
 Rows and cases: a null or empty text has size 0 and takes 0.  Null sources form
-one source, last in order.  Rows that share a doc_id share their place and are
-taken together.  A source without words has target 0.  Without any word all
+one source, last in order.  Null doc_ids are told apart by their texts, as are
+rows that share a doc_id; rows equal in both share their place and are taken
+together.  A source without words has target 0.  Without any word all
 targets are 0; an empty table gives an empty result.  Extra columns are dropped.
 """
 
@@ -31,13 +32,13 @@ def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def place_of(doc_id: Column) -> Column:
-    """The document's place in the hash order: hexadecimal digits."""
-    return F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, sum(LEVELS))
+def place_of(doc_id: Column, text: Column) -> Column:
+    """The document's place in the hash order: hexadecimal digits of its id and text."""
+    return F.substring(F.md5(F.concat_ws(" ", doc_id.cast("string"), text)), 1, sum(LEVELS))
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), place_of(F.col("doc_id")).alias("place"))
+    return docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), place_of(F.col("doc_id"), F.col("text")).alias("place"))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_TIMES) -> DataFrame:
@@ -65,19 +66,20 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     return by.withColumn("reps", F.least(reps, F.lit(most).cast("long"))).select("source", "source_size", "target", "reps", (F.col("target") - F.col("reps") * F.col("source_size")).alias("rest"))
 
 
-def thresholds(sizes: DataFrame, goals: DataFrame) -> DataFrame:
+def thresholds(sizes: DataFrame, goals: DataFrame, small: bool) -> DataFrame:
     """source, edge: documents with a place below ``edge`` are within the rest.
 
     Level by level: the sums of one more group of digits, inside the boundary
     bucket only; the first bucket whose running sum passes what is still wanted
     is the next boundary.  At the last level the boundary bucket is in if that
-    comes nearer to the target.
+    comes nearer to the target.  Every level's edges are written, one row a
+    source, and broadcast if ``small``, so that a hot source stays where it lies.
     """
     edge = goals.select(F.col("source").alias("s"), F.lit("").alias("edge"), F.col("rest").alias("wanted"))
     used = 0
     for level, digits in enumerate(LEVELS):
         used += digits
-        inside = sizes.join(edge, F.col("source").eqNullSafe(F.col("s")) & F.col("place").startswith(F.col("edge")))
+        inside = sizes.join(F.broadcast(edge) if small else edge, F.col("source").eqNullSafe(F.col("s")) & F.col("place").startswith(F.col("edge")))
         sums = inside.groupBy("s", F.substring("place", 1, used).alias("bucket")).agg(F.sum("size").alias("words"), F.first("wanted").alias("wanted"))
         run = Window.partitionBy("s").orderBy("bucket")
         sums = sums.withColumn("upto", F.sum("words").over(run.rowsBetween(Window.unboundedPreceding, 0)))
@@ -86,6 +88,7 @@ def thresholds(sizes: DataFrame, goals: DataFrame) -> DataFrame:
         first = sums.where(reach > F.col("wanted")).groupBy("s").agg(F.min(F.struct("bucket", (F.col("wanted") - (F.col("upto") - F.col("words"))).alias("left"))).alias("m"))
         # past every bucket: nothing of this source is left out below the old edge
         edge = edge.select("s", F.col("edge").alias("old")).join(first.select(F.col("s").alias("s2"), "m"), F.col("s").eqNullSafe(F.col("s2")), "left").select("s", F.coalesce("m.bucket", F.concat("old", F.lit("g"))).alias("edge"), F.coalesce("m.left", F.lit(0.0)).alias("wanted"))
+        edge = cut(edge)
     return edge.select(F.col("s").alias("source"), "edge")
 
 
@@ -97,9 +100,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_TI
     """
     sizes = cut(measured(docs))
     goals = cut(targets(sizes, weights, most)).select(F.col("source").alias("g"), "source_size", "target", "reps", "rest")
-    edges = thresholds(sizes, goals.withColumnRenamed("g", "source")).withColumnRenamed("source", "e")
+    small = goals.count() <= SMALL  # one row a source: its size is known here
+    edges = thresholds(sizes, goals.withColumnRenamed("g", "source"), small).withColumnRenamed("source", "e")
     plan = goals.join(edges, F.col("g").eqNullSafe(F.col("e")), "left")
-    if goals.count() <= SMALL:  # one row a source: its size is known here
+    if small:
         plan = F.broadcast(plan)
     extra = F.when(F.col("place") < F.col("edge"), 1).otherwise(0)
     return sizes.join(plan, F.col("source").eqNullSafe(F.col("g"))).select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.least(F.lit(most).cast("long"), F.col("reps") + extra)).alias("taken"))

@@ -68,7 +68,7 @@ k AS (SELECT rid, count(hit) n_removed, string_agg(w, ' ' ORDER BY j) FILTER (hi
 SELECT doc_id, len(ws) n_words, coalesce(n_removed, 0) n_removed, sha256(coalesce(kept, '')) kept_sha256 FROM d LEFT JOIN k USING (rid)"""
 
 _OP8 = rf"""
-WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{_WORDS}')), 0) size, substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12) place FROM documents),
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{_WORDS}')), 0) size, substr(md5(concat_ws(' ', CAST(doc_id AS VARCHAR), text)), 1, 12) place FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) source_size, row_number() OVER (ORDER BY source IS NULL, source) - 1 nth FROM d GROUP BY source),
 g AS (SELECT *, CAST([1, 2, 3][nth % 3 + 1] AS DOUBLE) weight, CAST(source_size * 3 AS DOUBLE) cap, CAST(sum(source_size) OVER () AS DOUBLE) total FROM s),
 l AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY cap / weight, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY cap / weight, source IS NULL, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) level FROM g),
