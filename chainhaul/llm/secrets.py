@@ -5,9 +5,9 @@ found that mean little alone: long mixed-class strings (``mixed``), endpoints
 (``endpoint``: web addresses and host names with a port) and user names in
 assignments (``user``).  Within a scope, ``SCOPE`` characters to either side,
 an interval join brings parts together.  A weak part is reported only when a
-complementary part lies in its scope: a mixed string beside an access
-identifier, a user name or an endpoint; an endpoint or user name beside an
-assignment or a mixed string.
+complementary part, one that shares no character with it, lies in its scope: a
+mixed string beside an access identifier, a user name or an endpoint; an
+endpoint or user name beside an assignment or a mixed string.
 
 Rows and cases: a null or empty text has no spans.  Repeated rows give repeated
 results.  Offsets count code points, ends are exclusive.  The whole text is
@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -35,7 +35,12 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _MIXED = re.compile(r"[A-Za-z0-9+/]{32,}={0,2}")
-_ENDPOINT = re.compile(r"https?://[^\s\"'<>]+|\b[a-z0-9-]+(?:\.[a-z0-9-]+)+:[0-9]{2,5}\b", re.A)
+_ADDRESS = re.compile(r"https?://[^\s\"'<>]+", re.A)
+#: A host name is what stands before a port: found from the port on, so that no text is read again and again.
+_PORT = re.compile(r":([0-9]{2,5})\b", re.A)
+_HOST = re.compile(r"[a-z0-9-]+(?:\.[a-z0-9-]+)+", re.A)
+_HOST_CHARACTERS = frozenset("abcdefghijklmnopqrstuvwxyz0123456789-.")
+_WORD = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_")
 _USER = re.compile(r"""(?:user(?:name)?|login|client_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]+)""", re.A | re.I)
 
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_weak long"
@@ -53,6 +58,26 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def _endpoints(text: str) -> list[tuple[int, int]]:
+    """Web addresses, and host names with a port outside of them; no two overlap."""
+    out = [m.span() for m in _ADDRESS.finditer(text)]
+    hosts, done, k = [], 0, 0
+    for m in _PORT.finditer(text):
+        start = m.start()
+        while start > done and text[start - 1] in _HOST_CHARACTERS:
+            start -= 1
+        if (empty := text.rfind("..", start, m.start())) >= 0:
+            start = empty + 2
+        while start < m.start() and (text[start] == "." or (text[start] in _WORD) == (start > 0 and text[start - 1] in _WORD)):
+            start += 1  # to a word's bound
+        while k < len(out) and out[k][1] <= start:
+            k += 1
+        if _HOST.fullmatch(text, start, m.start()) and (k == len(out) or out[k][0] >= m.end()):
+            hosts.append((start, m.end()))
+            done = m.end()
+    return sorted(out + hosts)
+
+
 def _weak_parts(text: str) -> list[tuple[int, int, int]]:
     out = []
     for m in _MIXED.finditer(text):
@@ -60,32 +85,34 @@ def _weak_parts(text: str) -> list[tuple[int, int, int]]:
         if any(c.islower() for c in s) and any(c.isupper() for c in s) and any(c.isdigit() for c in s):
             out.append((m.start(), 3, m.end()))
     if ":" in text:
-        out += [(m.start(), 4, m.end()) for m in _ENDPOINT.finditer(text)]
+        out += [(start, 4, end) for start, end in _endpoints(text)]
     if "=" in text or ":" in text:
         out += [(m.start(), 5, m.end()) for m in _USER.finditer(text)]
     return out
 
 
 def linked(base: list[tuple[int, int, int]], weak: list[tuple[int, int, int]], scope: int = SCOPE) -> list[tuple[int, int, int]]:
-    """Weak parts with a complementary part in their scope: an interval join over sorted ends."""
+    """Weak parts with a complementary part in their scope that shares no character with them: an interval join over sorted ends.
+
+    Of a kind, the part that ends last before a weak one and the part that begins first after it are the nearest.
+    """
     if not weak:
         return []
-    parts: dict[int, list[tuple[int, int]]] = {}
-    for start, kind, end in sorted([*base, *weak]):
-        parts.setdefault(kind, []).append((start, end))
-    reach: dict[int, list[int]] = {}  # the farthest end of a kind's parts up to each place, as parts may overlap
-    for kind, own in parts.items():
-        far, ends = -1, []
-        for _, end in own:
-            far = max(far, end)
-            ends.append(far)
-        reach[kind] = ends
+    begins: dict[int, list[int]] = {}
+    ends: dict[int, list[int]] = {}
+    for start, kind, end in [*base, *weak]:
+        begins.setdefault(kind, []).append(start)
+        ends.setdefault(kind, []).append(end)
+    for own in (*begins.values(), *ends.values()):
+        own.sort()
     kept = []
     for start, kind, end in weak:
         for other in map(KINDS.index, COMPLEMENTS[KINDS[kind]]):
-            if other in parts and (k := bisect_left(parts[other], (end + scope + 1,))) and reach[other][k - 1] >= start - scope:
-                kept.append((start, kind, end))
-                break
+            if other in begins:
+                k, n = bisect_right(ends[other], start), bisect_left(begins[other], end)
+                if k and ends[other][k - 1] >= start - scope or n < len(begins[other]) and begins[other][n] <= end + scope:
+                    kept.append((start, kind, end))
+                    break
     return kept
 
 
