@@ -10,8 +10,9 @@ marginals.  A document's score comes from its marginals of the toxic state, by
 a logistic curve over the largest, their sum and their sum for each hundred
 tokens, fitted on the same rows; tokens of 0.5 or more make the offending spans.
 
-The fit uses a bounded sample of labelled rows, about ``SAMPLE_ROWS`` of them
-chosen by a hash of doc_id; scoring reads every whole text.
+The fit uses a bounded sample of labelled rows that aren't held out, about
+``SAMPLE_ROWS`` of them chosen by a hash of doc_id and text; scoring reads every
+whole text.
 
 Rows and cases: a null or empty text scores what no toxic token does (next to 0) and has no span.  Of several
 labels of a document the largest counts; null labels don't.  Without a toxic or
@@ -22,6 +23,7 @@ code points, ends are exclusive.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +35,7 @@ from .langid import _bare_words
 from .store import cut
 from .text import Chunk, Lookup, chunks, mix
 
-SAMPLE_ROWS = 3_000
+SAMPLE_ROWS = 2_400
 THRESHOLD = 0.3
 #: Lengths in bytes of the beginnings that may be toxic as such, and their least toxic share of contexts.
 STEMS, STEM_SHARE = (4, 5, 6, 7, 8), 0.95
@@ -185,22 +187,42 @@ def toxic_keys(key: np.ndarray, word: np.ndarray, toxic: np.ndarray, begins: np.
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Field | None:
-    """Learn from about ``sample_rows`` labelled documents; the join takes the sampled labels to the texts."""
+    """Learn from about ``sample_rows`` labelled documents; the join takes the sampled labels to the texts.
+
+    Rows are chosen, and ordered, by a hash of doc_id and text, so that the rows
+    of one doc_id are a sample too and reruns agree.  One task fits the field
+    (the sample is bounded), away from the driver.
+    """
     labels = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("label_id")).agg(F.max("toxic").alias("is_toxic"))
-    labels = cut(labels)
-    share = min(1.0, sample_rows / max(1, labels.count()))
-    place = F.pmod(F.xxhash64(F.col("label_id").cast("string"), F.lit("toxicity")), F.lit(1_000_000))
-    chosen = labels.where(place < F.lit(int(share * 1_000_000)))
-    sample = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("text", "is_toxic").where(F.col("text").isNotNull()).toArrow().combine_chunks()
-    column = sample["text"].combine_chunks()
+    labels = cut(labels.where(~held_out(F.col("label_id"))))
+    # twice the wanted share of labels goes to the texts; the rows found, copies of a doc_id too, are thinned to the bound
+    first = F.xxhash64(F.col("label_id").cast("string"), F.lit("toxicity"))
+    chosen = labels.where(below(first, 2 * sample_rows, labels.count()))
+    joined = docs.where(F.col("text").isNotNull()).join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id"))
+    found = cut(joined.select(F.xxhash64("label_id", "text", F.lit("row")).alias("place"), (F.col("is_toxic") > 0).alias("is_toxic"), "doc_id", "text").dropDuplicates(["place"]))
+    sample = found.where(below(F.col("place"), sample_rows, found.count())).select(F.lit(0).alias("one"), "place", "is_toxic", "doc_id", "text")
+    fitted = sample.groupBy("one").applyInArrow(_fitted, "field binary").collect()
+    return pickle.loads(fitted[0].field) if fitted else None
+
+
+def below(place: Column, wanted: int, rows: int) -> Column:
+    """Whether a 64-bit hash is among the least share ``wanted`` of ``rows``."""
+    share = wanted / max(1, rows)
+    return F.lit(True) if share >= 1 else place < F.lit(int(-(2**63) + share * 2**64))
+
+
+def _fitted(rows: pa.Table) -> pa.Table:
+    rows = rows.sort_by([("place", "ascending"), ("doc_id", "ascending")])
+    column = rows["text"].combine_chunks()
     if isinstance(column, pa.ChunkedArray):
-        column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
-    return learn(column, sample["is_toxic"].to_numpy().astype(bool))
+        column = pa.concat_arrays(column.chunks)
+    field = learn(column, rows["is_toxic"].to_numpy(zero_copy_only=False).astype(bool))
+    return pa.table({"field": pa.array([pickle.dumps(field)], pa.binary())})
 
 
 def learn(column: pa.Array, labels_of: np.ndarray) -> Field | None:
     """The field of labelled texts. Only features are kept of a chunk, so memory follows the sample's tokens."""
-    if labels_of.all() or not labels_of.any():
+    if not len(labels_of) or labels_of.all() or not labels_of.any():
         return None
     whole: list[list[np.ndarray]] = [[], [], []]
     for c in chunks(column):
