@@ -6,8 +6,9 @@ that begins there (four characters, else three, two, one).  The language with
 the largest sum wins; ties go to the smaller name.
 
 The classifier is fitted on a bounded sample of labelled rows: about
-``SAMPLE_ROWS`` of them (all, if there are fewer), chosen by a hash of doc_id.
-Words and n-grams seen once in the sample are left to the backoff.
+``SAMPLE_ROWS`` of them (all, if there are fewer), chosen by a hash of doc_id and text.
+Words and n-grams seen less than ``LEAST`` times in the sample (a parameter of
+the model, the same at every size) are left to the backoff.
 
 Rows and cases: a null text or one without a letter is ``und`` with score 0, as
 is every text if no language could be learned.  Words are taken without
@@ -28,6 +29,7 @@ from .text import Chunk, Lookup, as_long, buffers, chunks, repeat_ranges
 
 SAMPLE_ROWS = 20_000
 GRAMS = 4
+LEAST = 2
 ALPHA = 0.5
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 
@@ -137,14 +139,15 @@ class Model:
         return out / np.maximum(chars, 1)[:, None]
 
 
-def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model | None:
+def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, least: int = LEAST) -> Model | None:
     """Learn from text and lang of about ``sample_rows`` rows of (doc_id, text, lang)."""
     labelled = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     rows = labelled.count()
     share = min(1.0, sample_rows / max(1, rows))
-    sample = labelled.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("langid")), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
+    place = F.xxhash64(F.col("doc_id").cast("string"), "text", F.lit("langid"))
+    sample = labelled if share >= 1 else labelled.where(place < F.lit(int(-(2**63) + share * 2**64)))
     counted = sample.select("text", "lang").mapInArrow(_count, "kind int, lang string, key long, n long")
-    counted = counted.groupBy("kind", "lang", "key").agg(F.sum("n").alias("n")).where((F.col("n") > 1) | (F.col("kind") == 1))
+    counted = counted.groupBy("kind", "lang", "key").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | (F.col("kind") == 1))
     got = counted.toArrow()
     langs = sorted(set(got["lang"].unique().to_pylist()))
     if not langs:
