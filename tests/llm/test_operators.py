@@ -2,6 +2,8 @@
 
 import hashlib
 import math
+import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -183,10 +185,40 @@ def test_interval_join_matches_brute_force():
     for _ in range(200):
         spans = [(int(s), int(rng.integers(0, 6)), int(s + rng.integers(1, 80))) for s in rng.integers(0, 2000, 12)]
         base, weak = [s for s in spans if s[1] < 3], [s for s in spans if s[1] >= 3]
-        want = [w for w in weak if any(secrets.KINDS[o[1]] in secrets.COMPLEMENTS[secrets.KINDS[w[1]]] and o[0] <= w[2] + 50 and o[2] >= w[0] - 50 for o in spans)]
+        want = [w for w in weak if any(secrets.KINDS[o[1]] in secrets.COMPLEMENTS[secrets.KINDS[w[1]]] and (w[0] - 50 <= o[2] <= w[0] or w[2] <= o[0] <= w[2] + 50) for o in spans)]
         assert secrets.linked(base, weak, 50) == want
 
 
+def test_secret_parts_do_not_complement_themselves(spark):
+    key = "aB3dE5gH7jK9mN1pQ3sT5vX7zA9cD1fG3h"
+    rows = [f"see https://example.com/a/{key} there", f"see https://example.com/a/ and {key}"]
+    got = {r.doc_id: r.spans for r in secrets.scan(documents(spark, rows)).collect()}
+    assert got == {0: "", 1: f"endpoint:4:26,mixed:31:{31 + len(key)}"}
+    assert [r.text for r in secrets.redact(documents(spark, rows[:1])).collect()] == rows[:1]
+
+
+def test_secret_hosts_match_their_pattern():
+    host = re.compile(r"https?://[^\s\"'<>]+|\b[a-z0-9-]+(?:\.[a-z0-9-]+)+:[0-9]{2,5}\b", re.A)
+    rng = np.random.default_rng(4)
+    parts = ["a", "b.", "c.d", ":80", ":443", " ", "-", "_", "A", "é", ".", "http://", "1", "x.y:22"]
+    for _ in range(5000):
+        t = "".join(rng.choice(parts, int(rng.integers(1, 10))))
+        assert [m.span() for m in host.finditer(t)] == secrets._endpoints(t)
+
+
+@pytest.mark.parametrize("text", [": " + "a-" * 500_000, "a." * 500_000 + " :80", "AKIA" * 250_000, "user:" * 200_000, "a-b.c:443 " * 100_000])
+def test_secrets_very_long(text):
+    began = time.process_time()
+    secrets.scan_text(text)
+    assert time.process_time() - began < 5
+
+
+def test_secrets_empty_and_repeated(spark):
+    docs = documents(spark, ["token=abcdefghijkl"])
+    assert secrets.scan(docs.limit(0)).count() == 0 and secrets.redact(docs.limit(0)).count() == 0
+    assert [r.spans for r in secrets.scan(docs.unionByName(docs)).collect()] == ["assign:0:18"] * 2
+
+
 def test_token_counts(spark, texts):
     rows = texts[:25] + ["line one\nline two\n\n", "é\né"]
     enc, _ = token_counts.encoder(token_counts.FOLDER, token_counts.VOCABULARY)
@@ -256,6 +288,39 @@ def test_mixing(spark):
     assert {(r.target, r.taken) for r in mixing.mix(docs.where("n_chars = 0")).collect()} == {(0.0, 0)}
 
 
+def test_mixing_without_ids(spark):
+    # null ids, and one id of most rows: texts tell them apart
+    rng = np.random.default_rng(3)
+    rows = [" ".join(f"w{k}" for k in rng.integers(0, 999, int(n))) for n in rng.integers(1, 9, 900)]
+    docs = documents(spark, rows, sources=["a", "b", "c"]).withColumn("doc_id", F.when(F.col("doc_id") % 3 == 0, F.lit(None)).otherwise(7))
+    got = mixing.mix(docs).collect()
+    own, target = mixed([len(words(t)) for t in rows], ["abc"[k % 3] for k in range(len(rows))])
+    for s in own:
+        assert abs(sum(r.taken for r in got if r.source == s) - target[s]) <= 10
+
+
+def test_mixing_very_long_and_repeated(spark):
+    rows = ["w " * 300_000, "a b c", "a b c", ""]
+    got = mixing.mix(documents(spark, rows, sources=["x"])).collect()
+    assert sorted(r["size"] for r in got) == [0, 3, 3, 300_000] and sum(r.taken for r in got) == 300_006
+
+
+def test_substring_dedup_copies_are_linear(spark):
+    # one text in most rows, and a passage in all
+    passage = " ".join(f"p{k}" for k in range(60))
+    texts = [passage + " end"] * 200 + [f"x{k} {passage} y{k}" for k in range(100)] + [None] * 20
+    docs = documents(spark, texts).repartition(5)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.remove_repeats(docs).collect()}
+    assert got == dict(enumerate(repeats(texts, 35)))
+
+
+def test_substring_dedup_very_long(spark):
+    long = " ".join(f"w{k % 50_000}" for k in range(120_000))
+    texts = [long, "w49990 " * 50, " ".join(f"w{k}" for k in range(100, 150))]
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.remove_repeats(documents(spark, texts)).collect()}
+    assert got == dict(enumerate(repeats(texts, 35)))
+
+
 def test_ann_recall_and_edges(spark):
     rng = np.random.default_rng(8)
     x = rng.normal(size=(800, 24))
