@@ -39,7 +39,7 @@ from .store import cut
 from .text import Chunk, Lookup, as_long, chunks, mix
 
 WORD_SHARE = 5e-7
-GRAM_SHARE = 1e-5
+GRAM_SHARE = 3e-7
 #: N-grams that occur less often are no arcs.
 LEAST = 2
 ORDER = 3

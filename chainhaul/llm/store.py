@@ -25,10 +25,17 @@ def folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows, read from a table written now: whole, shared, kept when executors go."""
-    path = f"{folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    """The same rows, read from a table written now: whole, shared, kept when executors go.
+
+    What was shuffled to make it isn't needed any more; Spark removes such files
+    once the driver has collected its garbage, which is asked for here.
+    """
+    spark, schema = df.sparkSession, df.schema
+    path = f"{folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    del df
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 #: Ids up to this number are broadcast; bits of the filter that thins out rows before a shuffle otherwise.
