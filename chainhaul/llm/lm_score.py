@@ -3,7 +3,8 @@
 Counts of words and of n-grams come from all training documents.  Every n-gram
 of two and three words that occurs ``LEAST`` times is an arc, whatever share of
 the corpus it is, so the model grows with the corpus.  It is held in tables
-keyed by 64-bit hashes: scoring meets them in one join, by additive weights.
+keyed by 64-bit hashes: scoring meets them in one join by buckets of keys, with
+additive weights.
 Leaving a state h by its failure arc adds bow(h); an n-gram hw that is an arc
 adds what its log probability differs from that way.  So a document's score is
 the sum, over all its words and n-grams, of one weight each.
@@ -12,6 +13,8 @@ What bounds memory: words and n-grams that make up at least ``WORD_SHARE`` and
 ``GRAM_SHARE`` of all training tokens are held by every worker (at most
 1 / share of each), all others are joined; bitmaps of fixed size keep n-grams
 that cannot be arcs out of the counts and the join.  Neither changes a result.
+Tasks hold a fixed number of n-grams or lookups before they send them on, and
+buckets grow in number with the corpus, not in size (up to ``MOST_BUCKETS``).
 
 Smoothing: the root gives log10((c + 0.5) / (N + 0.5 (V + 1))).  A higher state
 h gives a seen word w (c(hw) - D) / c(h); its failure arc has the weight that
@@ -35,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import cut
+from .store import bitmap, cut, discard, marked
 from .text import Chunk, Lookup, as_long, chunks, mix
 
 WORD_SHARE = 5e-7
@@ -256,8 +259,10 @@ class Automaton:
         return out.ravel()[:n]
 
 
-#: Bits of the filter that holds the keys of one order.
-FILTER_BITS = 1 << 26
+#: Bits of the filters that hold the n-grams of one length that may occur again, and those that do.
+FILTER_BITS = 1 << 27
+#: Tokens of training for each bucket of keys, least and most buckets; n-grams or lookups that a task holds before it writes packs.
+BUCKET, LEAST_BUCKETS, MOST_BUCKETS, HELD = 1 << 20, 24, 1 << 18, 1 << 20
 
 
 def _turn(n: int) -> int:
@@ -284,116 +289,238 @@ def _grams(tokens: np.ndarray, offs: np.ndarray, order: int) -> Iterator[tuple[n
         yield np.flatnonzero(left >= n), shorter, keys
 
 
-def _places(keys: np.ndarray) -> np.ndarray:
-    return (mix(keys) % np.uint64(FILTER_BITS)).astype(np.int64)
+def _prints(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, 32 bits more) of keys."""
+    h = mix(keys)
+    return (h % np.uint64(buckets)).astype(np.int64), (h >> np.uint64(32)).astype(np.uint32)
 
 
-def _in(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    place = _places(keys)
-    return (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 > 0
+def _joint(bucket: np.ndarray, prints: np.ndarray) -> np.ndarray:
+    return bucket.astype(np.uint64) << np.uint64(32) | prints.astype(np.uint64)
 
 
-def _filter(keys: DataFrame) -> np.ndarray:
-    """The bitmap of a column key; at most FILTER_BITS / 64 rows reach the driver."""
+def _split(bucket: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, tuple[np.ndarray, ...]]]:
+    """The columns by bucket."""
+    order = np.argsort(bucket, kind="stable")
+    bucket, columns = bucket[order], [x[order] for x in columns]
+    first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, dtype=np.int64)
+    for a, b in zip(first.tolist(), [*first[1:].tolist(), len(bucket)]):
+        yield int(bucket[a]), tuple(x[a:b] for x in columns)
 
-    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            place = _places(batch.column(0).to_numpy().view(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array((place >> 6).astype(np.int32)), pa.array(as_long(np.uint64(1) << (place & 63).astype(np.uint64)))], names=["word", "bits"])
 
-    got = keys.select("key").mapInArrow(bits, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    table = np.zeros(FILTER_BITS >> 6, dtype=np.int64)
-    table[got["word"].to_numpy()] = got["bits"].to_numpy()
-    return table.view(np.uint8)
+def _packs(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*(pa.array([r[k] for r in rows], pa.int32()) for k in range(len(names) - 1)), pa.array([r[-1] for r in rows], pa.binary())], names=names)
 
 
-def _count_longer(batches: Iterator[pa.RecordBatch], shared, n: int) -> Iterator[pa.RecordBatch]:
-    """Counts of n-grams whose two (n-1)-grams pass the filter: no other can occur often enough."""
-    bits, counter = shared.value, _Counter()
+def _print_packs(batches: Iterator[pa.RecordBatch], order: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """(bucket, n, packed bits) of the n-grams of this task, once each, or twice if they occur again in what it holds."""
+    held: list[list[np.ndarray]] = [[] for _ in range(order - 1)]
+    size = 0
+
+    def written() -> pa.RecordBatch:
+        rows = []
+        for n, parts in enumerate(held, 2):
+            keys, times = np.unique(np.concatenate(parts), return_counts=True)
+            keys = np.concatenate([keys, keys[times > 1]])
+            rows += [(b, n, x.tobytes()) for b, (x,) in _split(*_prints(keys, buckets))]
+        return _packs(rows, ["bucket", "size", "data"])
+
     for batch in batches:
         for c in chunks(batch.column(0)):
-            *_, (at, shorter, keys) = _grams(*tokens_of(c), n)
-            ok = _in(bits, shorter)
-            at = at[ok[at] & ok[at + 1]]
-            counter.add(keys[at], shorter[at], shorter[at + 1])
-    yield from counter.batches()
+            for own, (at, _, keys) in zip(held, _grams(*tokens_of(c), order), strict=True):
+                own.append(keys[at])
+                size += len(at)
+            if size >= HELD:
+                yield written()
+                held, size = [[] for _ in range(order - 1)], 0
+    if size:
+        yield written()
+
+
+def _again(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """(size, word, bits) of the bitmaps of what occurs twice; packs come sorted by bucket and n."""
+    here, parts = None, []
+
+    def found() -> pa.RecordBatch:
+        prints, times = np.unique(np.concatenate(parts), return_counts=True)
+        prints = prints[times > 1]
+        place = np.sort((mix(_joint(np.full(len(prints), here[0]), prints)) % np.uint64(bits)).astype(np.int64))
+        word = place >> 6
+        first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])) if len(word) else np.zeros(0, dtype=np.int64)
+        value = np.bitwise_or.reduceat(np.uint64(1) << (place & 63).astype(np.uint64), first) if len(first) else np.zeros(0, dtype=np.uint64)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(first), here[1], dtype=np.int32)), pa.array(word[first].astype(np.int32)), pa.array(as_long(value))], names=["size", "word", "bits"])
+
+    for batch in batches:
+        for bucket, n, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            if parts and (bucket, n) != here:
+                yield found()
+                parts = []
+            here = (bucket, n)
+            parts.append(np.frombuffer(data.as_buffer().to_pybytes(), dtype=np.uint32))
+    if parts:
+        yield found()
+
+
+def _recurring(texts: DataFrame, order: int, buckets: int) -> list[np.ndarray]:
+    """For n = 2, 3, ...: a bitmap of all n-grams that occur twice (and others by chance); at most FILTER_BITS / 64 rows of each reach the driver."""
+    packs = texts.mapInArrow(lambda it: _print_packs(it, order, buckets), "bucket int, size int, data binary").repartition(buckets, "bucket").sortWithinPartitions("bucket", "size")
+    words = packs.mapInArrow(lambda it: _again(it, FILTER_BITS), "size int, word int, bits long").groupBy("size", "word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    n, word, value = (words[x].to_numpy() for x in ("size", "word", "bits"))
+    out = []
+    for size in range(2, order + 1):
+        table = np.zeros(FILTER_BITS >> 6, dtype=np.int64)
+        table[word[n == size]] = value[n == size]
+        out.append(table.view(np.uint8))
+    return out
+
+
+def _count_arcs(batches: Iterator[pa.RecordBatch], shared, buckets: int) -> Iterator[pa.RecordBatch]:
+    """(size, left, right, n) of n-grams that may occur again."""
+    filters = shared.value
+    counters = [_Counter() for _ in filters]
+
+    def counted(k: int) -> Iterator[pa.RecordBatch]:
+        for own in counters[k].batches():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), k + 2, dtype=np.int32)), *own.columns], names=["size", "left", "right", "n"])
+        counters[k] = _Counter()
+
+    for batch in batches:
+        for c in chunks(batch.column(0)):
+            for k, (at, shorter, keys) in enumerate(_grams(*tokens_of(c), len(filters) + 1)):
+                at = at[marked(filters[k], _joint(*_prints(keys[at], buckets)))]
+                counters[k].add(keys[at], shorter[at], shorter[at + 1])
+                if counters[k].held > HELD:
+                    yield from counted(k)
+    for k in range(len(filters)):
+        yield from counted(k)
 
 
-def weights(train: DataFrame, order: int = ORDER, least: int = LEAST) -> tuple[int, int, DataFrame, list[np.ndarray]]:
-    """Training tokens, distinct words, the table (key, is_word, n, v) of all words and arcs, written, and a filter for each order of n-grams.
+def weights(train: DataFrame, order: int = ORDER, least: int = LEAST) -> tuple[int, int, int, DataFrame, list[np.ndarray]]:
+    """Training tokens, distinct words, buckets of keys, the table (key, is_word, n, v) of all words and arcs, written, and a filter for each order of n-grams.
 
     v of a word is the failure weight of its state (0 where it is none), v of
     an n-gram that and what its arc adds.
     """
+    if least < 2:
+        raise ValueError("an arc is an n-gram that occurs twice at least")
     sc = train.sparkSession.sparkContext
     texts = train.select("text")
     counts = cut(texts.mapInArrow(_count_words, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, total // BUCKET))
+    shared = sc.broadcast(_recurring(texts, order, buckets))
+    arcs = texts.mapInArrow(lambda it: _count_arcs(it, shared, buckets), "size int, left long, right long, n long")
+    arcs = cut(arcs.groupBy("size", "left", "right").agg(F.sum("n").alias("n")).where(F.col("n") >= least))
+    shared.unpersist()
     parts = [counts.select("key", F.lit(True).alias("is_word"), "n", F.lit(0.0).alias("v"))]
     kept = counts.where(F.col("n") >= least).select("key", "n", F.log10((F.col("n") + 0.5) / F.lit(total + 0.5 * (distinct + 1))).alias("p"))
-    filters = [_filter(kept)]
+    filters, tables = [], [arcs]
     for n in range(2, order + 1):
-        shared = sc.broadcast(filters[-1])
-        counted = texts.mapInArrow(lambda it, shared=shared, n=n: _count_longer(it, shared, n), "left long, right long, n long").groupBy("left", "right").agg(F.sum("n").alias("n"))
-        grams = counted.where(F.col("n") >= least).withColumn("key", _key(n))
+        grams = arcs.where(F.col("size") == n).select("left", "right", "n").withColumn("key", _key(n))
         grams = grams.join(kept.select(F.col("key").alias("left"), F.col("n").alias("c")), "left").join(kept.select(F.col("key").alias("right"), F.col("p").alias("low")), "right")
         grams = cut(grams.select("key", "left", "n", "low", F.log10((F.col("n") - DISCOUNT) / F.col("c")).alias("p")))
         room = [F.greatest(1 - F.sum(F.pow(F.lit(10.0), F.col(x))), F.lit(1e-9)) for x in ("p", "low")]
         states = cut(grams.groupBy("left").agg(F.log10(room[0] / room[1]).alias("bow")))
+        tables += [grams, states]
         parts.append(states.select(F.col("left").alias("key"), F.lit(n == 2).alias("is_word"), F.lit(0).cast("long").alias("n"), F.col("bow").alias("v")))
         parts.append(grams.join(states, "left").select("key", F.lit(False).alias("is_word"), "n", (F.col("p") - F.col("low") - F.col("bow")).alias("v")))
         kept = grams.select("key", "n", "p")
-        filters.append(_filter(kept))
-        shared.unpersist()
+        filters.append(bitmap(kept, FILTER_BITS))
     table = parts[0]
     for part in parts[1:]:
         table = table.unionAll(part)
-    return total, distinct, cut(table.groupBy("key").agg(F.max("is_word").alias("is_word"), F.max("n").alias("n"), F.sum("v").alias("v"))), filters[1:]
+    table = cut(table.groupBy("key").agg(F.max("is_word").alias("is_word"), F.max("n").alias("n"), F.sum("v").alias("v")))
+    for done in (counts, *tables):
+        discard(done)
+    return total, distinct, buckets, table, filters
 
 
-_DOC = pa.struct([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
-SCHEMA = "row long, key long, tf int, gram boolean, doc struct<doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double>"
-_NAMES = ["row", "key", "tf", "gram", "doc"]
+OUT = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score"]
+SCHEMA = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
 
 
-def _score(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    """A row a document (tf null, any key) with what the worker holds, and rows for its other words and for n-grams that may be arcs."""
-    words, base, v, grams, gram_v, filters = shared.value
+def _score(batches: Iterator[pa.RecordBatch], shared, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Packs of three kinds, by bucket: 0: documents with what the worker holds, 1: other words of theirs, 2: n-grams that may be arcs.
 
-    def features(rows: np.ndarray, keys: np.ndarray, tf: np.ndarray, gram: bool) -> Iterator[pa.RecordBatch]:
-        for k in range(0, len(keys), 1 << 17):
-            own = slice(k, k + (1 << 17))
-            m = len(keys[own])
-            yield pa.RecordBatch.from_arrays([pa.array(rows[own]), pa.array(as_long(keys[own])), pa.array(tf[own].astype(np.int32)), pa.array(np.full(m, gram)), pa.nulls(m, _DOC)], names=_NAMES)
+    1 and 2: the first row, then keys and rows from there on.
+    """
+    words, base, v, grams, gram_v, filters = shared.value
+    held: tuple[list, list, list] = ([], [], [])
+    size = 0
+
+    def written() -> pa.RecordBatch:
+        packs = []
+        for kind in (1, 2):
+            if held[kind]:
+                keys, rows = (np.concatenate([x[k] for x in held[kind]]) for k in range(2))
+                packs += [(b, kind, np.int64(r[0]).tobytes() + k.tobytes() + (r - r[0]).astype(np.int32).tobytes()) for b, (k, r) in _split((mix(keys) % np.uint64(buckets)).astype(np.int64), keys, rows)]
+        if held[0]:
+            columns = [np.concatenate([x[k] for x in held[0]]) for k in range(7)]
+            packs += [(b, 0, np.stack([x.view(np.int64) for x in own]).tobytes()) for b, own in _split((mix(columns[0].view(np.uint64)) % np.uint64(buckets)).astype(np.int64), *columns)]
+        return _packs(packs, ["bucket", "kind", "data"])
 
     for batch in batches:
-        ids, held, text, place = batch.columns
+        ids, out, text, place = batch.columns
         for c in chunks(text):
             tokens, offs = tokens_of(c)
             word = words.find(tokens)
             known = word >= 0
             n = np.diff(offs)
             row = np.repeat(np.arange(c.rows), n)
-            own = place.slice(c.first, c.rows)
-            rows = own.to_numpy()
+            rows = place.slice(c.first, c.rows).to_numpy()
             logs = np.where(known, (base + v)[word] if len(base) else 0.0, 0.0)
             for (at, _, keys), bits in zip(_grams(tokens, offs, len(filters) + 1), filters, strict=True):
-                at = at[_in(bits, keys[at])]
+                at = at[marked(bits, keys[at])]
                 found = grams.find(keys[at])
                 hit = found >= 0
                 logs[at[hit]] += gram_v[found[hit]]
                 at = at[~hit]
-                yield from features(rows[row[at]], keys[at], np.ones(len(at)), True)
-            total = [np.bincount(row, weights=x, minlength=c.rows) for x in (known, np.where(known, base[word] if len(base) else 0.0, 0.0), logs)]
-            doc = pa.StructArray.from_arrays([ids.slice(c.first, c.rows), held.slice(c.first, c.rows), pa.array(n.astype(np.int64)), pa.array(total[0].astype(np.int64)), pa.array(total[1]), pa.array(total[2])], fields=list(_DOC))
-            spread = pa.array(as_long(mix(rows.view(np.uint64))))
-            yield pa.RecordBatch.from_arrays([own, spread, pa.nulls(c.rows, pa.int32()), pa.array(np.zeros(c.rows, dtype=bool)), doc], names=_NAMES)
+                held[2].append((keys[at], rows[row[at]]))
+                size += len(at)
             rare = np.flatnonzero(~known)
-            if len(rare):
-                order = rare[np.lexsort((tokens[rare], row[rare]))]
-                keys, of = tokens[order], row[order]
-                first = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (of[1:] != of[:-1])]))
-                yield from features(rows[of[first]], keys[first], np.diff(np.concatenate([first, [len(order)]])), False)
+            held[1].append((tokens[rare], rows[row[rare]]))
+            total = [np.bincount(row, weights=x, minlength=c.rows) for x in (known, np.where(known, base[word] if len(base) else 0.0, 0.0), logs)]
+            own = ids.slice(c.first, c.rows)
+            flags = np.asarray(out.slice(c.first, c.rows)).astype(np.int64) | np.asarray(own.is_null()).astype(np.int64) << 1
+            held[0].append((rows, np.asarray(own.fill_null(0)), flags, n.astype(np.int64), total[0].astype(np.int64), total[1], total[2]))
+            size += len(rare) + c.rows
+            if size >= HELD:
+                yield written()
+                held, size = ([], [], []), 0
+    if held[0]:
+        yield written()
+
+
+def _sums(packs: pa.Table, model: pa.Table, total: int, distinct: int) -> pa.Table:
+    """A bucket's documents, and what its keys add to rows."""
+    keys = model["key"].to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    keys, n, v = keys[order], model["n"].to_numpy()[order], model["v"].to_numpy()[order]
+    docs: list[np.ndarray] = []
+    asked: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {1: [], 2: []}
+    for kind, data in zip(packs["kind"].to_pylist(), packs["data"].to_pylist(), strict=True):
+        if kind == 0:
+            docs.append(np.frombuffer(data, np.int64).reshape(7, -1))
+        else:
+            m = (len(data) - 8) // 12
+            asked[kind].append((np.frombuffer(data, np.uint64, m, 8), np.frombuffer(data, np.int64, 1)[0] + np.frombuffer(data, np.int32, m, 8 + 8 * m).astype(np.int64)))
+    doc = np.concatenate(docs, axis=1) if docs else np.zeros((7, 0), dtype=np.int64)
+    parts = [[], [], [], []]
+    for kind, own in asked.items():
+        if own:
+            key, row = (np.concatenate([x[k] for x in own]) for k in range(2))
+            at = np.minimum(np.searchsorted(keys, key), max(0, len(keys) - 1))
+            hit = keys[at] == key if len(keys) else np.zeros(len(key), dtype=bool)
+            count, value = (np.where(hit, x[at], 0) if len(keys) else np.zeros(len(key)) for x in (n, v))
+            base = np.log10((count + 0.5) / (total + 0.5 * (distinct + 1))) if kind == 1 else np.zeros(len(key))
+            for p, x in zip(parts, (row, (count > 0) & (kind == 1), base, base + value), strict=True):
+                p.append(x)
+    rows, known, base, score = (np.concatenate(p) if p else np.zeros(0, dtype=np.int64) for p in parts)
+    rows, back = np.unique(rows, return_inverse=True)
+    known, base, score = (np.bincount(back, weights=x, minlength=len(rows)) for x in (known, base, score))
+    m = len(rows)
+    columns = [pa.array(np.concatenate([doc[0], rows])), pa.array(np.concatenate([doc[1], np.zeros(m, dtype=np.int64)]), mask=np.concatenate([doc[2] & 2 > 0, np.ones(m, dtype=bool)])), pa.array(np.concatenate([doc[2] & 1 > 0, np.zeros(m, dtype=bool)])), pa.array(np.concatenate([doc[3], np.zeros(m, dtype=np.int64)])), pa.array(np.concatenate([doc[4], known.astype(np.int64)])), pa.array(np.concatenate([doc[5].view(np.float64), base])), pa.array(np.concatenate([doc[6].view(np.float64), score]))]
+    return pa.table(columns, names=OUT)
 
 
 def _frequent(counts: DataFrame, least: float) -> tuple[np.ndarray, np.ndarray]:
@@ -426,16 +553,22 @@ def fit(train: DataFrame, order: int = ORDER, word_share: float = WORD_SHARE, gr
 def score(docs: DataFrame, order: int = ORDER, word_share: float = WORD_SHARE, gram_share: float = GRAM_SHARE, least: int = LEAST) -> DataFrame:
     """Learn from documents that aren't held out and score all, a row a document; the shares bound what a worker holds, not the model."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
-    total, distinct, table, filters = weights(docs.where(~F.col("held_out")), order, least)
+    total, distinct, buckets, table, filters = weights(docs.where(~F.col("held_out")), order, least)
     held = table.where(F.col("n") >= F.when(F.col("is_word"), word_share * total).otherwise(gram_share * total)).toArrow()
     is_word, keys, n, v = (held[x].to_numpy() for x in ("is_word", "key", "n", "v"))
     is_word, keys = is_word.astype(bool), keys.view(np.uint64)
     base = np.log10((n[is_word] + 0.5) / (total + 0.5 * (distinct + 1)))
     shared = docs.sparkSession.sparkContext.broadcast((Lookup(keys[is_word]), base, v[is_word], Lookup(keys[~is_word]), v[~is_word], filters))
-    local = docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(lambda it: _score(it, shared), SCHEMA)
-    joined = local.join(table.select(F.col("key").alias("k"), "n", "v"), F.col("key") == F.col("k"), "left")
-    c, v, rare = F.coalesce("n", F.lit(0)), F.coalesce("v", F.lit(0.0)), F.col("tf").isNotNull() & ~F.col("gram")
-    base = F.when(rare, F.col("tf") * F.log10((c + 0.5) / F.lit(total + 0.5 * (distinct + 1)))).otherwise(0.0)
-    joined = joined.select("row", "doc.doc_id", "doc.held_out", "doc.n_tokens", F.coalesce("doc.n_known", F.when(rare & (c > 0), F.col("tf")).otherwise(0)).alias("n_known"), F.coalesce("doc.base", base).alias("base"), F.coalesce("doc.score", base + F.col("tf") * v).alias("score"))
-    by = joined.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"))
+    packs = docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(lambda it: _score(it, shared, buckets), "bucket int, kind int, data binary")
+    model = table.mapInArrow(lambda it: _bucketed(it, buckets), "bucket int, key long, n long, v double")
+    sums = packs.groupBy("bucket").cogroup(model.groupBy("bucket")).applyInArrow(lambda a, b: _sums(a, b, total, distinct), SCHEMA)
+    by = sums.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"))
     return by.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def _bucketed(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """The model's rows (key, is_word, n, v) with their buckets."""
+    for batch in batches:
+        key = batch.column(0)
+        bucket = (mix(key.to_numpy().view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(bucket), key, batch.column(2), batch.column(3)], names=["bucket", "key", "n", "v"])

@@ -35,7 +35,15 @@ def cut(df: DataFrame) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     del df
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Remove a table that ``cut`` wrote and nothing reads any more."""
+    path = table.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(table.written_to)
+    path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 #: Ids up to this number are broadcast; bits of the filter that thins out rows before a shuffle otherwise.

@@ -126,11 +126,13 @@ def _runs(batches: Iterator[pa.RecordBatch], shared, length: int, seed: int) ->
             words = c.word_hashes()
             anchors, at = _seeds(c, words, length, seed)
             row = np.searchsorted(c.woffs, at, "right") - 1
-            keep = marked(shared.value, anchors) & fresh[row]
-            at, row = at[keep], row[keep]
+            known = marked(shared.value, anchors) & fresh[row]
             low = np.maximum(at - (length - seed), c.woffs[:-1][row])
             high = np.minimum(at, (c.woffs[1:] - length)[row])
-            starts = np.unique(repeat_ranges(low, np.maximum(high - low + 1, 0)))
+            starts = np.unique(repeat_ranges(low[known], np.maximum(high - low + 1, 0)[known]))
+            # a run that holds an anchor met nowhere else can't be met elsewhere
+            single = np.concatenate([[0], np.cumsum(~known)])
+            starts = starts[single[np.searchsorted(at, starts + (length - seed), "right")] == single[np.searchsorted(at, starts)]]
             row = np.searchsorted(c.woffs, starts, "right") - 1
             held.append((gram_hashes(words, length)[starts], docs[c.first + row], starts - c.woffs[row]))
             size += len(starts)
