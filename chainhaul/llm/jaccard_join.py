@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
-from .store import cut, rows_of
+from .store import bitmap, cut, discard, marked, thinned
 from .text import Chunk, Lookup, as_long, chunks, gram_hashes, mix, repeat_ranges
 
 WORDS = 5
@@ -58,6 +58,8 @@ HELD = 1 << 20
 #: Entries of a column block; most shuffle partitions.
 BLOCK, PARTITIONS = 2_000_000, 1 << 15
 COLUMN_BITS = 48
+#: Pairs or leads that are broadcast (up to 40 bytes each, after a count); bits of the filters of wanted sets.
+FEW_PAIRS, KEY_BITS = 200_000, 1 << 23
 #: Elements of a lead's rows that meet in one task; those of larger groups are dealt out by element.
 GROUP = 1 << 20
 #: Rows of a run of difference elements that one task pairs; longer runs are dealt out by pairs of their parts.
@@ -436,17 +438,23 @@ def _enough(count: Column, percent: int) -> Column:
 
 
 def _with_texts(pairs: DataFrame, texts: DataFrame, a: str, b: str) -> DataFrame:
-    both = pairs.select(a, b).join(texts.select(F.col("key").alias(a), F.col("text").alias("ta")), a).join(texts.select(F.col("key").alias(b), F.col("text").alias("tb")), b)
+    """Pairs (a, b) with both texts; few pairs (a checked number) are brought to the first texts, more meet them by a shuffle."""
+    first, second = (thinned(texts, pairs.select(c).distinct()) for c in (a, b))
+    few = F.broadcast(pairs.select(a, b)) if pairs.count() <= FEW_PAIRS else pairs.select(a, b)
+    both = first.select(F.col("key").alias(a), F.col("text").alias("ta")).join(few, a).join(second.select(F.col("key").alias(b), F.col("text").alias("tb")), b)
     return both.select(a, b, "ta", "tb")
 
 
-def _of_key(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
-    """Those rows of (key, text) whose text has this key: rows of one doc_id may have several texts."""
+def _keyed(batches: Iterator[pa.RecordBatch], shared, words: int) -> Iterator[pa.RecordBatch]:
+    """(key, doc_id, text) of the rows whose doc_id and key are wanted, and a few others by chance."""
+    ids, keys = shared.value
     for batch in batches:
-        for c in chunks(batch.column(1)):
-            own = batch.slice(c.first, c.rows)
+        own = batch.filter(pa.array(marked(ids, batch.column(0).to_numpy().view(np.uint64))))
+        for c in chunks(own.column(1)):
+            part = own.slice(c.first, c.rows)
             _, key = set_keys(*gram_sets(c, words), c.rows)
-            yield own.filter(pa.array(as_long(key) == own.column(0).to_numpy()))
+            part = pa.RecordBatch.from_arrays([pa.array(as_long(key)), *part.columns], names=["key", "doc_id", "text"])
+            yield part.filter(pa.array(marked(keys, key)))
 
 
 def _leads(dense: DataFrame, percent: int) -> DataFrame:
@@ -459,7 +467,7 @@ def _leads(dense: DataFrame, percent: int) -> DataFrame:
     dense = dense.withColumn("most", F.least("cap", F.col("n") - F.col("pos"))).withColumn("able", F.col("most") * (100 + percent) >= 2 * percent * F.col("n"))
     lead = F.max(F.struct("able", "own", F.xxhash64("key").alias("spread"), "key"))
     stats = dense.groupBy("col").agg(lead.alias("lead"), F.min(F.when(F.col("able"), F.col("n"))).alias("least"), F.count("*").alias("rows"))
-    stats = stats.where("rows > 1 and lead.able").select(F.col("col").alias("c"), F.col("lead.key").alias("lead"), "least")
+    stats = cut(stats.where("rows > 1 and lead.able").select(F.col("col").alias("c"), F.col("lead.key").alias("lead"), "least"))
     met = dense.join(stats, F.col("col") == F.col("c"))
     smaller = (F.col("least") <= F.col("n")) & (F.col("most") * (100 + percent) >= (F.col("n") + F.greatest("least", F.ceil(F.col("n") * percent / 100))) * percent)
     return met.where((F.col("able") | smaller) & (F.col("key") != F.col("lead"))).select(F.col("key").alias("x"), "lead").distinct()
@@ -471,17 +479,19 @@ def _candidates(differ: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     best = F.max(F.struct("slack", F.xxhash64("x").alias("spread"), "x"))
     hubs = differ.groupBy("lead").agg(best.alias("best"), F.max("own").alias("top"), F.min("slack").alias("low"), F.count("*").alias("rows"), F.sum(F.size("elements")).alias("sum"))
     lead_is = F.col("top") >= F.col("best.slack")
-    hubs = hubs.select(F.col("lead").alias("l"), F.when(lead_is, F.col("lead")).otherwise(F.col("best.x")).alias("hub"), F.greatest("top", "best.slack").alias("most"), F.col("best.slack").alias("next"), "low", "rows", "sum")
-    rows = differ.join(hubs, F.col("lead") == F.col("l")).withColumn("hangs", F.col("slack") + F.col("most") >= 0)
+    hubs = cut(hubs.select(F.col("lead").alias("l"), F.when(lead_is, F.col("lead")).otherwise(F.col("best.x")).alias("hub"), F.greatest("top", "best.slack").alias("most"), F.col("best.slack").alias("next"), "low", "rows", "sum"))
+    near = F.broadcast(hubs) if hubs.count() <= FEW_PAIRS else hubs
+    rows = differ.join(near, F.col("lead") == F.col("l")).withColumn("hangs", F.col("slack") + F.col("most") >= 0)
     sure = rows.where("hangs").select(F.col("x").alias("a"), F.col("hub").alias("b")).unionByName(rows.where(F.col("slack") + F.col("own") >= 0).select(F.col("x").alias("a"), F.col("lead").alias("b"))).where("a <> b").distinct()
     # partners of a row that hangs are those that don't; of others, all rows but the lead
     other = F.least("bound", F.when(F.col("hangs"), -F.col("most") - 1).otherwise(F.col("next")))
     need = F.greatest(F.lit(1), F.ceil(-(F.col("slack") + other) / down)).cast("int")
     rows = rows.where((F.col("low") + F.col("most") < 0) & (F.col("rows") > 1)).withColumn("need", need).where("need <= d")
     rows = rows.select("lead", "x", "slack", "d", "hangs", "sum", F.slice("elements", F.lit(1), (F.col("d") - F.col("need") + 1).cast("int")).alias("elements"))
-    rows = cut(rows)
     small = rows.where(F.col("sum") <= GROUP).select("lead", "x", "slack", "d", "hangs", "elements").repartition("lead").sortWithinPartitions("lead")
     small = small.mapInArrow(lambda it: _meet_groups(it, percent), "a long, b long")
+    if hubs.where(F.col("sum") > GROUP).isEmpty():
+        return sure, small.distinct()
     large = rows.where(F.col("sum") > GROUP).select("lead", "x", "slack", "d", "hangs", F.posexplode("elements").alias("pos", "element"))
     large = large.select("lead", "element", "x", "slack", (F.col("d") - F.col("pos")).cast("long").alias("left"), "hangs")
     # a run without a row that doesn't hang has no pair; long runs go in cells, each two of their parts
@@ -527,6 +537,7 @@ def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     rest = F.floor(F.col("n") * percent / 100)
     rest = F.when(F.col("n") * percent % 100 == 0, rest - 1).otherwise(rest)
     leads = cut(_leads(dense.join(more, F.col("key") == F.col("k")).withColumn("cap", rest + F.col("common")), percent))
+    discard(product)
     # 3. the texts of rows to be counted in full, one a set
     ends = [pairs.select(F.col("a").alias("k")), pairs.select("b"), leads.select("x"), leads.select("lead")]
     wanted = ends[0]
@@ -535,19 +546,21 @@ def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     wanted = cut(ids.join(wanted.distinct(), F.col("key") == F.col("k")).select("id", "key"))
     # (only rows that share a doc_id can give a text twice)
     again = cut(rows.where("n > 0").groupBy(F.col("doc_id").alias("d")).agg(F.count("*").alias("m"), F.min("key").alias("a"), F.max("key").alias("b")).where("m > 1"))
-    fetched = rows_of(known, wanted).select("doc_id", "key", "text")
-    texts = fetched.select("key", "text")
+    filters = sc.broadcast((bitmap(wanted.select("id"), KEY_BITS), bitmap(wanted.select("key"), KEY_BITS)))
+    texts = known.mapInArrow(lambda it: _keyed(it, filters, words), "key long, doc_id long, text string")
     if not again.isEmpty():
-        texts = fetched.join(again.select("d"), F.col("doc_id") == F.col("d"), "left_anti").select("key", "text")
-        several = fetched.join(again.select("d"), F.col("doc_id") == F.col("d"), "left_semi").select("key", "text")
-        texts = texts.unionByName(several.mapInArrow(lambda it: _of_key(it, words), "key long, text string").dropDuplicates(["key"]))
-    texts = cut(texts)
+        once = texts.join(again.select("d"), F.col("doc_id") == F.col("d"), "left_anti")
+        texts = once.unionByName(texts.join(again.select("d"), F.col("doc_id") == F.col("d"), "left_semi").dropDuplicates(["key"]))
+    texts = cut(texts.select("key", "text"))
+    filters.unpersist()
     # 4. rows against leads, then pairs
     differ = cut(_with_texts(leads, texts, "x", "lead").mapInArrow(lambda it: _differ(it, frequent, words, percent), "x long, lead long, slack long, own long, d long, bound long, elements array<long>"))
     sure, may = _candidates(differ, percent)
-    pairs = cut(pairs.unionByName(may).distinct())
+    pairs, sure = cut(pairs.unionByName(may).distinct()), cut(sure)
+    discard(differ)
     found = cut(_with_texts(pairs, texts, "a", "b").mapInArrow(lambda it: _verify(it, words, percent), "a long, b long").unionByName(sure))
     frequent.unpersist()
+    discard(texts)
     # 5. components of documents; sets that rows of one doc_id have are linked by it
     twice = again.where("a <> b").select("d", "a")
     found = found.unionByName(rows.where("n > 0").join(twice, F.col("doc_id") == F.col("d")).select("a", F.col("key").alias("b")).where("a <> b"))

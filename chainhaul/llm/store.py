@@ -70,6 +70,17 @@ def marked(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (table[place >> 3] >> (place & 7).astype(np.uint8)) & 1 > 0
 
 
+def thinned(rows: DataFrame, keys: DataFrame, bits: int = 1 << 23) -> DataFrame:
+    """The rows of (key, ...) whose key is among the keys of a one-column table, and a few others by chance."""
+    shared = rows.sparkSession.sparkContext.broadcast(bitmap(keys, bits))
+
+    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(marked(shared.value, batch.column(0).to_numpy().view(np.uint64))))
+
+    return rows.mapInArrow(thin, rows.schema)
+
+
 def _places(ids: np.ndarray) -> np.ndarray:
     return (mix(ids.view(np.uint64)) % np.uint64(FILTER_BITS)).astype(np.int64)
 
