@@ -374,15 +374,19 @@ def _recurring(texts: DataFrame, order: int, buckets: int) -> list[np.ndarray]:
     return out
 
 
-def _count_arcs(batches: Iterator[pa.RecordBatch], shared, buckets: int) -> Iterator[pa.RecordBatch]:
-    """(size, left, right, n) of n-grams that may occur again."""
+def _arc_packs(batches: Iterator[pa.RecordBatch], shared, buckets: int) -> Iterator[pa.RecordBatch]:
+    """(bucket, n, keys of the first and of the last n - 1 words, counts) of n-grams that may occur again, by the bucket of all n."""
     filters = shared.value
     counters = [_Counter() for _ in filters]
 
-    def counted(k: int) -> Iterator[pa.RecordBatch]:
-        for own in counters[k].batches():
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), k + 2, dtype=np.int32)), *own.columns], names=["size", "left", "right", "n"])
+    def written(k: int) -> pa.RecordBatch:
+        packs = []
+        for own in counters[k].batches(1 << 62):
+            left, right, n = (x.to_numpy() for x in own.columns)
+            bucket = (mix(_joined(left.view(np.uint64), right.view(np.uint64), k + 2)) % np.uint64(buckets)).astype(np.int64)
+            packs += [(b, k + 2, x.tobytes() + y.tobytes() + z.astype(np.int32).tobytes()) for b, (x, y, z) in _split(bucket, left, right, n)]
         counters[k] = _Counter()
+        return _packs(packs, ["bucket", "size", "data"])
 
     for batch in batches:
         for c in chunks(batch.column(0)):
@@ -390,9 +394,35 @@ def _count_arcs(batches: Iterator[pa.RecordBatch], shared, buckets: int) -> Iter
                 at = at[marked(filters[k], _joint(*_prints(keys[at], buckets)))]
                 counters[k].add(keys[at], shorter[at], shorter[at + 1])
                 if counters[k].held > HELD:
-                    yield from counted(k)
+                    yield written(k)
     for k in range(len(filters)):
-        yield from counted(k)
+        yield written(k)
+
+
+def _arcs(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """(size, left, right, n) of n-grams that occur often enough; packs come sorted by bucket and n."""
+    here, parts = None, []
+
+    def counted() -> pa.RecordBatch:
+        left, right, n = (np.concatenate([p[k] for p in parts]) for k in range(3))
+        order = np.lexsort((right, left))
+        left, right, n = left[order], right[order], n[order]
+        first = np.flatnonzero(np.concatenate([[True], (left[1:] != left[:-1]) | (right[1:] != right[:-1])])) if len(left) else np.zeros(0, dtype=np.int64)
+        n = np.add.reduceat(n.astype(np.int64), first) if len(first) else np.zeros(0, dtype=np.int64)
+        first, n = first[n >= least], n[n >= least]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), here[1], dtype=np.int32)), pa.array(left[first]), pa.array(right[first]), pa.array(n)], names=["size", "left", "right", "n"])
+
+    for batch in batches:
+        for bucket, n, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            if parts and (bucket, n) != here:
+                yield counted()
+                parts = []
+            here = (bucket, n)
+            data = data.as_buffer().to_pybytes()
+            m = len(data) // 20
+            parts.append((np.frombuffer(data, np.int64, m), np.frombuffer(data, np.int64, m, 8 * m), np.frombuffer(data, np.int32, m, 16 * m)))
+    if parts:
+        yield counted()
 
 
 def weights(train: DataFrame, order: int = ORDER, least: int = LEAST) -> tuple[int, int, int, DataFrame, list[np.ndarray]]:
@@ -409,8 +439,8 @@ def weights(train: DataFrame, order: int = ORDER, least: int = LEAST) -> tuple[i
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, total // BUCKET))
     shared = sc.broadcast(_recurring(texts, order, buckets))
-    arcs = texts.mapInArrow(lambda it: _count_arcs(it, shared, buckets), "size int, left long, right long, n long")
-    arcs = cut(arcs.groupBy("size", "left", "right").agg(F.sum("n").alias("n")).where(F.col("n") >= least))
+    arcs = texts.mapInArrow(lambda it: _arc_packs(it, shared, buckets), "bucket int, size int, data binary").repartition(buckets, "bucket").sortWithinPartitions("bucket", "size")
+    arcs = cut(arcs.mapInArrow(lambda it: _arcs(it, least), "size int, left long, right long, n long"))
     shared.unpersist()
     parts = [counts.select("key", F.lit(True).alias("is_word"), "n", F.lit(0.0).alias("v"))]
     kept = counts.where(F.col("n") >= least).select("key", "n", F.log10((F.col("n") + 0.5) / F.lit(total + 0.5 * (distinct + 1))).alias("p"))
