@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import SparkSession
+from pyspark.sql import SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import geo
@@ -25,10 +25,10 @@ def do_extract(spark, a):
 
 
 def do_cluster(spark, a):
-    """Activities to facilities, by zone of a shapefile."""
+    """Activities to facilities, by zone of a shapefile; points are visited by vehicle, chain and place in it."""
     zones = readers.zones_shapefile(spark, a.zones, a.field).select("zone_id", F.explode("rings").alias("ring"))
     placed = assign.point_in_zone(spark.read.parquet(a.input), zones, a.cell)
-    points = placed.select("zone_id", F.xxhash64("vehicle_id", "chain_seq", "act_seq").alias("point_id"), "x", "y")
+    points = placed.select("zone_id", F.row_number().over(Window.partitionBy("zone_id").orderBy("vehicle_id", "chain_seq", "act_seq", "x", "y")).alias("point_id"), "x", "y")
     clustered = cluster.cluster(points, a.radius, a.points)
     found = cluster.facilities(clustered, a.threshold)
     found.write.parquet(f"{a.output}/facilities")

@@ -68,23 +68,45 @@ def _spans(points: np.ndarray, d: float, xs: np.ndarray) -> tuple[np.ndarray, np
     return low, high
 
 
-def _covered(low: np.ndarray, high: np.ndarray) -> float:
-    """Total length of the union of intervals, summed over columns."""
+def _covered(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Length of the union of the intervals of each column."""
     order = np.argsort(low, axis=0)
     low, high = np.take_along_axis(low, order, 0), np.take_along_axis(high, order, 0)
     upto = np.maximum.accumulate(high, axis=0)
     before = np.vstack([np.full((1, low.shape[1]), -np.inf), upto[:-1]])
-    return float(np.maximum(high - np.maximum(low, before), 0, where=np.isfinite(high), out=np.zeros_like(high)).sum())
+    return np.maximum(high - np.maximum(low, before), 0, where=np.isfinite(high), out=np.zeros_like(high)).sum(axis=0)
 
 
-def overlap(p: np.ndarray, q: np.ndarray, d: float, steps: int = 400) -> float:
-    """Area of the intersection over that of the union of two paths' buffers, by midpoint strips."""
-    both = np.concatenate([p, q])
-    lo, hi = both[:, 0].min() - d, both[:, 0].max() + d
-    xs = lo + (np.arange(steps) + 0.5) * (hi - lo) / steps
-    s, t = _spans(p, d, xs), _spans(q, d, xs)
-    a1, a2, u = _covered(*s), _covered(*t), _covered(np.vstack([s[0], t[0]]), np.vstack([s[1], t[1]]))
-    return (a1 + a2 - u) / u if u else 0.0
+def _breaks(points: np.ndarray, d: float) -> np.ndarray:
+    """Where a path's buffer may change its form: the ends of the caps and the corners of the bands."""
+    step = np.diff(points, axis=0)
+    n = np.hypot(step[:, 0], step[:, 1])
+    off = (d * step[:, 1] / np.maximum(n, 1e-300))[n > 0]
+    ends = [points[:, 0] - d, points[:, 0] + d]
+    for side in (points[:-1, 0][n > 0], points[1:, 0][n > 0]):
+        ends += [side - off, side + off]
+    return np.concatenate(ends)
+
+
+def overlap(p: np.ndarray, q: np.ndarray, d: float, steps: int = 24) -> float:
+    """Area of the intersection over that of the union of two paths' buffers.
+
+    The x axis is cut wherever either buffer may change its form; each piece is
+    integrated by ``steps`` strips that are narrow at its ends, where caps are
+    steep.  So nothing falls between strips, however long the paths are.
+    """
+    edges = np.unique(np.concatenate([_breaks(p, d), _breaks(q, d)]))
+    angle = (np.arange(steps) + 0.5) * np.pi / steps
+    place, weight = (1 - np.cos(angle)) / 2, np.sin(angle) * np.sin(np.pi / (2 * steps))
+    xs = (edges[:-1, None] + np.diff(edges)[:, None] * place).ravel()
+    w = (np.diff(edges)[:, None] * weight).ravel()
+    area = np.zeros(3)
+    for k in range(0, len(xs), 4096):
+        own = xs[k : k + 4096]
+        s, t = _spans(p, d, own), _spans(q, d, own)
+        for j, (low, high) in enumerate((s, t, (np.vstack([s[0], t[0]]), np.vstack([s[1], t[1]])))):
+            area[j] += (_covered(low, high) * w[k : k + 4096]).sum()
+    return float((area[0] + area[1] - area[2]) / area[2]) if area[2] else 0.0
 
 
 def chain_overlap(acts: DataFrame, d: float = 100.0) -> DataFrame:

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import calendar, geo
 from ..operators import assign, clean, cluster, extract, generate, graph, kde, network, pathnet, reports, sample, similarity
-from ..sources import exports, readers
+from ..sources import exports, readers, writers
 from . import adapters as A
 from .sql import build, date, hour, second, weekday
 
@@ -602,3 +602,67 @@ def dj_cluster(spark, sf):
 def concave_hull(spark, sf):
     out = cluster.facilities(cluster.cluster(cluster_points(spark, sf), 30.0, 4), 25.0)
     return out.withColumn("hull", geo.encode_hull(F.col("hull")))
+
+
+# files: written by the writers, read again by the readers
+
+
+@query("""SELECT CAST(user_id AS VARCHAR) vehicle_id, date_diff('second', TIMESTAMP '1970-01-01', ts) AS "time", CAST(event_id % 90 AS DOUBLE) / 4 lon, -CAST(event_id % 70 AS DOUBLE) / 8 lat, CAST(event_id % 16 AS VARCHAR) status, CAST(event_id % 120 AS INT) speed
+    FROM events WHERE event_id % 10 > 2""")
+def raw_gps_parse(spark, sf):
+    """Lines of records in another order of fields, some broken: too few fields, too many, a text for a number."""
+    e = A.table(spark, sf, "events")
+    k = F.col("event_id") % 10
+    line = F.concat_ws(",", A.epoch("ts"), -(F.col("event_id") % 70).cast("double") / 8, (F.col("event_id") % 90).cast("double") / 4, F.col("event_id") % 120, F.col("event_id") % 16, "user_id")
+    line = F.when(k == 0, F.substring_index(line, ",", 5)).when(k == 1, F.concat(line, F.lit(",9"))).when(k == 2, F.concat(F.lit("x"), line)).otherwise(line)
+    path = A.scratch(spark)
+    e.select(line.alias("value")).write.text(path)
+    return readers.raw_gps(spark, path, {"time": 0, "lat": 1, "lon": 2, "speed": 3, "status": 4, "vehicle_id": 5}).drop("seq")
+
+
+@query(build('SELECT vehicle_id, chain_seq, act_seq, "type", start_ts, end_ts, x, y, facility_id FROM ord', "ord"))
+def vehicles_xml_roundtrip(spark, sf):
+    path = A.scratch(spark)
+    writers.write_vehicles(A.order_acts(spark, sf), None, path)
+    return _chains_by_order(spark, sf, readers.xml_activities(readers.vehicles_xml(spark, path)))
+
+
+def _chains_by_order(spark, sf, rows):
+    """A file holds chains in order, without numbers: the nth chain of a vehicle gets its number again."""
+    place = Window.partitionBy("vehicle_id").orderBy("chain_seq")
+    numbers = A.order_acts(spark, sf).select("vehicle_id", "chain_seq").distinct().select("vehicle_id", F.col("chain_seq").alias("number"), (F.row_number().over(place) - 1).alias("chain_seq"))
+    return rows.join(numbers, ["vehicle_id", "chain_seq"]).select("vehicle_id", F.col("number").alias("chain_seq"), "act_seq", "type", "start_ts", "end_ts", "x", "y", "facility_id")
+
+
+def _places(spark, sf):
+    a = A.order_acts(spark, sf).where("facility_id is not null")
+    return a.groupBy(F.col("facility_id").alias("id")).agg(F.min("x").alias("x"), F.min("y").alias("y"))
+
+
+@query(build("SELECT mx.*, p.x o_x, p.y o_y FROM mx JOIN (SELECT facility_id id, min(x) x, min(y) y FROM ord WHERE facility_id IS NOT NULL GROUP BY 1) p ON p.id = o_id", "mx", "ord"))
+def network_text_roundtrip(spark, sf):
+    path = A.scratch(spark)
+    arcs = mx(spark, sf)
+    ends = arcs.select(F.explode(F.array("o_id", "d_id")).alias("id")).distinct()
+    writers.write_network(_places(spark, sf).join(ends, "id", "left_semi"), arcs, path)
+    nodes, back = readers.network_text(spark, path)
+    return back.join(nodes.select(F.col("id").alias("o_id"), F.col("x").alias("o_x"), F.col("y").alias("o_y")), "o_id")
+
+
+@query(build("SELECT * FROM pd", "pd"))
+def pdnet_xml_roundtrip(spark, sf):
+    acts, path = A.order_acts(spark, sf), A.scratch(spark)
+    edges = pathnet.edges(acts)
+    writers.write_path_network(_places(spark, sf), edges, pathnet.contexts(acts), pathnet.starts(acts), path)
+    _, back, _ = readers.path_network_xml(spark, path)
+    return back.select(*(F.col(c).cast(dict(edges.dtypes)[c]).alias(c) for c in edges.columns))
+
+
+@query("""SELECT 'h' || lpad(CAST(s_suppkey AS VARCHAR), 6, '0') facility_id, (s_suppkey % 97) * 10.0::DOUBLE + 2 x, (s_suppkey % 89) * 10.0::DOUBLE + 2 y, CAST(s_suppkey % 50 AS BIGINT) activity_count, true same
+    FROM supplier WHERE s_suppkey % 7 = 0""")
+def facilities_xml_roundtrip(spark, sf):
+    path = A.scratch(spark)
+    f = A.facilities(spark, sf).select("facility_id", F.col("fx").alias("x"), F.col("fy").alias("y"), "hull", (F.substring("facility_id", 2, 6).cast("long") % 50).alias("activity_count"))
+    writers.write_facilities(f, path)
+    back = readers.facilities_xml(spark, path)
+    return back.join(f.select("facility_id", F.col("hull").alias("given")), "facility_id").select("facility_id", "x", "y", "activity_count", (F.col("hull") == F.col("given")).alias("same"))

@@ -51,9 +51,12 @@ def sorted_vehicle_files(spark: SparkSession, path: str) -> DataFrame:
 def status_codes(spark: SparkSession, path: str) -> tuple[list[str], list[str]]:
     """(start codes, stop codes) of the two-line status file; any other line is an error."""
     found: dict[str, list[str]] = {}
-    for row in spark.read.text(path, wholetext=False).limit(3).collect():
+    rows = spark.read.text(path)
+    kind = F.trim(F.substring_index("value", ",", 1))
+    wrong = rows.where(~kind.isin("Start", "Stop")).limit(1).collect()
+    for row in wrong or rows.limit(3).collect():
         kind, *codes = [x.strip() for x in row.value.split(",")]
-        if kind not in ("Start", "Stop") or kind in found:
+        if wrong or kind in found:
             raise ValueError(f"unexpected line in the status file: {row.value!r}")
         found[kind] = codes
     return found.get("Start", []), found.get("Stop", [])

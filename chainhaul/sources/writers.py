@@ -23,21 +23,27 @@ def vehicle_elements(acts: DataFrame, positions: DataFrame | None = None) -> Dat
     a = F.concat(F.lit("\t\t\t<activity"), _attr("type", F.col("type")), _attr("start", calendar.stamp(F.col("start_ts"))), _attr("end", calendar.stamp(F.col("end_ts"))), _attr("x", _number("%.2f", F.col("x"))), _attr("y", _number("%.2f", F.col("y"))), _attr("facility", F.col("facility_id")), F.lit("/>\n"))
     parts = acts.select("vehicle_id", "chain_seq", (F.col("act_seq") * 2).alias("place"), a.alias("text"))
     if positions is not None:
-        p = F.concat(F.lit("\t\t\t\t<position"), _attr("time", calendar.stamp(F.col("ts"))), _attr("x", _number("%.6f", F.col("x"))), _attr("y", _number("%.6f", F.col("y"))), F.lit("/>\n"))
+        p = F.concat(F.lit("\t\t\t\t<position"), _attr("time", calendar.stamp(F.col("ts"))), _attr("x", _number("%.6f", F.col("x"))), _attr("y", _number("%.6f", F.col("y"))), *([_attr("z", _number("%.6f", F.col("z")))] if "z" in positions.columns else []), F.lit("/>\n"))
         rows = positions.select("vehicle_id", "chain_seq", "trace_seq", "pos_seq", p.alias("text"))
         text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos_seq", "text"))), lambda s: s["text"]), "")
         traces = rows.groupBy("vehicle_id", "chain_seq", "trace_seq").agg(F.concat(F.lit("\t\t\t<trace>\n"), text, F.lit("\t\t\t</trace>\n")).alias("text"))
         parts = parts.unionByName(traces.select("vehicle_id", "chain_seq", (F.col("trace_seq") * 2 + 1).alias("place"), "text"))
     joined = lambda key: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, "text"))), lambda s: s["text"]), "")
     chains = parts.groupBy("vehicle_id", "chain_seq").agg(F.concat(F.lit("\t\t<chain>\n"), joined("place"), F.lit("\t\t</chain>\n")).alias("text"))
-    return chains.groupBy("vehicle_id").agg(joined("chain_seq").alias("text")).select("vehicle_id", F.concat(F.lit("\t<digicoreVehicle"), _attr("id", F.col("vehicle_id")), F.lit(' type="commercial" timezone="GMT+02:00" locale="en">\n'), F.col("text"), F.lit("\t</digicoreVehicle>")).alias("text"))
+    return chains.groupBy("vehicle_id").agg(joined("chain_seq").alias("text")).select("vehicle_id", F.concat(F.lit("\t<digicoreVehicle"), _attr("id", F.col("vehicle_id")), F.lit(' type="commercial" timezone="GMT+2" locale="en">\n'), F.col("text"), F.lit("\t</digicoreVehicle>")).alias("text"))
 
 
 def write_vehicles(acts: DataFrame, positions: DataFrame | None, path: str, crs: str = "Atlantis", trace_crs: str | None = None, description: str | None = None) -> None:
     """A folder of container parts, each a well-formed container; traces of another crs are refused."""
     if positions is not None and trace_crs not in (None, crs):
         raise ValueError(f"traces have the crs {trace_crs}, the container {crs}")
-    head = f'<?xml version="1.0" encoding="UTF-8"?>\n<!DOCTYPE digicoreVehicles SYSTEM "digicoreVehicles_v{1 if positions is None else 2}.dtd">\n<digicoreVehicles crs="{crs}"' + (f' desc="{description}"' if description else "") + ">\n"
+    attributes = f' crs="{crs}"' + (f' desc="{description}"' if description else "")
+    write_document(vehicle_elements(acts, positions).select("text"), path, "digicoreVehicles", f"digicoreVehicles_v{1 if positions is None else 2}.dtd", attributes)
+
+
+def write_document(elements: DataFrame, path: str, root: str, doctype: str | None, attributes: str = "", overwrite: bool = False) -> None:
+    """A folder of parts, each a well-formed document with this root around the elements of a column of texts; refuses to overwrite unless asked."""
+    head = '<?xml version="1.0" encoding="UTF-8"?>\n' + (f'<!DOCTYPE {root} SYSTEM "{doctype}">\n' if doctype else "") + f"<{root}{attributes}>"
 
     def wrap(batches):
         import pandas as pd
@@ -45,12 +51,26 @@ def write_vehicles(acts: DataFrame, positions: DataFrame | None, path: str, crs:
         begun = False
         for pdf in batches:
             if len(pdf):
-                yield pd.DataFrame({"value": ([] if begun else [head.rstrip("\n")]) + pdf["text"].tolist()})
+                yield pd.DataFrame({"value": ([] if begun else [head]) + pdf.iloc[:, 0].tolist()})
                 begun = True
         if begun:
-            yield pd.DataFrame({"value": ["</digicoreVehicles>"]})
+            yield pd.DataFrame({"value": [f"</{root}>"]})
+
+    elements.mapInPandas(wrap, "value string").write.mode("overwrite" if overwrite else "errorifexists").text(path)
+
+
+def write_facilities(facilities: DataFrame, path: str, overwrite: bool = False) -> None:
+    write_document(facility_elements(facilities), path, "facilities", None, "", overwrite)
+
+
+def write_path_network(nodes: DataFrame, edges: DataFrame, contexts: DataFrame, starts: DataFrame, path: str, description: str | None = None, overwrite: bool = False) -> None:
+    """A path-dependent network of version 2."""
+    attributes = f' desc="{description}"' if description else ""
+    write_document(path_network_elements(nodes, edges, contexts, starts).select("text"), path, "digicoreNetwork", "digicorePathDependentNetwork_v2.dtd", attributes, overwrite)
+
 
-    vehicle_elements(acts, positions).select("text").mapInPandas(wrap, "value string").write.mode("errorifexists").text(path)
+def write_plans(plans: DataFrame, path: str, overwrite: bool = False) -> None:
+    write_document(plan_elements(plans).select("text"), path, "population", None, "", overwrite)
 
 
 def facility_elements(facilities: DataFrame) -> DataFrame:

@@ -95,3 +95,10 @@ def test_kde_own_pixel_and_reach(spark):
     assert kde.raster(pts, kde.CELL, 10.0, 10.0, 0.0, 0.0, 30.0, 30.0).collect()[0].value == 1.0
     with pytest.raises(ValueError):
         kde.raster(pts, kde.CELL, 100.0, 10.0, 0.0, 0.0, 30.0, 30.0)
+
+
+def test_overlap_of_long_legs():
+    p, q = np.array([(0.0, 0.0), (200e3, 0.0), (200e3, 50e3)]), np.array([(0.0, 0.0), (200e3, 0.0)])
+    assert similarity.overlap(p, q, 100.0) == pytest.approx(0.8, abs=1e-3)
+    assert similarity.overlap(p, p[:, ::-1] - 1e6, 100.0) == 0
+    assert similarity.overlap(q[:1], q[:1], 100.0) == pytest.approx(1)
