@@ -260,7 +260,7 @@ class Automaton:
 
 
 #: Bits of the filters that hold the n-grams of one length that may occur again, and those that do.
-FILTER_BITS = 1 << 27
+FILTER_BITS = 1 << 26
 #: Tokens of training for each bucket of keys, least and most buckets; n-grams or lookups that a task holds before it writes packs.
 BUCKET, LEAST_BUCKETS, MOST_BUCKETS, HELD = 1 << 20, 24, 1 << 18, 1 << 20
 
@@ -441,7 +441,7 @@ def weights(train: DataFrame, order: int = ORDER, least: int = LEAST) -> tuple[i
     shared = sc.broadcast(_recurring(texts, order, buckets))
     arcs = texts.mapInArrow(lambda it: _arc_packs(it, shared, buckets), "bucket int, size int, data binary").repartition(buckets, "bucket").sortWithinPartitions("bucket", "size")
     arcs = cut(arcs.mapInArrow(lambda it: _arcs(it, least), "size int, left long, right long, n long"))
-    shared.unpersist()
+    shared.destroy()  # every executor has a file of it
     parts = [counts.select("key", F.lit(True).alias("is_word"), "n", F.lit(0.0).alias("v"))]
     kept = counts.where(F.col("n") >= least).select("key", "n", F.log10((F.col("n") + 0.5) / F.lit(total + 0.5 * (distinct + 1))).alias("p"))
     filters, tables = [], [arcs]
