@@ -38,7 +38,7 @@ ETA = 4.0
 RERANK = 300
 QUERY_BLOCK = 256
 #: Blocks of the index: as many tasks a query block has, more for more rows.
-INDEX_BLOCKS, INDEX_ROWS = 12, 1 << 20
+INDEX_BLOCKS, INDEX_ROWS = 12, 1 << 17
 
 
 def usable(column: Column) -> Column:
@@ -178,7 +178,8 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, rerank: int = RERANK
     good = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), queries.alias("asked")).where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
     rows = good.count()
     share = min(1.0, sample_rows / max(1, rows))
-    sample = good.where(F.pmod(F.xxhash64(F.col("vec_id"), F.lit("ann")), F.lit(1_000_000)) < F.lit(int(share * 1_000_000))).select("embedding").toArrow()["embedding"].combine_chunks()
+    place = F.xxhash64("vec_id", "embedding", F.lit("ann"))
+    sample = (good if share >= 1 else good.where(place < F.lit(int(-(2**63) + share * 2**64)))).select("embedding").toArrow()["embedding"].combine_chunks()
     schema = "query_id long, rank int, vec_id long, score double"
     if not len(sample):
         return spark.createDataFrame([], schema)
@@ -205,9 +206,9 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, rerank: int = RERANK
 
 
 def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Cosines in double precision."""
+    """Cosines in double precision, of vectors scaled by their largest component, which neither overflows nor vanishes."""
     for batch in batches:
         if len(batch):
-            q, x = matrix(batch.column(2)), matrix(batch.column(3))
+            q, x = (m / np.abs(m).max(axis=1, keepdims=True) for m in (matrix(batch.column(2)), matrix(batch.column(3))))
             score = (q * x).sum(axis=1) / (np.sqrt((q * q).sum(axis=1)) * np.sqrt((x * x).sum(axis=1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score)], names=["query_id", "vec_id", "score"])

@@ -346,6 +346,12 @@ def test_ann_recall_and_edges(spark):
     assert ann.search(df.where("vec_id >= 900"), F.lit(True)).count() == 0
 
 
+def test_ann_scale(spark):
+    rows = [(0, [1e200, 0.0]), (1, [1e200, 1e200]), (2, [1e-200, 2e-200]), (3, [0.0, 5.0])]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).collect()
+    assert [(r["rank"], r.vec_id, round(r.score, 12)) for r in sorted(got, key=lambda r: r["rank"])] == [(1, 1, round(0.5**0.5, 12)), (2, 2, round(0.2**0.5, 12)), (3, 3, 0.0)]
+
+
 def toxic_corpus(n=400, seed=9):
     rng = np.random.default_rng(seed)
     vocab = [f"{a}{b}{c}" for a in "bcdfg" for b in "aeiou" for c in ("n", "r", "st", "ll")]
