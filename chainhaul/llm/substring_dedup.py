@@ -130,9 +130,9 @@ def _runs(batches: Iterator[pa.RecordBatch], shared, length: int, seed: int) ->
             low = np.maximum(at - (length - seed), c.woffs[:-1][row])
             high = np.minimum(at, (c.woffs[1:] - length)[row])
             starts = np.unique(repeat_ranges(low[known], np.maximum(high - low + 1, 0)[known]))
-            # a run that holds an anchor met nowhere else can't be met elsewhere
-            single = np.concatenate([[0], np.cumsum(~known)])
-            starts = starts[single[np.searchsorted(at, starts + (length - seed), "right")] == single[np.searchsorted(at, starts)]]
+            # a run whose own anchor, its least gram, is met nowhere else can't be met elsewhere
+            if len(starts):
+                starts = starts[marked(shared.value, _slide(gram_hashes(words, seed), length - seed + 1, np.minimum)[starts])]
             row = np.searchsorted(c.woffs, starts, "right") - 1
             held.append((gram_hashes(words, length)[starts], docs[c.first + row], starts - c.woffs[row]))
             size += len(starts)

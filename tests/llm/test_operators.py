@@ -314,6 +314,15 @@ def test_substring_dedup_copies_are_linear(spark):
     assert got == dict(enumerate(repeats(texts, 35)))
 
 
+def test_substring_dedup_short_passages(spark):
+    # passages of just over 35 words in other surroundings each time: anchors beside them differ
+    rng = np.random.default_rng(12)
+    passages = [" ".join(f"p{k}_{j}" for j in range(int(rng.integers(34, 40)))) for k in range(60)]
+    texts = [" ".join([f"u{k}_{j}" for j in range(30)] + [passages[k % 60]] + [f"v{k}_{j}" for j in range(30)]) for k in range(150)]
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.remove_repeats(documents(spark, texts).repartition(4)).collect()}
+    assert got == dict(enumerate(repeats(texts, 35)))
+
+
 def test_substring_dedup_very_long(spark):
     long = " ".join(f"w{k % 50_000}" for k in range(120_000))
     texts = [long, "w49990 " * 50, " ".join(f"w{k}" for k in range(100, 150))]
