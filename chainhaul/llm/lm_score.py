@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import bitmap, cut, discard, marked
+from .store import bitmap, cut, discard, marked, release
 from .text import Chunk, Lookup, as_long, chunks, mix
 
 WORD_SHARE = 5e-7
@@ -439,6 +439,7 @@ def weights(train: DataFrame, order: int = ORDER, least: int = LEAST) -> tuple[i
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, total // BUCKET))
     shared = sc.broadcast(_recurring(texts, order, buckets))
+    release(train.sparkSession)
     arcs = texts.mapInArrow(lambda it: _arc_packs(it, shared, buckets), "bucket int, size int, data binary").repartition(buckets, "bucket").sortWithinPartitions("bucket", "size")
     arcs = cut(arcs.mapInArrow(lambda it: _arcs(it, least), "size int, left long, right long, n long"))
     shared.destroy()  # every executor has a file of it
@@ -589,6 +590,7 @@ def score(docs: DataFrame, order: int = ORDER, word_share: float = WORD_SHARE, g
     is_word, keys = is_word.astype(bool), keys.view(np.uint64)
     base = np.log10((n[is_word] + 0.5) / (total + 0.5 * (distinct + 1)))
     shared = docs.sparkSession.sparkContext.broadcast((Lookup(keys[is_word]), base, v[is_word], Lookup(keys[~is_word]), v[~is_word], filters))
+    release(docs.sparkSession)
     packs = docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(lambda it: _score(it, shared, buckets), "bucket int, kind int, data binary")
     model = table.mapInArrow(lambda it: _bucketed(it, buckets), "bucket int, key long, n long, v double")
     sums = packs.groupBy("bucket").cogroup(model.groupBy("bucket")).applyInArrow(lambda a, b: _sums(a, b, total, distinct), SCHEMA)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
-
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,19 +28,29 @@ def folder(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, read from a table written now: whole, shared, kept when executors go.
 
-    What was shuffled to make it isn't needed any more; Spark removes such files
-    once the driver has collected its garbage, which is asked for here.
+    What was shuffled to make it isn't needed any more, see ``release``.
     """
     spark, schema = df.sparkSession, df.schema
     path = f"{folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     del df
-    spark.sparkContext._jvm.System.gc()
+    release(spark)
     out = spark.read.schema(schema).parquet(path)
     out.written_to = path
     return out
 
 
+#: Seconds in which listeners let go of a job that has ended.
+LET_GO = 0.2
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark remove shuffle files that no plan reads any more: it does once the driver's garbage, here and in its JVM, is collected."""
+    gc.collect()
+    time.sleep(LET_GO)
+    spark.sparkContext._jvm.System.gc()
+
+
 def discard(table: DataFrame) -> None:
     """Remove a table that ``cut`` wrote and nothing reads any more."""
     path = table.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(table.written_to)
