@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import bitmap, cut, discard, marked, release
+from .store import bitmap, cut, discard, marked, release, thinned
 from .text import Chunk, Lookup, as_long, chunks, mix
 
 WORD_SHARE = 5e-7
@@ -428,8 +428,9 @@ def _arcs(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBa
 def weights(train: DataFrame, order: int = ORDER, least: int = LEAST) -> tuple[int, int, int, DataFrame, list[np.ndarray]]:
     """Training tokens, distinct words, buckets of keys, the table (key, is_word, n, v) of all words and arcs, written, and a filter for each order of n-grams.
 
-    v of a word is the failure weight of its state (0 where it is none), v of
-    an n-gram that and what its arc adds.
+    The v of a key's rows add up: a word or an n-gram has one row with its
+    count, an n-gram's with what its arc adds; a state has one more of count 0,
+    with its failure weight.
     """
     if least < 2:
         raise ValueError("an arc is an n-gram that occurs twice at least")
@@ -445,11 +446,13 @@ def weights(train: DataFrame, order: int = ORDER, least: int = LEAST) -> tuple[i
     shared.destroy()  # every executor has a file of it
     parts = [counts.select("key", F.lit(True).alias("is_word"), "n", F.lit(0.0).alias("v"))]
     kept = counts.where(F.col("n") >= least).select("key", "n", F.log10((F.col("n") + 0.5) / F.lit(total + 0.5 * (distinct + 1))).alias("p"))
-    filters, tables = [], [arcs]
+    filters, tables = [], []
     for n in range(2, order + 1):
         grams = arcs.where(F.col("size") == n).select("left", "right", "n").withColumn("key", _key(n))
         grams = grams.join(kept.select(F.col("key").alias("left"), F.col("n").alias("c")), "left").join(kept.select(F.col("key").alias("right"), F.col("p").alias("low")), "right")
         grams = cut(grams.select("key", "left", "n", "low", F.log10((F.col("n") - DISCOUNT) / F.col("c")).alias("p")))
+        if n == order:
+            discard(arcs)
         room = [F.greatest(1 - F.sum(F.pow(F.lit(10.0), F.col(x))), F.lit(1e-9)) for x in ("p", "low")]
         states = cut(grams.groupBy("left").agg(F.log10(room[0] / room[1]).alias("bow")))
         tables += [grams, states]
@@ -460,7 +463,7 @@ def weights(train: DataFrame, order: int = ORDER, least: int = LEAST) -> tuple[i
     table = parts[0]
     for part in parts[1:]:
         table = table.unionAll(part)
-    table = cut(table.groupBy("key").agg(F.max("is_word").alias("is_word"), F.max("n").alias("n"), F.sum("v").alias("v")))
+    table = cut(table)
     for done in (counts, *tables):
         discard(done)
     return total, distinct, buckets, table, filters
@@ -525,8 +528,8 @@ def _score(batches: Iterator[pa.RecordBatch], shared, buckets: int) -> Iterator[
 def _sums(packs: pa.Table, model: pa.Table, total: int, distinct: int) -> pa.Table:
     """A bucket's documents, and what its keys add to rows."""
     keys = model["key"].to_numpy().view(np.uint64)
-    order = np.argsort(keys)
-    keys, n, v = keys[order], model["n"].to_numpy()[order], model["v"].to_numpy()[order]
+    keys, back = np.unique(keys, return_inverse=True)
+    n, v = (np.bincount(back, weights=model[x].to_numpy(), minlength=len(keys)) for x in ("n", "v"))
     docs: list[np.ndarray] = []
     asked: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {1: [], 2: []}
     for kind, data in zip(packs["kind"].to_pylist(), packs["data"].to_pylist(), strict=True):
@@ -585,7 +588,8 @@ def score(docs: DataFrame, order: int = ORDER, word_share: float = WORD_SHARE, g
     """Learn from documents that aren't held out and score all, a row a document; the shares bound what a worker holds, not the model."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
     total, distinct, buckets, table, filters = weights(docs.where(~F.col("held_out")), order, least)
-    held = table.where(F.col("n") >= F.when(F.col("is_word"), word_share * total).otherwise(gram_share * total)).toArrow()
+    often = F.col("n") >= F.when(F.col("is_word"), word_share * total).otherwise(gram_share * total)
+    held = thinned(table, table.where(often).select("key")).groupBy("key", "is_word").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).where(often).toArrow()
     is_word, keys, n, v = (held[x].to_numpy() for x in ("is_word", "key", "n", "v"))
     is_word, keys = is_word.astype(bool), keys.view(np.uint64)
     base = np.log10((n[is_word] + 0.5) / (total + 0.5 * (distinct + 1)))
