@@ -261,8 +261,8 @@ class Automaton:
 
 #: Bits of the filters that hold the n-grams of one length that may occur again, and those that do.
 FILTER_BITS = 1 << 26
-#: Tokens of training for each bucket of keys, least and most buckets; n-grams or lookups that a task holds before it writes packs.
-BUCKET, LEAST_BUCKETS, MOST_BUCKETS, HELD = 1 << 20, 24, 1 << 18, 1 << 20
+#: Tokens of training for each bucket of keys, least and most buckets; n-grams that a task holds before it writes packs, and lookups.
+BUCKET, LEAST_BUCKETS, MOST_BUCKETS, HELD, ASKED = 1 << 20, 24, 1 << 18, 1 << 20, 1 << 18
 
 
 def _turn(n: int) -> int:
@@ -444,6 +444,7 @@ def weights(train: DataFrame, order: int = ORDER, least: int = LEAST) -> tuple[i
     arcs = texts.mapInArrow(lambda it: _arc_packs(it, shared, buckets), "bucket int, size int, data binary").repartition(buckets, "bucket").sortWithinPartitions("bucket", "size")
     arcs = cut(arcs.mapInArrow(lambda it: _arcs(it, least), "size int, left long, right long, n long"))
     shared.destroy()  # every executor has a file of it
+    release(train.sparkSession)
     parts = [counts.select("key", F.lit(True).alias("is_word"), "n", F.lit(0.0).alias("v"))]
     kept = counts.where(F.col("n") >= least).select("key", "n", F.log10((F.col("n") + 0.5) / F.lit(total + 0.5 * (distinct + 1))).alias("p"))
     filters, tables = [], []
@@ -518,9 +519,10 @@ def _score(batches: Iterator[pa.RecordBatch], shared, buckets: int) -> Iterator[
             flags = np.asarray(out.slice(c.first, c.rows)).astype(np.int64) | np.asarray(own.is_null()).astype(np.int64) << 1
             held[0].append((rows, np.asarray(own.fill_null(0)), flags, n.astype(np.int64), total[0].astype(np.int64), total[1], total[2]))
             size += len(rare) + c.rows
-            if size >= HELD:
+            if size >= ASKED:
                 yield written()
                 held, size = ([], [], []), 0
+                pa.default_memory_pool().release_unused()
     if held[0]:
         yield written()
 

@@ -45,7 +45,11 @@ LET_GO = 0.2
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark remove shuffle files that no plan reads any more: it does once the driver's garbage, here and in its JVM, is collected."""
+    """Let Spark remove shuffle files that no plan reads any more: it does once the driver's garbage, here and in its JVM, is collected.
+
+    A tiny job goes first: the session refers to the plan it ran last.
+    """
+    spark.range(1).collect()
     gc.collect()
     time.sleep(LET_GO)
     spark.sparkContext._jvm.System.gc()
