@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import bitmap, cut, discard, marked, release, thinned
+from .store import bitmap, cut, discard, marked, once, thinned
 from .text import Chunk, Lookup, as_long, chunks, mix
 
 WORD_SHARE = 5e-7
@@ -364,7 +364,8 @@ def _again(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBa
 def _recurring(texts: DataFrame, order: int, buckets: int) -> list[np.ndarray]:
     """For n = 2, 3, ...: a bitmap of all n-grams that occur twice (and others by chance); at most FILTER_BITS / 64 rows of each reach the driver."""
     packs = texts.mapInArrow(lambda it: _print_packs(it, order, buckets), "bucket int, size int, data binary").repartition(buckets, "bucket").sortWithinPartitions("bucket", "size")
-    words = packs.mapInArrow(lambda it: _again(it, FILTER_BITS), "size int, word int, bits long").groupBy("size", "word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    with once(texts.sparkSession):
+        words = packs.mapInArrow(lambda it: _again(it, FILTER_BITS), "size int, word int, bits long").groupBy("size", "word").agg(F.bit_or("bits").alias("bits")).toArrow()
     n, word, value = (words[x].to_numpy() for x in ("size", "word", "bits"))
     out = []
     for size in range(2, order + 1):
@@ -440,11 +441,9 @@ def weights(train: DataFrame, order: int = ORDER, least: int = LEAST) -> tuple[i
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, total // BUCKET))
     shared = sc.broadcast(_recurring(texts, order, buckets))
-    release(train.sparkSession)
     arcs = texts.mapInArrow(lambda it: _arc_packs(it, shared, buckets), "bucket int, size int, data binary").repartition(buckets, "bucket").sortWithinPartitions("bucket", "size")
     arcs = cut(arcs.mapInArrow(lambda it: _arcs(it, least), "size int, left long, right long, n long"))
     shared.destroy()  # every executor has a file of it
-    release(train.sparkSession)
     parts = [counts.select("key", F.lit(True).alias("is_word"), "n", F.lit(0.0).alias("v"))]
     kept = counts.where(F.col("n") >= least).select("key", "n", F.log10((F.col("n") + 0.5) / F.lit(total + 0.5 * (distinct + 1))).alias("p"))
     filters, tables = [], []
@@ -591,12 +590,12 @@ def score(docs: DataFrame, order: int = ORDER, word_share: float = WORD_SHARE, g
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
     total, distinct, buckets, table, filters = weights(docs.where(~F.col("held_out")), order, least)
     often = F.col("n") >= F.when(F.col("is_word"), word_share * total).otherwise(gram_share * total)
-    held = thinned(table, table.where(often).select("key")).groupBy("key", "is_word").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).where(often).toArrow()
+    with once(docs.sparkSession):
+        held = thinned(table, table.where(often).select("key")).groupBy("key", "is_word").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).where(often).toArrow()
     is_word, keys, n, v = (held[x].to_numpy() for x in ("is_word", "key", "n", "v"))
     is_word, keys = is_word.astype(bool), keys.view(np.uint64)
     base = np.log10((n[is_word] + 0.5) / (total + 0.5 * (distinct + 1)))
     shared = docs.sparkSession.sparkContext.broadcast((Lookup(keys[is_word]), base, v[is_word], Lookup(keys[~is_word]), v[~is_word], filters))
-    release(docs.sparkSession)
     packs = docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(lambda it: _score(it, shared, buckets), "bucket int, kind int, data binary")
     model = table.mapInArrow(lambda it: _bucketed(it, buckets), "bucket int, key long, n long, v double")
     sums = packs.groupBy("bucket").cogroup(model.groupBy("bucket")).applyInArrow(lambda a, b: _sums(a, b, total, distinct), SCHEMA)

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import gc
+import contextlib
 import tempfile
-import time
 import uuid
 from collections.abc import Iterator
 
@@ -28,31 +27,36 @@ def folder(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, read from a table written now: whole, shared, kept when executors go.
 
-    What was shuffled to make it isn't needed any more, see ``release``.
+    What was shuffled to make it goes, as do broadcasts once the driver has
+    collected its garbage, which is asked for here.
     """
     spark, schema = df.sparkSession, df.schema
     path = f"{folder(spark)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with once(spark):
+        df.write.option("compression", "zstd").parquet(path)
     del df
-    release(spark)
+    spark.sparkContext._jvm.System.gc()
     out = spark.read.schema(schema).parquet(path)
     out.written_to = path
     return out
 
 
-#: Seconds in which listeners let go of a job that has ended.
-LET_GO = 0.2
-
+#: The setting by which Spark removes shuffle files at the end of the execution that wrote them.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-def release(spark: SparkSession) -> None:
-    """Let Spark remove shuffle files that no plan reads any more: it does once the driver's garbage, here and in its JVM, is collected.
 
-    A tiny job goes first: the session refers to the plan it ran last.
-    """
-    spark.range(1).collect()
-    gc.collect()
-    time.sleep(LET_GO)
-    spark.sparkContext._jvm.System.gc()
+@contextlib.contextmanager
+def once(spark: SparkSession) -> Iterator[None]:
+    """What is planned and run in here is run once only, and its shuffle files go as soon as it ends."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
 
 
 def discard(table: DataFrame) -> None:
@@ -73,7 +77,8 @@ def bitmap(keys: DataFrame, bits: int) -> np.ndarray:
             place = (mix(batch.column(0).to_numpy().view(np.uint64)) % np.uint64(bits)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array((place >> 6).astype(np.int32)), pa.array((np.uint64(1) << (place & 63).astype(np.uint64)).view(np.int64))], names=["word", "bits"])
 
-    got = keys.mapInArrow(words, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    with once(keys.sparkSession):
+        got = keys.mapInArrow(words, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     table = np.zeros(bits >> 6, dtype=np.int64)
     table[got["word"].to_numpy()] = got["bits"].to_numpy()
     return table.view(np.uint8)
