@@ -474,9 +474,10 @@ SCHEMA = "row long, doc_id long, held_out boolean, n_tokens long, n_known long,
 
 
 def _score(batches: Iterator[pa.RecordBatch], shared, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Packs of three kinds, by bucket: 0: documents with what the worker holds, 1: other words of theirs, 2: n-grams that may be arcs.
+    """Packs of three kinds (``_model_packs`` has another), by bucket: 0: documents with what the worker holds, 1: other words of theirs, 2: n-grams that may be arcs.
 
-    1 and 2: the first row, then keys and rows from there on.
+    1 and 2: the first row, then keys and how far each one's row is from the
+    one before (mostly nothing, so that Spark's compression shrinks it).
     """
     words, base, v, grams, gram_v, filters = shared.value
     held: tuple[list, list, list] = ([], [], [])
@@ -487,7 +488,9 @@ def _score(batches: Iterator[pa.RecordBatch], shared, buckets: int) -> Iterator[
         for kind in (1, 2):
             if held[kind]:
                 keys, rows = (np.concatenate([x[k] for x in held[kind]]) for k in range(2))
-                packs += [(b, kind, np.int64(r[0]).tobytes() + k.tobytes() + (r - r[0]).astype(np.int32).tobytes()) for b, (k, r) in _split((mix(keys) % np.uint64(buckets)).astype(np.int64), keys, rows)]
+                order = np.argsort(rows, kind="stable")
+                keys, rows = keys[order], rows[order]
+                packs += [(b, kind, np.int64(r[0]).tobytes() + k.tobytes() + np.diff(r, prepend=r[0]).astype(np.int32).tobytes()) for b, (k, r) in _split((mix(keys) % np.uint64(buckets)).astype(np.int64), keys, rows)]
         if held[0]:
             columns = [np.concatenate([x[k] for x in held[0]]) for k in range(7)]
             packs += [(b, 0, np.stack([x.view(np.int64) for x in own]).tobytes()) for b, own in _split((mix(columns[0].view(np.uint64)) % np.uint64(buckets)).astype(np.int64), *columns)]
@@ -526,19 +529,42 @@ def _score(batches: Iterator[pa.RecordBatch], shared, buckets: int) -> Iterator[
         yield written()
 
 
-def _sums(packs: pa.Table, model: pa.Table, total: int, distinct: int) -> pa.Table:
+def _model_packs(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Packs of kind 3: keys, weights and counts of words (0 of n-grams) of the model's rows (key, is_word, n, v)."""
+    held, size = [], 0
+
+    def written() -> pa.RecordBatch:
+        key, v, n = (np.concatenate([x[k] for x in held]) for k in range(3))
+        bucket = (mix(key.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        return _packs([(b, 3, x.tobytes() + y.tobytes() + z.tobytes()) for b, (x, y, z) in _split(bucket, key, v, n)], ["bucket", "kind", "data"])
+
+    for batch in batches:
+        key, is_word, n, v = (x.to_numpy(zero_copy_only=False) for x in batch.columns)
+        held.append((key.copy(), v.copy(), np.where(is_word, n, 0)))
+        size += len(key)
+        if size >= HELD:
+            yield written()
+            held, size = [], 0
+    if size:
+        yield written()
+
+
+def _sums(packs: pa.Table, total: int, distinct: int) -> pa.Table:
     """A bucket's documents, and what its keys add to rows."""
-    keys = model["key"].to_numpy().view(np.uint64)
-    keys, back = np.unique(keys, return_inverse=True)
-    n, v = (np.bincount(back, weights=model[x].to_numpy(), minlength=len(keys)) for x in ("n", "v"))
     docs: list[np.ndarray] = []
+    model: list[np.ndarray] = [np.zeros((3, 0), dtype=np.int64)]
     asked: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {1: [], 2: []}
     for kind, data in zip(packs["kind"].to_pylist(), packs["data"].to_pylist(), strict=True):
         if kind == 0:
             docs.append(np.frombuffer(data, np.int64).reshape(7, -1))
+        elif kind == 3:
+            model.append(np.frombuffer(data, np.int64).reshape(3, -1))
         else:
             m = (len(data) - 8) // 12
-            asked[kind].append((np.frombuffer(data, np.uint64, m, 8), np.frombuffer(data, np.int64, 1)[0] + np.frombuffer(data, np.int32, m, 8 + 8 * m).astype(np.int64)))
+            asked[kind].append((np.frombuffer(data, np.uint64, m, 8), np.frombuffer(data, np.int64, 1)[0] + np.cumsum(np.frombuffer(data, np.int32, m, 8 + 8 * m), dtype=np.int64)))
+    key, v, n = np.concatenate(model, axis=1)
+    keys, back = np.unique(key.view(np.uint64), return_inverse=True)
+    n, v = (np.bincount(back, weights=x, minlength=len(keys)) for x in (n, v.view(np.float64)))
     doc = np.concatenate(docs, axis=1) if docs else np.zeros((7, 0), dtype=np.int64)
     parts = [[], [], [], []]
     for kind, own in asked.items():
@@ -597,15 +623,7 @@ def score(docs: DataFrame, order: int = ORDER, word_share: float = WORD_SHARE, g
     base = np.log10((n[is_word] + 0.5) / (total + 0.5 * (distinct + 1)))
     shared = docs.sparkSession.sparkContext.broadcast((Lookup(keys[is_word]), base, v[is_word], Lookup(keys[~is_word]), v[~is_word], filters))
     packs = docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(lambda it: _score(it, shared, buckets), "bucket int, kind int, data binary")
-    model = table.mapInArrow(lambda it: _bucketed(it, buckets), "bucket int, key long, n long, v double")
-    sums = packs.groupBy("bucket").cogroup(model.groupBy("bucket")).applyInArrow(lambda a, b: _sums(a, b, total, distinct), SCHEMA)
+    model = table.mapInArrow(lambda it: _model_packs(it, buckets), "bucket int, kind int, data binary")
+    sums = packs.unionAll(model).groupBy("bucket").applyInArrow(lambda t: _sums(t, total, distinct), SCHEMA)
     by = sums.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"))
     return by.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
-
-
-def _bucketed(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """The model's rows (key, is_word, n, v) with their buckets."""
-    for batch in batches:
-        key = batch.column(0)
-        bucket = (mix(key.to_numpy().view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(bucket), key, batch.column(2), batch.column(3)], names=["bucket", "key", "n", "v"])
