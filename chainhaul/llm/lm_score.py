@@ -262,7 +262,7 @@ class Automaton:
 #: Bits of the filters that hold the n-grams of one length that may occur again, and those that do.
 FILTER_BITS = 1 << 26
 #: Tokens of training for each bucket of keys, least and most buckets; n-grams that a task holds before it writes packs, and lookups.
-BUCKET, LEAST_BUCKETS, MOST_BUCKETS, HELD, ASKED = 1 << 20, 24, 1 << 18, 1 << 20, 1 << 18
+BUCKET, LEAST_BUCKETS, MOST_BUCKETS, HELD, ASKED = 1 << 22, 24, 1 << 18, 1 << 20, 1 << 18
 
 
 def _turn(n: int) -> int:
@@ -553,29 +553,30 @@ def _sums(packs: pa.Table, total: int, distinct: int) -> pa.Table:
     """A bucket's documents, and what its keys add to rows."""
     docs: list[np.ndarray] = []
     model: list[np.ndarray] = [np.zeros((3, 0), dtype=np.int64)]
-    asked: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {1: [], 2: []}
+    asked: list[tuple[int, bytes]] = []
     for kind, data in zip(packs["kind"].to_pylist(), packs["data"].to_pylist(), strict=True):
         if kind == 0:
             docs.append(np.frombuffer(data, np.int64).reshape(7, -1))
         elif kind == 3:
             model.append(np.frombuffer(data, np.int64).reshape(3, -1))
         else:
-            m = (len(data) - 8) // 12
-            asked[kind].append((np.frombuffer(data, np.uint64, m, 8), np.frombuffer(data, np.int64, 1)[0] + np.cumsum(np.frombuffer(data, np.int32, m, 8 + 8 * m), dtype=np.int64)))
+            asked.append((kind, data))
     key, v, n = np.concatenate(model, axis=1)
     keys, back = np.unique(key.view(np.uint64), return_inverse=True)
     n, v = (np.bincount(back, weights=x, minlength=len(keys)) for x in (n, v.view(np.float64)))
     doc = np.concatenate(docs, axis=1) if docs else np.zeros((7, 0), dtype=np.int64)
     parts = [[], [], [], []]
-    for kind, own in asked.items():
-        if own:
-            key, row = (np.concatenate([x[k] for x in own]) for k in range(2))
-            at = np.minimum(np.searchsorted(keys, key), max(0, len(keys) - 1))
-            hit = keys[at] == key if len(keys) else np.zeros(len(key), dtype=bool)
-            count, value = (np.where(hit, x[at], 0) if len(keys) else np.zeros(len(key)) for x in (n, v))
-            base = np.log10((count + 0.5) / (total + 0.5 * (distinct + 1))) if kind == 1 else np.zeros(len(key))
-            for p, x in zip(parts, (row, (count > 0) & (kind == 1), base, base + value), strict=True):
-                p.append(x)
+    for kind, data in asked:  # a pack's rows ascend, and are summed up by itself
+        m = (len(data) - 8) // 12
+        key, step = np.frombuffer(data, np.uint64, m, 8), np.frombuffer(data, np.int32, m, 8 + 8 * m)
+        first = np.flatnonzero(np.concatenate([[True], step[1:] > 0]))
+        at = np.minimum(np.searchsorted(keys, key), max(0, len(keys) - 1))
+        hit = keys[at] == key if len(keys) else np.zeros(m, dtype=bool)
+        count, value = (np.where(hit, x[at], 0) if len(keys) else np.zeros(m) for x in (n, v))
+        base = np.log10((count + 0.5) / (total + 0.5 * (distinct + 1))) if kind == 1 else np.zeros(m)
+        parts[0].append(np.frombuffer(data, np.int64, 1)[0] + np.cumsum(step, dtype=np.int64)[first])
+        for p, x in zip(parts[1:], ((count > 0) & (kind == 1), base, base + value), strict=True):
+            p.append(np.add.reduceat(x.astype(np.float64), first))
     rows, known, base, score = (np.concatenate(p) if p else np.zeros(0, dtype=np.int64) for p in parts)
     rows, back = np.unique(rows, return_inverse=True)
     known, base, score = (np.bincount(back, weights=x, minlength=len(rows)) for x in (known, base, score))
