@@ -261,8 +261,12 @@ class Automaton:
 
 #: Bits of the filters that hold the n-grams of one length that may occur again, and those that do.
 FILTER_BITS = 1 << 26
-#: Tokens of training for each bucket of keys, least and most buckets; n-grams that a task holds before it writes packs, and lookups.
-BUCKET, LEAST_BUCKETS, MOST_BUCKETS, HELD, ASKED = 1 << 22, 24, 1 << 18, 1 << 20, 1 << 18
+#: Tokens of training for each bucket of keys while n-grams are counted and while they are looked up, least and most buckets; n-grams that a task holds before it writes packs, and lookups.
+BUCKET, LOOKED_UP, LEAST_BUCKETS, MOST_BUCKETS, HELD, ASKED = 1 << 20, 1 << 22, 24, 1 << 18, 1 << 20, 1 << 18
+
+
+def _buckets(tokens: int, each: int) -> int:
+    return min(MOST_BUCKETS, max(LEAST_BUCKETS, tokens // each))
 
 
 def _turn(n: int) -> int:
@@ -426,8 +430,8 @@ def _arcs(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBa
         yield counted()
 
 
-def weights(train: DataFrame, order: int = ORDER, least: int = LEAST) -> tuple[int, int, int, DataFrame, list[np.ndarray]]:
-    """Training tokens, distinct words, buckets of keys, the table (key, is_word, n, v) of all words and arcs, written, and a filter for each order of n-grams.
+def weights(train: DataFrame, order: int = ORDER, least: int = LEAST) -> tuple[int, int, DataFrame, list[np.ndarray]]:
+    """Training tokens, distinct words, the table (key, is_word, n, v) of all words and arcs, written, and a filter for each order of n-grams.
 
     The v of a key's rows add up: a word or an n-gram has one row with its
     count, an n-gram's with what its arc adds; a state has one more of count 0,
@@ -439,7 +443,7 @@ def weights(train: DataFrame, order: int = ORDER, least: int = LEAST) -> tuple[i
     texts = train.select("text")
     counts = cut(texts.mapInArrow(_count_words, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, total // BUCKET))
+    buckets = _buckets(total, BUCKET)
     shared = sc.broadcast(_recurring(texts, order, buckets))
     arcs = texts.mapInArrow(lambda it: _arc_packs(it, shared, buckets), "bucket int, size int, data binary").repartition(buckets, "bucket").sortWithinPartitions("bucket", "size")
     arcs = cut(arcs.mapInArrow(lambda it: _arcs(it, least), "size int, left long, right long, n long"))
@@ -466,7 +470,7 @@ def weights(train: DataFrame, order: int = ORDER, least: int = LEAST) -> tuple[i
     table = cut(table)
     for done in (counts, *tables):
         discard(done)
-    return total, distinct, buckets, table, filters
+    return total, distinct, table, filters
 
 
 OUT = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score"]
@@ -615,7 +619,8 @@ def fit(train: DataFrame, order: int = ORDER, word_share: float = WORD_SHARE, gr
 def score(docs: DataFrame, order: int = ORDER, word_share: float = WORD_SHARE, gram_share: float = GRAM_SHARE, least: int = LEAST) -> DataFrame:
     """Learn from documents that aren't held out and score all, a row a document; the shares bound what a worker holds, not the model."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
-    total, distinct, buckets, table, filters = weights(docs.where(~F.col("held_out")), order, least)
+    total, distinct, table, filters = weights(docs.where(~F.col("held_out")), order, least)
+    buckets = _buckets(total, LOOKED_UP)
     often = F.col("n") >= F.when(F.col("is_word"), word_share * total).otherwise(gram_share * total)
     with once(docs.sparkSession):
         held = thinned(table, table.where(often).select("key")).groupBy("key", "is_word").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).where(often).toArrow()
