@@ -262,7 +262,7 @@ class Automaton:
 #: Bits of the filters that hold the n-grams of one length that may occur again, and those that do.
 FILTER_BITS = 1 << 26
 #: Tokens of training for each bucket of keys while n-grams are counted and while they are looked up, least and most buckets; n-grams that a task holds before it writes packs, and lookups.
-BUCKET, LOOKED_UP, LEAST_BUCKETS, MOST_BUCKETS, HELD, ASKED = 1 << 20, 1 << 22, 24, 1 << 18, 1 << 20, 1 << 18
+BUCKET, LOOKED_UP, LEAST_BUCKETS, MOST_BUCKETS, HELD, ASKED = 1 << 20, 1 << 20, 24, 1 << 18, 1 << 20, 1 << 18
 
 
 def _buckets(tokens: int, each: int) -> int:
