@@ -107,10 +107,20 @@ def facilities_xml(spark: SparkSession, path: str) -> DataFrame:
 
 
 def network_text(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(nodes, arcs) of a node and arc file; an arc to a missing node is an error."""
-    order = Window.partitionBy("seq.file").orderBy("seq")
+    """(nodes, arcs) of a node and arc file; an arc to a missing node is an error.
+
+    A folder's files are one text in the order of their names: a section goes on
+    over the ends of files and blocks until the next one begins.
+    """
+    block = ["_file", "_block"]
+    order = Window.partitionBy(*block).orderBy("seq")
     head = F.when(F.trim("value").isin("NODES", "ARCS"), F.trim("value"))
-    rows = lines(spark, path).withColumn("section", F.last(head, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = lines(spark, path).select("*", F.col("seq.file").alias("_file"), F.col("seq.block").alias("_block"), head.alias("_head"))
+    # one row a block: the section that was open where it begins
+    ends = rows.groupBy(*block).agg(F.max_by("_head", F.when(F.col("_head").isNotNull(), F.col("seq.nth"))).alias("_last"))
+    open_at = ends.select(*block, F.last("_last", ignorenulls=True).over(Window.orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)).alias("_open"))
+    own = F.last("_head", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("_own", own).join(open_at, block).withColumn("section", F.coalesce("_own", "_open"))
     parts = F.split("value", ",")
     nodes = rows.where((F.col("section") == "NODES") & (F.size(parts) == 3) & ~F.col("value").startswith("NodeId")).select(parts[0].alias("id"), parts[1].cast("double").alias("x"), parts[2].cast("double").alias("y"))
     arcs = rows.where((F.col("section") == "ARCS") & (F.size(parts) == 5) & ~F.col("value").startswith("From_Id")).select(parts[0].alias("o_id"), parts[1].alias("d_id"), parts[2].alias("o_type"), parts[3].alias("d_type"), parts[4].cast("long").alias("weight"))

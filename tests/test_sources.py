@@ -71,6 +71,26 @@ def test_network_text_round_trip(spark, tmp_path):
         readers.network_text(spark, str(tmp_path / "bad.txt"))
 
 
+def test_network_text_in_many_files(spark, tmp_path):
+    # as a large network is written: sections begin in one file and go on in others
+    arcs = [(str(k), str((k * 7 + 1) % 50), "a", "b", k + 1) for k in range(50)]
+    lines = ["NODES", "NodeId,Long,Lat", *(f"{k},{k}.5,1.0" for k in range(50)), "ARCS", "From_Id,To_Id,From_Type,To_Type,Weight", *(",".join(map(str, a)) for a in arcs)]
+    (tmp_path / "net").mkdir()
+    for part, at in enumerate(range(0, len(lines), 9)):
+        (tmp_path / "net" / f"part-{part:05d}.txt").write_text("\n".join(lines[at : at + 9]) + "\n")
+    n, a = readers.network_text(spark, str(tmp_path / "net"))
+    assert sorted(int(r.id) for r in n.collect()) == list(range(50))
+    assert sorted(tuple(r) for r in a.collect()) == sorted(arcs)
+    # and blocks of one file
+    (tmp_path / "one.txt").write_text("\n".join(lines) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "97b")
+    try:
+        n, a = readers.network_text(spark, str(tmp_path / "one.txt"))
+        assert n.count() == 50 and sorted(tuple(r) for r in a.collect()) == sorted(arcs)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_path_network_and_facilities_xml(spark, tmp_path):
     nodes = spark.createDataFrame([("A", 1.0, 2.0), ("B", 3.0, 4.0)], "id string, x double, y double")
     edges = spark.createDataFrame([("source", "A", "B", 2.0)], "prev_id string, node_id string, next_id string, weight double")
