@@ -13,12 +13,12 @@ def uniform(key: Column, seed: int) -> Column:
     return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
-#: Cells that running shares and draws meet in.
+#: Most cells of a group that its running shares and draws meet in; a group has no more of them than keys.
 CELLS = 1000
 
 
 def shares(weights: DataFrame, group: list[str], key: str) -> DataFrame:
-    """group..., key, low and high: the interval of running shares that each key fills, in key order.
+    """group..., key, low and high: the interval of running shares that each key fills, in key order; keys: how many the group has.
 
     Without a group, keys are summed by their first characters and then inside
     those, so that no task holds them all.
@@ -33,10 +33,25 @@ def shares(weights: DataFrame, group: list[str], key: str) -> DataFrame:
         by = Window.partitionBy("_head")
     else:
         by = Window.partitionBy(*group)
-        rows = rows.withColumn("_before", F.lit(0)).withColumn("_total", F.sum("weight").over(by))
+        rows = rows.withColumn("_before", F.lit(0)).withColumn("_total", F.sum("weight").over(by)).withColumn("_keys", F.count("*").over(by))
     upto = F.sum("weight").over(by.orderBy(key).rowsBetween(Window.unboundedPreceding, 0))
     rows = rows.withColumn("_upto", F.col("_before") + upto)
-    return rows.select(*group, F.col(key).alias("_key"), ((F.col("_upto") - F.col("weight")) / F.col("_total")).alias("_low"), (F.col("_upto") / F.col("_total")).alias("_high"))
+    keys = ["_keys"] if group else []
+    return rows.select(*group, *keys, F.col(key).alias("_key"), ((F.col("_upto") - F.col("weight")) / F.col("_total")).alias("_low"), (F.col("_upto") / F.col("_total")).alias("_high"))
+
+
+def _cell(v: Column) -> Column:
+    return F.greatest(F.least(F.floor(v * F.col("_cells")), F.col("_cells") - 1), F.lit(0)).cast("int")
+
+
+def intervals(weights: DataFrame, group: list[str], key: str) -> DataFrame:
+    """shares, one row for each cell that an interval touches.
+
+    A group has as many cells as keys, up to CELLS, so its intervals take less
+    than twice as many rows as it has keys.
+    """
+    rows = shares(weights, group, key).withColumn("_cells", F.least(F.col("_keys"), F.lit(CELLS)).cast("int") if group else F.lit(CELLS))
+    return rows.withColumn("_cell", F.explode(F.sequence(_cell(F.col("_low")), _cell(F.col("_high"))))).drop("_cells", "_keys")
 
 
 def pick(weights: DataFrame, draws: DataFrame, group: list[str], key: str) -> DataFrame:
@@ -45,9 +60,12 @@ def pick(weights: DataFrame, draws: DataFrame, group: list[str], key: str) -> Da
     Intervals of shares and draws meet in cells, by an equi-join; a draw lies
     in one interval.  Groups without weight give no row.
     """
-    cell = lambda v: F.greatest(F.least(F.floor(v * CELLS), F.lit(CELLS - 1)), F.lit(0)).cast("int")
-    rows = shares(weights, group, key).withColumn("_cell", F.explode(F.sequence(cell(F.col("_low")), cell(F.col("_high")))))
-    met = draws.withColumn("_cell", cell(F.col("u"))).join(rows, [*group, "_cell"])
+    if group:
+        sizes = weights.where("weight > 0").groupBy(*group).agg(F.least(F.count("*"), F.lit(CELLS)).cast("int").alias("_cells"))
+        met = draws.join(sizes, group)
+    else:
+        met = draws.withColumn("_cells", F.lit(CELLS))
+    met = met.withColumn("_cell", _cell(F.col("u"))).join(intervals(weights, group, key), [*group, "_cell"])
     first = (F.col("_low") == 0) & (F.col("u") <= 0)
     return met.where((F.col("u") <= F.col("_high")) & ((F.col("u") > F.col("_low")) | first)).select(*draws.columns, F.col("_key").alias(key))
 

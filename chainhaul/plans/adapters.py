@@ -33,6 +33,22 @@ def scratch(spark: SparkSession) -> str:
     return f"{shared}/files-{uuid.uuid4().hex}"
 
 
+#: The setting by which Spark removes shuffle files at the end of the execution that wrote them.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(rows: DataFrame) -> DataFrame:
+    """The same rows, read from a table written now: made once, however often they are read; what was shuffled for it goes."""
+    spark, schema = rows.sparkSession, rows.schema
+    path, before = scratch(spark), spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        rows.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    return spark.read.schema(schema).parquet(path)
+
+
 def epoch(column: str):
     return F.expr(f"timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', cast({column} as timestamp_ntz))")
 

@@ -513,7 +513,7 @@ def pd_start_pick(spark, sf):
 
 def _contexts(spark, sf):
     """One draw for each context, in place of a walk's state."""
-    pd = pathnet.edges(A.order_acts(spark, sf))
+    pd = A.written(pathnet.edges(A.order_acts(spark, sf)))
     ctx = pd.select("prev_id", "node_id").distinct()
     u = (F.length("prev_id") * 7 + F.length("node_id") * 11 + F.ascii(F.right("node_id", F.lit(1))) * 13) % 10 / F.lit(10.0) + 0.05
     return pd, ctx.select(F.concat("prev_id", F.lit(">"), "node_id").alias("id"), "prev_id", "node_id", u.alias("u"))

@@ -51,6 +51,17 @@ def test_second_order_sampling(spark, golden):
     assert [r.node_id for r in sample.start_nodes(pd, starts).orderBy("id").collect()] == ["A"] * 4 + ["B"] * 2
 
 
+def test_intervals_take_rows_by_their_keys(spark):
+    # groups of one to three keys, as contexts are: no row for each of a thousand cells
+    rows = [(f"g{g}", f"k{k}", float(k + 1)) for g in range(20) for k in range(g % 3 + 1)]
+    w = spark.createDataFrame(rows, "g string, k string, weight double")
+    assert sample.intervals(w, ["g"], "k").count() < 2 * len(rows)
+    draws = spark.createDataFrame([(20 * n + g, f"g{g}", n / 20) for n in range(21) for g in range(20)], "id long, g string, u double")
+    got = {r.id: r.k for r in sample.pick(w, draws, ["g"], "k").collect()}
+    upto = lambda g, k: sum(range(1, k + 2)) / sum(range(1, g % 3 + 2))
+    assert got == {20 * n + g: f"k{next(k for k in range(3) if upto(g, k) >= n / 20)}" for n in range(21) for g in range(20)}
+
+
 def test_generate_is_reproducible(spark, golden):
     a, pd = golden
     run = lambda: sorted(map(tuple, generate.plans(pd, pathnet.starts(a), pathnet.nodes(a), 20, "p", list(range(0, 1100, 100)), 3).collect()), key=str)
