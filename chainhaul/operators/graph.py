@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,54 +47,81 @@ def eigenvector(edges: DataFrame, most: int = 1000, tolerance: float = 1e-5, eve
     return scores
 
 
-def brandes(adjacent: dict[str, list[str]], source: str) -> dict[str, float]:
-    """What shortest paths from one source add to each node's betweenness."""
-    order, before, paths, depth = [], {source: []}, {source: 1.0}, {source: 0}
-    queue = deque([source])
-    while queue:
-        v = queue.popleft()
-        order.append(v)
-        for w in adjacent.get(v, ()):
-            if w not in depth:
-                depth[w], before[w], paths[w] = depth[v] + 1, [], 0.0
-                queue.append(w)
-            if depth[w] == depth[v] + 1:
-                paths[w] += paths[v]
-                before[w].append(v)
-    share = dict.fromkeys(order, 0.0)
-    for w in reversed(order):
-        for v in before[w]:
-            share[v] += paths[v] / paths[w] * (1 + share[w])
-    share.pop(source)
-    return share
-
-
-#: The adjacency that one worker holds; larger networks are refused, not cut.
-MOST_EDGES = 5_000_000
+def _targets(to: np.ndarray, starts: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of all edges out of the nodes ``at``: the place in ``at`` that each starts from, and the node it leads to."""
+    low = starts[at]
+    many = starts[at + 1] - low
+    place = np.repeat(np.arange(len(at)), many)
+    return place, to[np.arange(len(place)) + np.repeat(low - (np.cumsum(many) - many), many)]
+
+
+def brandes(to: np.ndarray, starts: np.ndarray, source: int, total: np.ndarray, fresh: np.ndarray, mark: np.ndarray) -> None:
+    """Add to ``total`` what shortest paths from one source give each node's betweenness.
+
+    to, starts: the targets of node k are to[starts[k]:starts[k + 1]].  Levels
+    are gone through whole.  fresh (all true, and again at the end) and mark
+    have an entry a node; only those of reached nodes are touched.
+    """
+    at, paths = np.array([source]), np.ones(1)
+    fresh[source] = False
+    levels = []
+    while len(at):
+        place, node = _targets(to, starts, at)
+        new = fresh[node]
+        place, node = place[new], node[new]
+        nth = np.arange(len(node))
+        mark[node] = nth
+        found = node[mark[node] == nth]
+        mark[found] = np.arange(len(found))
+        levels.append((at, paths, place, mark[node]))
+        fresh[found] = False
+        at, paths = found, np.bincount(levels[-1][3], weights=paths[place], minlength=len(found))
+    share, paths = np.zeros(0), np.zeros(0)
+    for at, before, place, next_place in reversed(levels):
+        share = np.bincount(place, weights=((1 + share) / paths)[next_place], minlength=len(at)) * before
+        paths = before
+        fresh[at] = True
+        if len(at) > 1 or at[0] != source:
+            total[at] += share
+
+
+#: The adjacency that one worker holds, at four bytes an edge; larger networks are refused, not cut.
+MOST_EDGES = 200_000_000
 
 
 def betweenness(edges: DataFrame, partitions: int | None = None) -> DataFrame:
     """(id, betweenness) over unweighted directed shortest paths.
 
-    Sources are dealt over tasks; each task holds the adjacency, whose size is
-    checked before it is broadcast.
+    Nodes are numbered, so that an edge is one number of four bytes, in the
+    driver and in each task's adjacency.  Sources are dealt over tasks; the
+    adjacency's size is checked before it is gathered.
     """
-    pairs = edges.select("o_id", "d_id").where("o_id <> d_id").distinct()
+    spark = edges.sparkSession
+    pairs = edges.select("o_id", "d_id").distinct().persist(StorageLevel.DISK_ONLY)
+    ids = pairs.select(F.explode(F.array("o_id", "d_id")).alias("id")).distinct().toArrow()["id"].to_pylist()
+    names = spark.createDataFrame(pd.DataFrame({"id": ids, "nth": np.arange(len(ids), dtype=np.int32)}), "id string, nth int")
+    o, d = names.select(F.col("id").alias("o_id"), F.col("nth").alias("o")), names.select(F.col("id").alias("d_id"), F.col("nth").alias("d"))
     n = pairs.count()
     if n > MOST_EDGES:
+        pairs.unpersist()
         raise ValueError(f"{n} edges; betweenness holds at most {MOST_EDGES}")
-    table = pairs.groupBy("o_id").agg(F.array_sort(F.collect_list("d_id")).alias("to")).toArrow().to_pydict()
-    shared = edges.sparkSession.sparkContext.broadcast(dict(zip(table["o_id"], table["to"], strict=True)))
-    nodes = edges.select(F.explode(F.array("o_id", "d_id")).alias("id")).distinct()
+    table = pairs.where("o_id <> d_id").join(o, "o_id").join(d, "d_id").groupBy("o").agg(F.array_sort(F.collect_list("d")).alias("to")).orderBy("o").toArrow()
+    pairs.unpersist()
+    many = np.zeros(len(ids) + 1, dtype=np.int64)
+    lists = table["to"].combine_chunks()
+    many[table["o"].to_numpy() + 1] = lists.value_lengths().to_numpy()
+    shared = spark.sparkContext.broadcast((lists.flatten().to_numpy(), np.cumsum(many)))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: dict[str, float] = {}
+        to, starts = shared.value
+        size = len(starts) - 1
+        total, fresh, mark = np.zeros(size), np.ones(size, dtype=bool), np.zeros(size, dtype=np.int64)
         for pdf in frames:
-            for source in pdf["id"]:
-                for k, v in brandes(shared.value, source).items():
-                    total[k] = total.get(k, 0.0) + v
-        yield pd.DataFrame({"id": list(total), "part": list(total.values())})
-
-    dealt = nodes.repartition(partitions or edges.sparkSession.sparkContext.defaultParallelism, "id")
-    sums = dealt.mapInPandas(run, "id string, part double").groupBy("id").agg(F.sum("part").alias("part"))
-    return nodes.join(sums, "id", "left").select("id", F.coalesce("part", F.lit(0.0)).alias("betweenness"))
+            for source in pdf["nth"]:
+                brandes(to, starts, source, total, fresh, mark)
+        got = np.flatnonzero(total)
+        yield pd.DataFrame({"nth": got, "part": total[got]})
+
+    dealt = names.select("nth").repartition(partitions or spark.sparkContext.defaultParallelism, "nth")
+    sums = dealt.mapInPandas(run, "nth int, part double").groupBy("nth").agg(F.sum("part").alias("part"))
+    return names.join(sums, "nth", "left").select("id", F.coalesce("part", F.lit(0.0)).alias("betweenness"))

@@ -130,6 +130,35 @@ def test_betweenness_and_eigenvector(spark):
     assert sum(s.values()) == pytest.approx(1) and s["d"] > s["c"]
 
 
+def test_betweenness_holds_large_networks(spark):
+    # a table of 60 times sf0.1 has some 16 million edges; two components, a loop and a node that only has a loop
+    import random
+
+    assert graph.MOST_EDGES >= 16_000_000
+    rng = random.Random(5)
+    pairs = {(f"{c}{rng.randrange(20)}", f"{c}{rng.randrange(20)}") for c in "ab" for _ in range(60)} | {("c", "c")}
+    got = {r.id: r.betweenness for r in graph.betweenness(spark.createDataFrame([(*p, 1) for p in sorted(pairs)], "o_id string, d_id string, weight long"), 3).collect()}
+    nodes = sorted({x for p in pairs for x in p})
+    want = dict.fromkeys(nodes, 0.0)
+    for s in nodes:
+        depth, ways, order = {s: 0}, {s: 1}, [s]
+        for v in order:
+            for w in sorted(b for a, b in pairs if a == v):
+                if w not in depth:
+                    depth[w], ways[w] = depth[v] + 1, 0
+                    order.append(w)
+                if depth[w] == depth[v] + 1:
+                    ways[w] += ways[v]
+        share = dict.fromkeys(order, 0.0)
+        for w in reversed(order):
+            for v in order:
+                if (v, w) in pairs and depth[w] == depth[v] + 1:
+                    share[v] += ways[v] / ways[w] * (1 + share[w])
+            want[w] += share[w] if w != s else 0
+    assert got == pytest.approx(want)
+    assert graph.betweenness(spark.createDataFrame([], "o_id string, d_id string, weight long")).count() == 0
+
+
 def test_betweenness_query_takes_all_edges(spark, tmp_path):
     import random
 
