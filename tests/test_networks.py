@@ -121,6 +121,26 @@ def test_snap(spark):
     assert got == {0: "f1", 1: None, 2: "f2", 3: None, 4: "f3"}
 
 
+def test_snap_small_hulls_wide_reach(spark, monkeypatch):
+    # small hulls, a wide reach; the second time a cell's hulls are more than one list
+    from chainhaul.functions import geo
+
+    square = lambda x, y, r: [(x - r, y - r), (x + r, y - r), (x + r, y + r), (x - r, y + r), (x - r, y - r)]
+    hulls = [(f"h{k:02d}{j:02d}", 10.0 * k, 10.0 * j, square(10.0 * k, 10.0 * j, 6.0)) for k in range(30) for j in range(30)] + [("wide", 150.0, 150.0, square(150.0, 150.0, 400.0)), ("same", 10.0, 10.0, square(10.0, 10.0, 6.0))]
+    f = spark.createDataFrame(hulls, f"facility_id string, fx double, fy double, hull {geo.RING}")
+    at = [(5.0 * k, 7.0 * j) for k in range(-4, 64) for j in range(-4, 45)] + [(10.0, 10.0), (500.0, 150.0)]
+    a = spark.createDataFrame([("v", 1, k, "minor", 0, 0, x, y, None) for k, (x, y) in enumerate(at)], ACTS)
+
+    def nearest(x, y):
+        found = [((x - fx) ** 2 + (y - fy) ** 2, i) for i, fx, fy, ring in hulls if (x - fx) ** 2 + (y - fy) ** 2 <= 300.0**2 and ring[0][0] <= x <= ring[1][0] and ring[0][1] <= y <= ring[2][1]]
+        return min(found)[1] if found else None
+
+    want = {k: nearest(x, y) for k, (x, y) in enumerate(at)}
+    for most in (256, 2):
+        monkeypatch.setattr(assign, "CELL_HULLS", most)
+        assert {r.act_seq: r.facility_id for r in assign.snap(a, f, 300.0).collect()} == want
+
+
 def test_betweenness_and_eigenvector(spark):
     e = spark.createDataFrame([("a", "b", 1), ("b", "c", 1), ("c", "d", 1), ("d", "a", 1), ("b", "d", 1)], "o_id string, d_id string, weight long")
     got = {r.id: r.betweenness for r in graph.betweenness(e, 2).collect()}
