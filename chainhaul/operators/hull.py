@@ -7,36 +7,100 @@ import heapq
 import numpy as np
 
 
+def _visits(q: np.ndarray) -> list[int]:
+    """An order of insertion: rounds of twice as many points each, drawn by a fixed seed, along rows of a grid within a round."""
+    n = len(q)
+    level = np.floor(np.log2(np.random.default_rng(0).permutation(n) + 1)).astype(np.int64)
+    rows = np.sqrt(2.0**level).astype(np.int64) + 1
+    row = np.minimum((q[:, 1] * rows).astype(np.int64), rows - 1)
+    return np.lexsort((np.where(row % 2, -q[:, 0], q[:, 0]), row, level)).tolist()
+
+
 def triangulate(p: np.ndarray) -> list[tuple[int, int, int]]:
-    """Delaunay triangles by inserting points one after another; none for points on a line."""
-    low, span = p.min(axis=0), max(float((p.max(axis=0) - p.min(axis=0)).max()), 1e-9)
-    q = np.vstack([(p - low) / span, [[-40.0, -40.0], [42.0, -40.0], [0.5, 60.0]]])
-    n = len(p)
+    """Delaunay triangles by inserting points one after another; none for points on a line.
 
-    def circle(t: tuple[int, int, int]) -> tuple[float, float, float]:
-        (ax, ay), (bx, by), (cx, cy) = q[list(t)]
+    A point is found by walking over triangles, and those whose circle holds it
+    lie side by side around it, so that a point costs about the same however
+    many there are.  Of points on one circle, the last one in the order given is
+    joined with all others, whatever the order of insertion.
+    """
+    n = len(p)
+    low, span = p.min(axis=0), max(float((p.max(axis=0) - p.min(axis=0)).max()), 1e-9)
+    q = (p - low) / span
+    xs, ys = [*q[:, 0].tolist(), -40.0, 42.0, 0.5], [*q[:, 1].tolist(), -40.0, -40.0, 60.0]
+    # by triangle: its corners, anticlockwise; the triangle across from each corner (-1: none); its circle
+    corners: list[tuple[int, int, int] | None] = []
+    beside: list[list[int]] = []
+    circles: list[tuple[float, float, float]] = []
+
+    def turn(a: int, b: int, x: float, y: float) -> float:
+        return (xs[b] - xs[a]) * (y - ys[a]) - (ys[b] - ys[a]) * (x - xs[a])
+
+    def add(a: int, b: int, c: int) -> int:
+        ax, ay, bx, by, cx, cy = xs[a], ys[a], xs[b], ys[b], xs[c], ys[c]
         d = 2 * (ax * (by - cy) + bx * (cy - ay) + cx * (ay - by))
         if abs(d) < 1e-14:
-            return 0.0, 0.0, np.inf
-        ux = ((ax * ax + ay * ay) * (by - cy) + (bx * bx + by * by) * (cy - ay) + (cx * cx + cy * cy) * (ay - by)) / d
-        uy = ((ax * ax + ay * ay) * (cx - bx) + (bx * bx + by * by) * (ax - cx) + (cx * cx + cy * cy) * (bx - ax)) / d
-        return ux, uy, (ax - ux) ** 2 + (ay - uy) ** 2
-
-    live = {(n, n + 1, n + 2): circle((n, n + 1, n + 2))}
-    for k in range(n):
-        x, y = q[k]
-        bad = [t for t, (ux, uy, r) in live.items() if (x - ux) ** 2 + (y - uy) ** 2 <= r * (1 + 1e-12)]
-        rim: dict[tuple[int, int], int] = {}
+            circle = (0.0, 0.0, np.inf)
+        else:
+            aa, bb, cc = ax * ax + ay * ay, bx * bx + by * by, cx * cx + cy * cy
+            ux, uy = (aa * (by - cy) + bb * (cy - ay) + cc * (ay - by)) / d, (aa * (cx - bx) + bb * (ax - cx) + cc * (bx - ax)) / d
+            circle = (ux, uy, (ax - ux) ** 2 + (ay - uy) ** 2)
+        corners.append((a, b, c))
+        beside.append([-1, -1, -1])
+        circles.append(circle)
+        return len(corners) - 1
+
+    def holds(t: int, k: int, x: float, y: float) -> bool:
+        """Whether the circle of t holds k; on the circle, whether k is joined with all, or lies across from the corner that is."""
+        ux, uy, r = circles[t]
+        d = (x - ux) ** 2 + (y - uy) ** 2
+        if abs(d - r) > r * 1e-12 or r == np.inf:
+            return d <= r
+        m = max(corners[t])
+        if k > m:
+            return True
+        at = corners[t].index(m)
+        return turn(corners[t][at - 2], corners[t][at - 1], x, y) < 0
+
+    at = add(n, n + 1, n + 2)
+    for k in _visits(q):
+        x, y = xs[k], ys[k]
+        for _ in range(len(corners)):
+            a, b, c = corners[at]
+            step = 0 if turn(b, c, x, y) < 0 else 1 if turn(c, a, x, y) < 0 else 2 if turn(a, b, x, y) < 0 else -1
+            if step < 0 or beside[at][step] < 0:
+                break
+            at = beside[at][step]
+        bad, todo, rim = {at}, [at], []
+        while todo:
+            t = todo.pop()
+            for side, u in enumerate(beside[t]):
+                if u in bad:
+                    continue
+                a, b = corners[t][side - 2], corners[t][side - 1]
+                # an edge that the point does not see, by rounding, goes too
+                if u >= 0 and (holds(u, k, x, y) or turn(a, b, x, y) <= 0):
+                    bad.add(u)
+                    todo.append(u)
+                else:
+                    rim.append((a, b, u))
+        # what was on the rim of one may have gone with another
+        first: dict[int, int] = {}
+        last: dict[int, int] = {}
+        for a, b, u in rim:
+            if u in bad:
+                continue
+            at = add(a, b, k)
+            beside[at][2] = u
+            if u >= 0:
+                beside[u][next(j for j in range(3) if corners[u][j] not in (a, b))] = at
+            first[a], last[b] = at, at
+        for a, t in first.items():
+            beside[t][1] = last.get(a, -1)
+            beside[t][0] = first.get(corners[t][1], -1)
         for t in bad:
-            del live[t]
-            for e in ((t[0], t[1]), (t[1], t[2]), (t[2], t[0])):
-                e = (min(e), max(e))
-                rim[e] = rim.get(e, 0) + 1
-        for (a, b), m in rim.items():
-            if m == 1 and abs((q[b][0] - q[a][0]) * (y - q[a][1]) - (q[b][1] - q[a][1]) * (x - q[a][0])) > 1e-14:
-                t = tuple(sorted((a, b, k)))
-                live[t] = circle(t)
-    return [t for t in live if max(t) < n]
+            corners[t] = None
+    return [tuple(sorted(t)) for t in corners if t is not None and max(t) < n]
 
 
 def convex_hull(p: np.ndarray) -> np.ndarray:

@@ -48,6 +48,27 @@ def test_delaunay_empty_circles():
     assert area == pytest.approx(abs((x[:-1] * y[1:] - x[1:] * y[:-1]).sum()) / 2, rel=1e-3)
 
 
+def test_delaunay_of_many_points():
+    import time
+
+    # a point costs the same among many: a cluster of tables 6 times sf0.1 has as many
+    p = np.unique(np.random.default_rng(2).integers(0, 2000, (12_000, 2)).astype(float), axis=0)
+    began = time.process_time()
+    t = hull.triangulate(p)
+    assert time.process_time() - began < 30
+    area = sum(abs((p[b][0] - p[a][0]) * (p[c][1] - p[a][1]) - (p[b][1] - p[a][1]) * (p[c][0] - p[a][0])) / 2 for a, b, c in t)
+    assert area == pytest.approx(1999.0**2, rel=5e-3)
+    sides = [e for a, b, c in t for e in ((a, b), (b, c), (a, c))]
+    assert max(sides.count(e) for e in sides[:50]) <= 2
+
+
+def test_delaunay_of_points_on_circles():
+    # of points on one circle the last is joined with all
+    p = np.array([(i, j) for i in range(5) for j in range(5)], dtype=float)
+    want = {t for i in range(4) for j in range(4) for t in ((5 * i + j, 5 * i + j + 1, 5 * i + j + 6), (5 * i + j, 5 * i + j + 5, 5 * i + j + 6))}
+    assert set(hull.triangulate(p)) == want
+
+
 def test_hull_codec(spark):
     rows = [([(0.0, 0.0)],), ([(0.0, 0.0), (5.0, 0.0)],), ([(0.0, 0.0), (5.0, 0.0), (5.0, 5.0), (0.0, 5.0), (0.0, 0.0)],), (None,)]
     df = spark.createDataFrame(rows, f"hull {geo.RING}").withColumn("text", geo.encode_hull(F.col("hull")))
