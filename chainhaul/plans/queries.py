@@ -564,8 +564,8 @@ def bootstrap_population(spark, sf):
 
 @query(None)
 def generate_chains(spark, sf):
-    acts = A.order_acts(spark, sf)
-    return generate.plans(pathnet.edges(acts), pathnet.starts(acts), pathnet.nodes(acts), 500, "p", DECILES, seed=7)
+    acts = A.written(A.order_acts(spark, sf))
+    return generate.plans(*(A.written(part(acts)) for part in (pathnet.edges, pathnet.starts, pathnet.nodes)), 500, "p", DECILES, seed=7)
 
 
 @query(None)

@@ -71,6 +71,47 @@ def test_generate_is_reproducible(spark, golden):
         generate.duration(1.5, list(range(11)))
 
 
+def test_generate_packs_the_network(spark, golden):
+    import pickle
+    import random
+
+    a, pd = golden
+    # some ten bytes an edge, so that the driver holds what tables of 60 times sf0.1 give
+    assert generate.MOST_EDGES >= 23_000_000
+    rng = random.Random(1)
+    rows = sorted({(rng.randrange(-1, 300), rng.randrange(300), rng.choice((-3, -2, *range(300)))) for _ in range(40_000)})
+    import numpy as np
+
+    prev, node, nxt = np.array(rows, dtype=np.int32).T
+    weight = np.array([rng.randrange(1, 4) for _ in rows], dtype=float)
+    net = generate.Network([generate.pack_contexts(node[part], prev[part], nxt[part], weight[part]) for part in (node % 2 == 0, node % 2 == 1)], [], 300)
+    assert len(pickle.dumps(net.packs, 5)) < 20 * len(rows)
+    weights = {}
+    for (p, n, x), w in zip(rows, weight.tolist(), strict=True):
+        weights.setdefault((p, n), {})[x] = w
+
+    def first(own, u):
+        keys, run = sorted(k for k in own if own[k] > 0), 0.0
+        for k in keys:
+            run += own[k]
+            if run >= u * sum(own.values()):
+                return k
+        return None
+
+    sink = lambda n: sum(to.get(-3, 0.0) for (_, m), to in weights.items() if m == n)
+    for _ in range(200):
+        p, n, u = rng.randrange(-1, 300), rng.randrange(300), rng.random()
+        real = {x: w for x, w in weights.get((p, n), {}).items() if x >= 0}
+        if real:
+            assert net.step(p, n, u) == first(real, u)
+            ends = {x: weights.get((n, x), {}).get(-3, 0.0) for x in real}
+            want = first(ends, u) if any(ends.values()) else first({x: sink(x) for x in real}, u)
+            assert net.last(p, n, u) == want
+        else:
+            assert net.last(p, n, u) is None
+    assert net.source.tolist() == [sum(w for x, w in weights.get((-1, n), {}).items() if x != -2) for n in range(300)]
+
+
 def test_multiplex_golden(spark):
     a = acts(spark, ["12", "13", "13", "31", "41", "41", "41"]).withColumn("type", F.lit("test"))
     mx = network.arcs(a)
