@@ -48,13 +48,13 @@ from .text import Chunk, Lookup, as_long, chunks, gram_hashes, mix, repeat_range
 
 WORDS = 5
 PERCENT = 80
-DENSE = 4
-FREQUENT = 1 << 20
-FREQUENT_FROM = 8
-#: A task reports grams that so many of its documents hold after the first; bits of its filter of grams seen, and how many it takes before a new one; counts held.
-LOCAL_FROM, SEEN_BITS, SEEN, COUNTED = 2, 1 << 26, 1 << 24, 1 << 19
-#: A task holds so many entries before it writes blocks.
-HELD = 1 << 20
+DENSE = 8
+FREQUENT = 1 << 21
+FREQUENT_FROM = DENSE + 1
+#: Columns are counted and listed by their grams without so many bits.
+LISTED_BY = np.uint64(8)
+#: A task holds so many entries before it writes blocks, and counts.
+HELD, COUNTED = 1 << 20, 1 << 21
 #: Entries of a column block; most shuffle partitions.
 BLOCK, PARTITIONS = 2_000_000, 1 << 15
 COLUMN_BITS = 48
@@ -95,65 +95,108 @@ def set_keys(rows: np.ndarray, grams: np.ndarray, n_rows: int) -> tuple[np.ndarr
     return n, mix(sums + n.astype(np.uint64))
 
 
-class _Often:
-    """Counts of the keys that come again, in bounded memory: a filter tells first occurrences, which aren't counted."""
-
-    def __init__(self):
-        self.bits, self.taken = np.zeros(SEEN_BITS >> 3, dtype=np.uint8), 0
-        self.parts, self.held = [], 0
-
-    def add(self, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """Takes keys; gives (key, n) when too many are held."""
-        if self.taken > SEEN:
-            self.bits[:], self.taken = 0, 0
-        keys, n = np.unique(keys, return_counts=True)
-        place = (mix(keys) % np.uint64(SEEN_BITS)).astype(np.int64)
-        at, bit = place >> 3, (1 << (place & 7)).astype(np.uint8)
-        seen = self.bits[at] & bit > 0
-        np.bitwise_or.at(self.bits, at[~seen], bit[~seen])
-        self.taken += len(keys)
-        n = n - ~seen
-        self.parts.append((keys[n > 0], n[n > 0]))
-        self.held += len(self.parts[-1][0])
-        if self.held > COUNTED:
-            self._merge()
-            if self.held > COUNTED // 2:
-                yield from self.batches()
-
-    def _merge(self) -> None:
-        keys, n = (np.concatenate(x) for x in zip(*self.parts, strict=True))
-        order = np.argsort(keys, kind="stable")
-        keys, n = keys[order], n[order]
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, dtype=np.int64)
-        self.parts, self.held = [(keys[first], np.add.reduceat(n, first) if len(first) else n[:0])], len(first)
-
-    def batches(self) -> Iterator[pa.RecordBatch]:
-        if self.parts:
-            self._merge()
-            keys, n = self.parts[0]
-            keys, n = keys[n >= LOCAL_FROM], n[n >= LOCAL_FROM] + 1
-            self.parts, self.held = [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(as_long(keys)), pa.array(n.astype(np.int64))], names=["key", "n"])
-
-
-def _measure(batches: Iterator[pa.RecordBatch], words: int, count: bool = True) -> Iterator[pa.RecordBatch]:
-    """Rows of two kinds: (doc_id, key, n) of each document; with ``count`` (null, gram, count) of grams frequent in this task."""
-    names = ["doc_id", "key", "n"]
-    counter = _Often() if count else None
-
-    def counts(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for own in found:
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(own), pa.int64()), *own.columns], names=names)
+class Listed(Lookup):
+    """Places of frequent grams, by what ``LISTED_BY`` leaves of them."""
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        return super().find(h >> LISTED_BY)
+
+
+def _pack_counts(key: np.ndarray, n: np.ndarray) -> bytes:
+    """Ascending keys as the bytes of their steps, those of one place together, and the counts other than 1."""
+    step = np.diff(key, prepend=key[:1])
+    width = max(1, (int(step.max()).bit_length() + 7) // 8)
+    more = np.flatnonzero(n > 1)
+    head = np.array([len(key), width, len(more)], dtype=np.int64).tobytes() + key[:1].tobytes()
+    return head + step.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes() + more.astype(np.int32).tobytes() + n[more].astype(np.int64).tobytes()
+
+
+def _unpack_counts(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    size, width, more = (int(x) for x in np.frombuffer(data, np.int64, 3))
+    step = np.zeros((size, 8), dtype=np.uint8)
+    step[:, :width] = np.frombuffer(data, np.uint8, size * width, 32).reshape(width, size).T
+    n = np.ones(size, dtype=np.int64)
+    at = 32 + size * width
+    n[np.frombuffer(data, np.int32, more, at)] = np.frombuffer(data, np.int64, more, at + 4 * more)
+    return np.frombuffer(data, np.uint64, 1, 24) + np.cumsum(step.view(np.uint64).ravel()), n
+
+
+def _gram_packs(batches: Iterator[pa.RecordBatch], words: int, blocks: int) -> Iterator[pa.RecordBatch]:
+    """(block, packed counts) of all grams of this task, by ranges of keys; a gram counts once a document."""
+    held, size = [], 0
+
+    def written() -> pa.RecordBatch:
+        key, n = np.unique(np.concatenate(held), return_counts=True)
+        edges = np.searchsorted(key, _range_starts(blocks))
+        full = np.flatnonzero(np.diff(edges, append=len(key)))
+        ends = np.append(edges, len(key))
+        out = [_pack_counts(key[ends[b] : ends[b + 1]], n[ends[b] : ends[b + 1]]) for b in full]
+        return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(out, pa.binary())], names=["block", "data"])
 
+    for batch in batches:
+        for c in chunks(batch.column(0)):
+            held.append(gram_sets(c, words)[1] >> LISTED_BY)
+            size += len(held[-1])
+            if size >= COUNTED:
+                yield written()
+                held, size = [], 0
+    if size:
+        yield written()
+
+
+def _range_starts(blocks: int) -> np.ndarray:
+    return np.array([(b << 56) // blocks for b in range(blocks)], dtype=np.uint64)
+
+
+def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, n) of grams in ``FREQUENT_FROM`` documents or more; a block's packs come one after the other."""
+    block, parts = None, []
+
+    def done() -> pa.RecordBatch:
+        key, n = (np.concatenate([p[k] for p in parts]) for k in range(2))
+        order = np.argsort(key)
+        key, n = key[order], n[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        n = np.add.reduceat(n, first)
+        often = n >= FREQUENT_FROM
+        return pa.RecordBatch.from_arrays([pa.array(as_long(key[first[often]])), pa.array(n[often])], names=["key", "n"])
+
+    for batch in batches:
+        for b, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            if b != block and parts:
+                yield done()
+                parts = []
+            block = b
+            parts.append(_unpack_counts(data.as_buffer().to_pybytes()))
+    if parts:
+        yield done()
+
+
+def frequent_columns(texts: DataFrame, words: int, total: int) -> Listed:
+    """The grams of most documents, at most ``FREQUENT`` of them, rarer ones first.
+
+    All grams (``total`` of them, in all documents) are counted, so that the
+    list doesn't depend on how documents are dealt out to tasks.
+    """
+    blocks = max(24, total // BLOCK)
+    packs = texts.mapInArrow(lambda it: _gram_packs(it, words, blocks), "block int, data binary").repartition(min(blocks, PARTITIONS), "block").sortWithinPartitions("block")
+    counts = cut(packs.mapInArrow(_gram_counts, "key long, n long"))
+    levels = counts.groupBy(F.least("n", F.lit(1 << 12)).alias("n")).count().toArrow()
+    n, rows = levels["n"].to_numpy(), levels["count"].to_numpy()
+    order = np.argsort(-n)
+    fits = int((np.cumsum(rows[order]) <= FREQUENT).sum())
+    often = counts.where(F.col("n") >= int(n[order][fits - 1]) if fits else F.lit(False)).toArrow()
+    discard(counts)
+    by = np.lexsort((often["key"].to_numpy(), often["n"].to_numpy()))
+    return Listed(often["key"].to_numpy().view(np.uint64)[by])
+
+
+def _measure(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    """(doc_id, key, n) of each document."""
     for batch in batches:
         for c in chunks(batch.column(1)):
-            rows, grams = gram_sets(c, words)
-            n, key = set_keys(rows, grams, c.rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.first, c.rows), pa.array(as_long(key)), pa.array(n.astype(np.int64))], names=names)
-            if counter:
-                yield from counts(counter.add(grams))
-    if counter:
-        yield from counts(counter.batches())
+            n, key = set_keys(*gram_sets(c, words), c.rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.first, c.rows), pa.array(as_long(key)), pa.array(n.astype(np.int64))], names=["doc_id", "key", "n"])
 
 
 def _pack(block: int, node: np.ndarray, n: np.ndarray, col: np.ndarray, pos: np.ndarray) -> tuple[int, bytes]:
@@ -462,14 +505,18 @@ def _leads(dense: DataFrame, percent: int) -> DataFrame:
 
     dense: (col, key, n, pos, own, cap); cap: how many columns of the row may
     be another's.  Of a pair the smaller row (or either, if equal) could meet
-    another of its size.
+    another of its size.  A smaller partner is in the row's class of sizes or
+    the one below: a class spans more than the sizes of a pair may differ by.
     """
+    base = max(1.05, 100 / percent * 1.0001) if percent else 2.0
+    dense = dense.withColumn("class", F.least(F.floor(F.log(base, F.col("n"))), F.lit(62)).cast("int"))
     dense = dense.withColumn("most", F.least("cap", F.col("n") - F.col("pos"))).withColumn("able", F.col("most") * (100 + percent) >= 2 * percent * F.col("n"))
     lead = F.max(F.struct("able", "own", F.xxhash64("key").alias("spread"), "key"))
-    stats = dense.groupBy("col").agg(lead.alias("lead"), F.min(F.when(F.col("able"), F.col("n"))).alias("least"), F.count("*").alias("rows"))
-    stats = cut(stats.where("rows > 1 and lead.able").select(F.col("col").alias("c"), F.col("lead.key").alias("lead"), "least"))
+    stats = dense.groupBy("col").agg(lead.alias("lead"), F.min(F.when(F.col("able"), F.col("n"))).alias("least"), F.bit_or(F.expr("if(able, shiftleft(1L, class), 0L)")).alias("classes"), F.count("*").alias("rows"))
+    stats = cut(stats.where("rows > 1 and lead.able").select(F.col("col").alias("c"), F.col("lead.key").alias("lead"), "least", "classes"))
     met = dense.join(stats, F.col("col") == F.col("c"))
-    smaller = (F.col("least") <= F.col("n")) & (F.col("most") * (100 + percent) >= (F.col("n") + F.greatest("least", F.ceil(F.col("n") * percent / 100))) * percent)
+    near = F.expr("(classes & (shiftleft(1L, class) | shiftleft(1L, greatest(class - 1, 0)))) <> 0")
+    smaller = near & (F.col("least") <= F.col("n")) & (F.col("most") * (100 + percent) >= (F.col("n") + F.greatest("least", F.ceil(F.col("n") * percent / 100))) * percent)
     return met.where((F.col("able") | smaller) & (F.col("key") != F.col("lead"))).select(F.col("key").alias("x"), "lead").distinct()
 
 
@@ -512,15 +559,10 @@ def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # 1. sizes and keys of rows; frequent columns
     known = docs.where("doc_id is not null")
-    measured = cut(known.mapInArrow(lambda it: _measure(it, words), "doc_id long, key long, n long"))
-    rows = measured.where("doc_id is not null")
-    often = measured.where("doc_id is null").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT_FROM)
-    often = often.orderBy(F.col("n").desc(), "key").limit(FREQUENT).toArrow()
-    by = np.argsort(often["n"].to_numpy(), kind="stable")
-    frequent = sc.broadcast(Lookup(often["key"].to_numpy().view(np.uint64)[by]))
-    del often, by
+    rows = cut(known.mapInArrow(lambda it: _measure(it, words), "doc_id long, key long, n long"))
     ids = cut(rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("id")))
     total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    frequent = sc.broadcast(frequent_columns(known.select("text"), words, total))
     # 2. the product of the first columns, block by block
     blocks = max(24, total * (100 - percent) // 100 // BLOCK)
     packed = known.select("text").mapInArrow(lambda it: _incidence(it, frequent, words, percent, blocks), "block int, data binary")
@@ -598,5 +640,5 @@ def _name(name: str) -> Column:
 
 def _nameless(docs: DataFrame, words: int) -> DataFrame:
     """Documents without an id: sizes only."""
-    measured = docs.where("doc_id is null").select(F.lit(0).cast("long").alias("doc_id"), "text").mapInArrow(lambda it: _measure(it, words, False), "doc_id long, key long, n long")
+    measured = docs.where("doc_id is null").select(F.lit(0).cast("long").alias("doc_id"), "text").mapInArrow(lambda it: _measure(it, words), "doc_id long, key long, n long")
     return measured.select(F.lit(None).cast("long").alias("doc_id"), F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))

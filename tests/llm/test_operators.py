@@ -69,6 +69,24 @@ def test_jaccard_join_dense_columns(spark, monkeypatch):
     assert got == dict(enumerate(classes(both)))
 
 
+def test_jaccard_join_lists_columns_of_many_tasks(spark, monkeypatch):
+    # a passage of unlike texts, once in each task: enough other grams come before it, so no text is counted against a lead
+    share = [" ".join([*(f"w{k}" for k in range(44)), *(f"y{k}_{j}" for j in range(16))]) for k in range(30)]
+    met, leads = [], jaccard_join._leads
+    monkeypatch.setattr(jaccard_join, "_leads", lambda *a: met.append(leads(*a).collect()) or leads(*a))
+    docs = documents(spark, share).repartition(30)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.link(docs).collect()} == dict(enumerate(classes(share)))
+    assert met == [[]]
+
+
+def test_jaccard_counts_packed():
+    keys = np.unique(np.random.default_rng(5).integers(0, 1 << 56, 1000, dtype=np.uint64))
+    for size in (1, 2, 1000):
+        n = np.arange(size) % 3 + 1
+        got = jaccard_join._unpack_counts(jaccard_join._pack_counts(keys[:size], n))
+        assert (got[0] == keys[:size]).all() and (got[1] == n).all()
+
+
 def test_jaccard_nulls_and_empty(spark):
     docs = documents(spark, ["a b c d e f", "a b c d e f"]).withColumn("doc_id", F.when(F.col("doc_id") == 0, 7).otherwise(F.lit(None)))
     assert {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.link(docs).collect()} == {(7, 2, 7), (None, 2, None)}
