@@ -262,7 +262,11 @@ class Automaton:
 #: Bits of the filters that hold the n-grams of one length that may occur again, and those that do.
 FILTER_BITS = 1 << 26
 #: Tokens of training for each bucket of keys while n-grams are counted and while they are looked up, least and most buckets; n-grams that a task holds before it writes packs, and lookups.
-BUCKET, LOOKED_UP, LEAST_BUCKETS, MOST_BUCKETS, HELD, ASKED = 1 << 20, 1 << 20, 24, 1 << 18, 1 << 20, 1 << 18
+BUCKET, LOOKED_UP, LEAST_BUCKETS, MOST_BUCKETS, HELD, ASKED = 1 << 20, 1 << 22, 24, 1 << 18, 1 << 20, 1 << 18
+#: Lookups of a pack, so that an Arrow batch of packs stays small; rows that a task sums up before it sends them on.
+PACK, SUMMED = 1 << 7, 1 << 18
+#: Bytes of a key in a pack.
+KEY_BYTES = 7
 
 
 def _buckets(tokens: int, each: int) -> int:
@@ -299,6 +303,13 @@ def _prints(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return (h % np.uint64(buckets)).astype(np.int64), (h >> np.uint64(32)).astype(np.uint32)
 
 
+def _placed(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, 56 bits more) of keys: from 256 buckets on, both tell the whole key, and 60 bits of it or more below."""
+    h = mix(keys)
+    more = h // np.uint64(buckets)
+    return (h - more * np.uint64(buckets)).astype(np.int64), more & np.uint64((1 << 8 * KEY_BYTES) - 1)
+
+
 def _joint(bucket: np.ndarray, prints: np.ndarray) -> np.ndarray:
     return bucket.astype(np.uint64) << np.uint64(32) | prints.astype(np.uint64)
 
@@ -477,6 +488,11 @@ OUT = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score"]
 SCHEMA = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
 
 
+def _asked_pack(keys: np.ndarray, rows: np.ndarray) -> bytes:
+    step = np.diff(rows, prepend=rows[0]).astype(np.int32).tobytes()
+    return np.int64(rows[0]).tobytes() + keys.view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES].tobytes() + step
+
+
 def _score(batches: Iterator[pa.RecordBatch], shared, buckets: int) -> Iterator[pa.RecordBatch]:
     """Packs of three kinds (``_model_packs`` has another), by bucket: 0: documents with what the worker holds, 1: other words of theirs, 2: n-grams that may be arcs.
 
@@ -494,7 +510,7 @@ def _score(batches: Iterator[pa.RecordBatch], shared, buckets: int) -> Iterator[
                 keys, rows = (np.concatenate([x[k] for x in held[kind]]) for k in range(2))
                 order = np.argsort(rows, kind="stable")
                 keys, rows = keys[order], rows[order]
-                packs += [(b, kind, np.int64(r[0]).tobytes() + k.tobytes() + np.diff(r, prepend=r[0]).astype(np.int32).tobytes()) for b, (k, r) in _split((mix(keys) % np.uint64(buckets)).astype(np.int64), keys, rows)]
+                packs += [(b, kind, _asked_pack(k[a : a + PACK], r[a : a + PACK])) for b, (k, r) in _split(*_placed(keys, buckets), rows) for a in range(0, len(k), PACK)]
         if held[0]:
             columns = [np.concatenate([x[k] for x in held[0]]) for k in range(7)]
             packs += [(b, 0, np.stack([x.view(np.int64) for x in own]).tobytes()) for b, own in _split((mix(columns[0].view(np.uint64)) % np.uint64(buckets)).astype(np.int64), *columns)]
@@ -539,7 +555,7 @@ def _model_packs(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa
 
     def written() -> pa.RecordBatch:
         key, v, n = (np.concatenate([x[k] for x in held]) for k in range(3))
-        bucket = (mix(key.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        bucket, key = _placed(key.view(np.uint64), buckets)
         return _packs([(b, 3, x.tobytes() + y.tobytes() + z.tobytes()) for b, (x, y, z) in _split(bucket, key, v, n)], ["bucket", "kind", "data"])
 
     for batch in batches:
@@ -553,40 +569,93 @@ def _model_packs(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa
         yield written()
 
 
-def _sums(packs: pa.Table, total: int, distinct: int) -> pa.Table:
-    """A bucket's documents, and what its keys add to rows."""
-    docs: list[np.ndarray] = []
-    model: list[np.ndarray] = [np.zeros((3, 0), dtype=np.int64)]
-    asked: list[tuple[int, bytes]] = []
-    for kind, data in zip(packs["kind"].to_pylist(), packs["data"].to_pylist(), strict=True):
-        if kind == 0:
-            docs.append(np.frombuffer(data, np.int64).reshape(7, -1))
-        elif kind == 3:
-            model.append(np.frombuffer(data, np.int64).reshape(3, -1))
-        else:
-            asked.append((kind, data))
-    key, v, n = np.concatenate(model, axis=1)
-    keys, back = np.unique(key.view(np.uint64), return_inverse=True)
-    n, v = (np.bincount(back, weights=x, minlength=len(keys)) for x in (n, v.view(np.float64)))
-    doc = np.concatenate(docs, axis=1) if docs else np.zeros((7, 0), dtype=np.int64)
-    parts = [[], [], [], []]
-    for kind, data in asked:  # a pack's rows ascend, and are summed up by itself
-        m = (len(data) - 8) // 12
-        key, step = np.frombuffer(data, np.uint64, m, 8), np.frombuffer(data, np.int32, m, 8 + 8 * m)
-        first = np.flatnonzero(np.concatenate([[True], step[1:] > 0]))
-        at = np.minimum(np.searchsorted(keys, key), max(0, len(keys) - 1))
-        hit = keys[at] == key if len(keys) else np.zeros(m, dtype=bool)
-        count, value = (np.where(hit, x[at], 0) if len(keys) else np.zeros(m) for x in (n, v))
-        base = np.log10((count + 0.5) / (total + 0.5 * (distinct + 1))) if kind == 1 else np.zeros(m)
-        parts[0].append(np.frombuffer(data, np.int64, 1)[0] + np.cumsum(step, dtype=np.int64)[first])
-        for p, x in zip(parts[1:], ((count > 0) & (kind == 1), base, base + value), strict=True):
-            p.append(np.add.reduceat(x.astype(np.float64), first))
-    rows, known, base, score = (np.concatenate(p) if p else np.zeros(0, dtype=np.int64) for p in parts)
-    rows, back = np.unique(rows, return_inverse=True)
-    known, base, score = (np.bincount(back, weights=x, minlength=len(rows)) for x in (known, base, score))
-    m = len(rows)
-    columns = [pa.array(np.concatenate([doc[0], rows])), pa.array(np.concatenate([doc[1], np.zeros(m, dtype=np.int64)]), mask=np.concatenate([doc[2] & 2 > 0, np.ones(m, dtype=bool)])), pa.array(np.concatenate([doc[2] & 1 > 0, np.zeros(m, dtype=bool)])), pa.array(np.concatenate([doc[3], np.zeros(m, dtype=np.int64)])), pa.array(np.concatenate([doc[4], known.astype(np.int64)])), pa.array(np.concatenate([doc[5].view(np.float64), base])), pa.array(np.concatenate([doc[6].view(np.float64), score]))]
-    return pa.table(columns, names=OUT)
+class _Rows:
+    """Sums by row, merged now and then."""
+
+    def __init__(self):
+        self.parts, self.held = [], 0
+
+    def add(self, *part: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Takes (row, known, base, score); gives sums when too many are held."""
+        self.parts.append(part)
+        self.held += len(part[0])
+        if self.held > 2 * SUMMED:
+            self._merge()
+            if self.held > SUMMED:
+                yield from self.batches()
+
+    def _merge(self) -> None:
+        rows, *sums = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        rows, back = np.unique(rows, return_inverse=True)
+        self.parts, self.held = [(rows, *(np.bincount(back, weights=x, minlength=len(rows)) for x in sums))], len(rows)
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        if self.parts:
+            self._merge()
+            rows, known, base, score = self.parts[0]
+            self.parts, self.held = [], 0
+            none = np.zeros(len(rows), dtype=np.int64)
+            columns = [pa.array(rows), pa.nulls(len(rows), pa.int64()), pa.array(none.astype(bool)), pa.array(none), pa.array(known.astype(np.int64)), pa.array(base), pa.array(score)]
+            yield pa.RecordBatch.from_arrays(columns, names=OUT)
+
+
+def _documents(data: list[bytes]) -> pa.RecordBatch:
+    doc = np.concatenate([np.frombuffer(x, np.int64).reshape(7, -1) for x in data], axis=1)
+    columns = [pa.array(doc[0]), pa.array(doc[1], mask=doc[2] & 2 > 0), pa.array(doc[2] & 1 > 0), pa.array(doc[3]), pa.array(doc[4]), pa.array(doc[5].view(np.float64)), pa.array(doc[6].view(np.float64))]
+    return pa.RecordBatch.from_arrays(columns, names=OUT)
+
+
+def _looked_up(data: list[bytes], rare: bool, model: tuple[np.ndarray, ...], total: int, distinct: int) -> tuple[np.ndarray, ...]:
+    """(row, known, base, score) of packs of lookups; rare: of words, n-grams otherwise."""
+    keys, n, v = model
+    size = np.array([(len(x) - 8) // (KEY_BYTES + 4) for x in data])
+    m = int(size.sum())
+    key = np.zeros((m, 8), dtype=np.uint8)
+    key[:, :KEY_BYTES] = np.frombuffer(b"".join(x[8 : 8 + KEY_BYTES * k] for x, k in zip(data, size.tolist(), strict=True)), np.uint8).reshape(-1, KEY_BYTES)
+    key = key.view(np.uint64).ravel()
+    step = np.frombuffer(b"".join(x[8 + KEY_BYTES * k :] for x, k in zip(data, size.tolist(), strict=True)), np.int32).astype(np.int64)
+    begin = np.cumsum(size) - size
+    change = step > 0
+    change[begin] = True
+    first = np.flatnonzero(change)
+    start = np.array([np.frombuffer(x, np.int64, 1)[0] for x in data])
+    far = np.cumsum(step)
+    rows = (far + np.repeat(start - far[begin], size))[first]
+    count, value = np.zeros(m), np.zeros(m)
+    if len(keys):
+        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        hit = keys[at] == key
+        count, value = np.where(hit, n[at], 0), np.where(hit, v[at], 0.0)
+    base = np.log10((count + 0.5) / (total + 0.5 * (distinct + 1))) if rare else np.zeros(m)
+    return rows, *(np.add.reduceat(x.astype(np.float64), first) for x in ((count > 0) & rare, base, base + value))
+
+
+def _sums(batches: Iterator[pa.RecordBatch], total: int, distinct: int) -> Iterator[pa.RecordBatch]:
+    """Documents, and what keys add to rows, summed up over all buckets of a task; a bucket's model comes first, its packs as they are read."""
+    here, model, ready, rows = None, [], None, _Rows()
+    for batch in batches:
+        bucket, kind = (batch.column(k).to_numpy() for k in range(2))
+        edges = [0, *(np.flatnonzero((np.diff(bucket) != 0) | (np.diff(kind) != 0)) + 1).tolist(), len(batch)]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            if a == b:
+                continue
+            if bucket[a] != here:
+                here, model, ready = bucket[a], [np.zeros((3, 0), dtype=np.int64)], None
+            data = batch.column(2).slice(a, b - a)
+            if kind[a] == 3:
+                model += [np.frombuffer(x, np.int64).reshape(3, -1) for x in data.to_pylist()]
+            elif kind[a] == 0:
+                yield _documents(data.to_pylist())
+            else:
+                if ready is None:
+                    key, v, n = np.concatenate(model, axis=1)
+                    keys, back = np.unique(key.view(np.uint64), return_inverse=True)
+                    ready, model = (keys, *(np.bincount(back, weights=x, minlength=len(keys)) for x in (n, v.view(np.float64)))), []
+                for k in range(0, len(data), 1 << 11):
+                    yield from rows.add(*_looked_up(data.slice(k, 1 << 11).to_pylist(), kind[a] == 1, ready, total, distinct))
+        batch = data = None
+        pa.default_memory_pool().release_unused()
+    yield from rows.batches()
 
 
 def _frequent(counts: DataFrame, least: float) -> tuple[np.ndarray, np.ndarray]:
@@ -630,6 +699,7 @@ def score(docs: DataFrame, order: int = ORDER, word_share: float = WORD_SHARE, g
     shared = docs.sparkSession.sparkContext.broadcast((Lookup(keys[is_word]), base, v[is_word], Lookup(keys[~is_word]), v[~is_word], filters))
     packs = docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(lambda it: _score(it, shared, buckets), "bucket int, kind int, data binary")
     model = table.mapInArrow(lambda it: _model_packs(it, buckets), "bucket int, kind int, data binary")
-    sums = packs.unionAll(model).groupBy("bucket").applyInArrow(lambda t: _sums(t, total, distinct), SCHEMA)
+    met = packs.unionAll(model).repartition(buckets, "bucket").sortWithinPartitions("bucket", F.col("kind").desc())
+    sums = met.mapInArrow(lambda it: _sums(it, total, distinct), SCHEMA)
     by = sums.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"))
     return by.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

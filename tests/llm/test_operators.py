@@ -159,6 +159,28 @@ def backoff_scores(texts, least=2, discount=0.75):
     return [sum(math.log10(p(tuple(t[max(0, i - 2) : i]), w)) for i, w in enumerate(t)) for t in tokens]
 
 
+def test_lm_sums_once_a_task():
+    # a row that keys of two buckets meet leaves a task once; a bucket's packs may come in several batches
+    keys = np.arange(1, 4001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    bucket, more = lm_score._placed(keys, 2)
+    rows = np.repeat(np.arange(1000), 4)
+    batches = []
+    for b in (0, 1):
+        own = bucket == b
+        known = more[own][::2]
+        model = np.stack([known.view(np.int64), np.full(len(known), 0.5).view(np.int64), np.full(len(known), 3)])
+        packs = [(b, 3, model.tobytes()), *((b, 1, lm_score._asked_pack(more[own][a : a + 300], rows[own][a : a + 300])) for a in range(0, own.sum(), 300))]
+        batches += [lm_score._packs(packs[k : k + 4], ["bucket", "kind", "data"]) for k in range(0, len(packs), 4)]
+    got = pa.Table.from_batches(lm_score._sums(iter(batches), 100, 50)).to_pydict()
+    hit = np.zeros(4000, dtype=bool)
+    for b in (0, 1):
+        hit[np.flatnonzero(bucket == b)[::2]] = True
+    base = np.log10((np.where(hit, 3, 0) + 0.5) / (100 + 0.5 * 51))
+    assert got["row"] == list(range(1000))
+    assert got["n_known"] == np.add.reduceat(hit.astype(int), np.arange(0, 4000, 4)).tolist()
+    assert np.allclose(got["base"], np.add.reduceat(base, np.arange(0, 4000, 4))) and np.allclose(got["score"], np.add.reduceat(base + 0.5 * hit, np.arange(0, 4000, 4)))
+
+
 def test_lm_scores_equal_brute_force(spark, docs, texts):
     want = backoff_scores(texts)
     for shares in ({}, {"word_share": 2.0, "gram_share": 2.0}):  # all that is frequent held, or nothing
