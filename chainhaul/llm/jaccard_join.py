@@ -500,6 +500,12 @@ def _keyed(batches: Iterator[pa.RecordBatch], shared, words: int) -> Iterator[pa
             yield part.filter(pa.array(marked(keys, key)))
 
 
+def _only(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows (key, doc_id, text) that are in wanted (id, key); few of those (a checked number) are broadcast."""
+    near = F.broadcast(wanted) if wanted.count() <= FEW_PAIRS else wanted
+    return texts.join(near.select(F.col("id"), F.col("key").alias("k")), (F.col("key") == F.col("k")) & (F.col("doc_id") == F.col("id")), "left_semi")
+
+
 def _leads(dense: DataFrame, percent: int) -> DataFrame:
     """(x, lead): rows of dense columns that may have a partner there, with one of the column's rows that may have one of their size.
 
@@ -586,10 +592,10 @@ def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     for end in ends[1:]:
         wanted = wanted.union(end)
     wanted = cut(ids.join(wanted.distinct(), F.col("key") == F.col("k")).select("id", "key"))
-    # (only rows that share a doc_id can give a text twice)
+    # (once the filters' chance hits, other copies of a wanted set among them, are gone, only rows that share a doc_id can give a text twice)
     again = cut(rows.where("n > 0").groupBy(F.col("doc_id").alias("d")).agg(F.count("*").alias("m"), F.min("key").alias("a"), F.max("key").alias("b")).where("m > 1"))
     filters = sc.broadcast((bitmap(wanted.select("id"), KEY_BITS), bitmap(wanted.select("key"), KEY_BITS)))
-    texts = known.mapInArrow(lambda it: _keyed(it, filters, words), "key long, doc_id long, text string")
+    texts = _only(known.mapInArrow(lambda it: _keyed(it, filters, words), "key long, doc_id long, text string"), wanted)
     if not again.isEmpty():
         once = texts.join(again.select("d"), F.col("doc_id") == F.col("d"), "left_anti")
         texts = once.unionByName(texts.join(again.select("d"), F.col("doc_id") == F.col("d"), "left_semi").dropDuplicates(["key"]))

@@ -79,6 +79,26 @@ def test_jaccard_join_lists_columns_of_many_tasks(spark, monkeypatch):
     assert met == [[]]
 
 
+def test_jaccard_join_counts_each_pair_once(spark, monkeypatch):
+    # the filters let all rows through, as they do by chance at size: exact copies of a lead and of its rows mustn't give texts again
+    base = [f"w{k}" for k in range(60)]
+    near = [" ".join([*base[:k], f"x{k}", *base[k + 1 :]]) for k in range(0, 60, 3)]
+    copies = (near + [" ".join(base)]) * 5
+    met, with_texts = [], jaccard_join._with_texts
+
+    def spied(pairs, texts, a, b):
+        both = with_texts(pairs, texts, a, b)
+        met.append((both.count(), pairs.select(a, b).distinct().count()))
+        return both
+
+    monkeypatch.setattr(jaccard_join, "_with_texts", spied)
+    monkeypatch.setattr(jaccard_join, "KEY_BITS", 64)
+    for few in (jaccard_join.FEW_PAIRS, 0):
+        monkeypatch.setattr(jaccard_join, "FEW_PAIRS", few)
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.link(documents(spark, copies)).collect()} == dict(enumerate(classes(copies)))
+    assert met[0][1] and all(n == pairs for n, pairs in met)
+
+
 def test_jaccard_counts_packed():
     keys = np.unique(np.random.default_rng(5).integers(0, 1 << 56, 1000, dtype=np.uint64))
     for size in (1, 2, 1000):
