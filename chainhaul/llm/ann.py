@@ -6,11 +6,17 @@ vector, which falsifies large inner products, weighs ``eta`` times as much as
 the residual across.  A query makes a table of inner products with all
 codewords; two subspaces' four-bit codes make one byte, so a scan adds one
 table entry a byte.  The ``rerank`` best of a scan are scored exactly, in double
-precision, on the original vectors.
-
-Queries in blocks meet all codes in blocks; each such task returns packed lists
-of its best, which merge by query.  Codebooks come from at most about
-``SAMPLE_ROWS`` vectors; every vector is indexed.
+precision, on the original vectors; so is then each other vector that could
+still be among the ``k`` nearest.  For the code y of a unit vector x, let y = g x
++ p with p across x.  A query of cosine s with x has an estimate of at least
+g s - |p| sqrt(1 - s^2), so vectors whose estimate is below that, at the k-th
+best s known, are out.  What is returned is therefore exact on all rows, such as
+groups closer together than codewords are; only how many vectors are scored
+exactly depends on them (all, at worst).
+
+Queries in blocks meet all codes in blocks, with g, |p| and the vectors beside
+them; each such task returns its ``k`` nearest, which merge by query.  Codebooks
+come from at most about ``SAMPLE_ROWS`` vectors; every vector is indexed.
 
 Rows and cases: vectors that are null, empty, zero or hold a null or non-finite
 component take no part, nor do vectors of another length than most of the
@@ -27,8 +33,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from .store import cut
+from .text import mix
 
 SAMPLE_ROWS = 20_000
 WIDTH = 2
@@ -36,9 +44,12 @@ CODES = 16
 #: Weight of the parallel residual: inner products above about 0.4 of the norm matter.
 ETA = 4.0
 RERANK = 300
-QUERY_BLOCK = 256
-#: Blocks of the index: as many tasks a query block has, more for more rows.
-INDEX_BLOCKS, INDEX_ROWS = 12, 1 << 17
+#: Queries that a block of the index is sent to at once, and those of them that are scanned together.
+QUERY_BLOCK, TABLE_QUERIES = 2048, 256
+#: Blocks of the index: as many tasks a query block has, more for more components in all.
+INDEX_BLOCKS, INDEX_COMPONENTS = 12, 1 << 22
+#: Rows of a block that are scanned together; of their pairs with queries, the share from which on one product scores all.
+TILE, DENSE = 4096, 1 / 32
 
 
 def usable(column: Column) -> Column:
@@ -102,13 +113,17 @@ class Codebook:
             new = ((u - self.words[m][codes[:, m]]) * u).sum(-1)
             total += new - along[:, m]
 
-    def encode(self, unit: np.ndarray) -> np.ndarray:
-        """Bytes of two codes each."""
+    def encode(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bytes of two codes each; what they stand for along the vector, and its length across."""
         x = self.cut(unit)
         codes = np.stack([((x[:, m, None] - self.words[m]) ** 2).sum(-1).argmin(1) for m in range(self.parts)], axis=1)
         for _ in range(2):
             codes = self._assign(x, codes)
-        return (codes[:, ::2] | codes[:, 1::2] << 4).astype(np.uint8)
+        y = np.stack([self.words[m][codes[:, m]] for m in range(self.parts)], axis=1)
+        along = (y * x).sum((1, 2))
+        across = np.sqrt(((y - along[:, None, None] * x) ** 2).sum((1, 2)))
+        turned = along <= 0  # no bound on these
+        return (codes[:, ::2] | codes[:, 1::2] << 4).astype(np.uint8), np.where(turned, 0, along), np.where(turned, 1e9, across)
 
     def tables(self, unit: np.ndarray) -> np.ndarray:
         """(byte position, 256, query): inner products of queries with the codewords of a byte."""
@@ -126,50 +141,104 @@ def unit_rows(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _encode(batches: Iterator[pa.RecordBatch], shared, blocks: int) -> Iterator[pa.RecordBatch]:
+def _packed(rows: np.ndarray) -> pa.Array:
+    """One binary value a row."""
+    rows = np.ascontiguousarray(rows)
+    return pa.Array.from_buffers(pa.binary(rows.shape[1] * rows.itemsize), len(rows), [None, pa.py_buffer(rows)]).cast(pa.binary())
+
+
+def _unpacked(column: pa.ChunkedArray, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=kind).reshape(len(column), -1)
+
+
+INDEX = "vec_id long, block int, code binary, along float, across float, vector binary"
+
+
+def _encode(batches: Iterator[pa.RecordBatch], shared, blocks: int, kind: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not len(batch):
             continue
-        codes = shared.value.encode(unit_rows(matrix(batch.column(1))))
-        packed = pa.Array.from_buffers(pa.binary(codes.shape[1]), len(codes), [None, pa.py_buffer(np.ascontiguousarray(codes))]).cast(pa.binary())
-        block = batch.column(0).to_numpy() % blocks
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(block.astype(np.int32)), packed], names=["vec_id", "block", "code"])
-
-
-def scan(left: pa.Table, right: pa.Table, book: Codebook, keep: int) -> pa.Table:
-    """Best ``keep`` of a block of codes for each query of a block: larger estimates first, ties to smaller ids."""
-    queries = left["query_id"].to_numpy()
-    ids = right["vec_id"].to_numpy()
-    order = np.argsort(ids, kind="stable")
-    ids = ids[order]
-    codes = np.frombuffer(b"".join(right["code"].to_pylist()), dtype=np.uint8).reshape(len(ids), -1)[order]
-    table = book.tables(unit_rows(matrix(left["query"].combine_chunks())))
-    found, near = [], []
+        x = matrix(batch.column(1))
+        codes, along, across = shared.value.encode(unit_rows(x))
+        block = (mix(batch.column(0).to_numpy().view(np.uint64)) + np.arange(len(x), dtype=np.uint64)) % np.uint64(blocks)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(block.astype(np.int32)), _packed(codes), pa.array(along.astype(np.float32)), pa.array(across.astype(np.float32)), _packed(x.astype(kind))], names=["vec_id", "block", "code", "along", "across", "vector"])
+
+
+FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+
+
+def scan(left: pa.Table, right: pa.Table, book: Codebook, rerank: int, k: int, kind: str) -> pa.Table:
+    """The ``k`` nearest of a block of the index for each query of a block: larger cosines first, ties to smaller ids."""
+    out = []
+    if len(left) and len(right):
+        order = np.argsort(right["vec_id"].to_numpy(), kind="stable")
+        ids, codes = right["vec_id"].to_numpy()[order], _unpacked(right["code"], "u1")[order]
+        along, across = right["along"].to_numpy()[order], right["across"].to_numpy()[order]
+        vectors = _unpacked(right["vector"], kind)[order]
+        queries, asked = left["query_id"].to_numpy(), matrix(left["query"].combine_chunks())
+        for a in range(0, len(queries), TABLE_QUERIES):
+            out.append(_scan(queries[a : a + TABLE_QUERIES], asked[a : a + TABLE_QUERIES], ids, codes, along, across, vectors, book, rerank, k))
+    return pa.concat_tables([FOUND.empty_table(), *out])
+
+
+#: More than the rounding of a cosine from unit vectors.
+ROUNDING = 1e-9
+
+
+def _scan(queries, asked, ids, codes, along, across, vectors, book: Codebook, rerank: int, k: int) -> pa.Table:
+    table, units = book.tables(unit_rows(asked)), unit_rows(asked)
     est = np.empty((len(queries), len(ids)), dtype=np.float32)
-    for a in range(0, len(ids), 4096):
-        part = np.zeros((min(4096, len(ids) - a), len(queries)), dtype=np.float32)
+    for a in range(0, len(ids), TILE):
+        part = np.zeros((len(ids[a : a + TILE]), len(queries)), dtype=np.float32)
         for m in range(codes.shape[1]):
-            part += table[m, codes[a : a + 4096, m]]
-        est[:, a : a + 4096] = part.T
-    for q, row in zip(queries, est, strict=True):
-        row[ids == q] = -np.inf
-        best = np.arange(len(row))
-        if len(row) > keep:
-            least = np.partition(row, len(row) - keep)[len(row) - keep]
-            above, equal = np.flatnonzero(row > least), np.flatnonzero(row == least)
-            best = np.concatenate([above, equal[: keep - len(above)]])  # ids ascend: ties to the smaller
+            part += table[m, codes[a : a + TILE, m]]
+        est[:, a : a + TILE] = part.T
+    low, high = np.searchsorted(ids, queries), np.searchsorted(ids, queries, side="right")
+    # the best of the estimates: their k-th best cosine bounds those of the k nearest from below
+    least = np.full(len(queries), -2.0)
+    for q, row in enumerate(est):
+        row[low[q] : high[q]] = -np.inf
+        best = np.argpartition(row, len(row) - rerank)[len(row) - rerank :] if len(row) > rerank else np.arange(len(row))
         best = best[row[best] > -np.inf]
-        found.append(ids[best])
-        near.append(row[best])
-    return pa.table({"query_id": queries, "ids": pa.array(found, pa.list_(pa.int64())), "near": pa.array(near, pa.list_(pa.float32()))})
-
-
-def _merge(found: pa.Table, keep: int) -> pa.Table:
-    """The best ``keep`` of a query's lists."""
-    ids = found["ids"].combine_chunks().flatten().to_numpy()
-    near = found["near"].combine_chunks().flatten().to_numpy()
-    best = ids[np.lexsort((ids, -near))[:keep]]
-    return pa.table({"query_id": np.full(len(best), found["query_id"][0].as_py()), "vec_id": best})
+        if len(best) >= k:
+            least[q] = np.partition(unit_rows(vectors[best].astype(np.float64)) @ units[q], len(best) - k)[len(best) - k] - ROUNDING
+    # all that can reach it
+    reach = np.where(least > 0, np.sqrt(np.clip(1 - least * least, 0, 1)) + 1e-6, 1.0)
+    slack = 1e-6 * (codes.shape[1] + 8)  # rounding of estimates
+    places, sides, scores = [], [], []
+    for a in range(0, len(ids), TILE):
+        here = est[:, a : a + TILE]
+        bound = np.outer(least, along[a : a + TILE]) - np.outer(reach, across[a : a + TILE]) - slack
+        side, place = np.nonzero((here >= bound) & (here > -np.inf))
+        x = unit_rows(vectors[a : a + TILE].astype(np.float64))
+        if len(side) >= DENSE * here.size:
+            score = (units @ x.T)[side, place]
+        else:
+            score = np.concatenate([np.zeros(0), *(np.einsum("ij,ij->i", units[side[b : b + 65536]], x[place[b : b + 65536]]) for b in range(0, len(side), 65536))])
+        near = score >= least[side] - ROUNDING
+        sides.append(side[near])
+        places.append(place[near] + a)
+        scores.append(score[near])
+    side, place, score = np.concatenate(sides), np.concatenate(places), np.concatenate(scores)
+    order = np.argsort(side, kind="stable")
+    place, score = place[order], score[order]
+    ends = np.cumsum(np.bincount(side, minlength=len(queries)))
+    out = []
+    for q, (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True)):
+        at = place[a:b]
+        if b - a > k:
+            at = at[score[a:b] >= np.partition(score[a:b], b - a - k)[b - a - k] - 2 * ROUNDING]
+        if len(at):
+            exact = cosine(asked[q : q + 1], vectors[at].astype(np.float64))
+            best = np.lexsort((ids[at], -exact))[:k]
+            out.append(pa.table([np.full(len(best), queries[q]), ids[at][best], exact[best]], schema=FOUND))
+    return pa.concat_tables([FOUND.empty_table(), *out])
+
+
+def cosine(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """In double precision, of vectors scaled by their largest component, which neither overflows nor vanishes."""
+    q, x = (m / np.abs(m).max(axis=1, keepdims=True) for m in (q, x))
+    return (q * x).sum(axis=1) / (np.sqrt((q * q).sum(axis=1)) * np.sqrt((x * x).sum(axis=1)))
 
 
 def search(vectors: DataFrame, queries: Column, k: int = 5, rerank: int = RERANK, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -188,27 +257,15 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, rerank: int = RERANK
     sample = sample.filter(pa.array(sample.value_lengths().to_numpy() == dim))
     book = spark.sparkContext.broadcast(Codebook(unit_rows(matrix(sample))))
     good = good.where(F.size("embedding") == dim)
-    blocks = max(INDEX_BLOCKS, -(-rows // INDEX_ROWS))
-    codes = cut(good.select("vec_id", "embedding").mapInArrow(lambda it: _encode(it, book, blocks), "vec_id long, block int, code binary"))
+    blocks = max(INDEX_BLOCKS, -(-rows * dim // INDEX_COMPONENTS))
+    kind = "f4" if isinstance(vectors.schema["embedding"].dataType, ArrayType) and isinstance(vectors.schema["embedding"].dataType.elementType, FloatType) else "f8"
+    index = cut(good.select("vec_id", "embedding").mapInArrow(lambda it: _encode(it, book, blocks, kind), INDEX))
     asked = good.where("asked").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
     parts = max(1, -(-asked.count() // QUERY_BLOCK))
     asked = asked.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int"))
-    # every query block with every block of codes: the stated queries against all rows
+    # every query block with every block of the index: the stated queries against all rows
     left = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = codes.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    found = left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInArrow(lambda a, b: scan(a, b, book.value, rerank) if len(a) and len(b) else pa.table({"query_id": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int64())), "near": pa.array([], pa.list_(pa.float32()))}), "query_id long, ids array<long>, near array<float>")
-    best = found.groupBy("query_id").applyInArrow(lambda t: _merge(t, rerank), "query_id long, vec_id long")
-    # exact scores on the original vectors
-    pairs = best.distinct().join(good.select("vec_id", "embedding"), "vec_id").join(good.where("asked").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), "query_id")
-    scored = pairs.select("query_id", "vec_id", "query", "embedding").mapInArrow(_exact, "query_id long, vec_id long, score double")
+    right = index.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    found = left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInArrow(lambda a, b: scan(a, b, book.value, rerank, k, kind), "query_id long, vec_id long, score double")
     rank = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
-
-
-def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Cosines in double precision, of vectors scaled by their largest component, which neither overflows nor vanishes."""
-    for batch in batches:
-        if len(batch):
-            q, x = (m / np.abs(m).max(axis=1, keepdims=True) for m in (matrix(batch.column(2)), matrix(batch.column(3))))
-            score = (q * x).sum(axis=1) / (np.sqrt((q * q).sum(axis=1)) * np.sqrt((x * x).sum(axis=1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score)], names=["query_id", "vec_id", "score"])
+    return found.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -421,6 +421,23 @@ def test_ann_scale(spark):
     assert [(r["rank"], r.vec_id, round(r.score, 12)) for r in sorted(got, key=lambda r: r["rank"])] == [(1, 1, round(0.5**0.5, 12)), (2, 2, round(0.2**0.5, 12)), (3, 3, 0.0)]
 
 
+@pytest.mark.parametrize("rows", ["close groups", "far from the origin", "one direction twice"])
+def test_ann_finds_all_nearest(spark, rows):
+    rng = np.random.default_rng(4)
+    n, d = 4000, 23
+    x = {"close groups": lambda: rng.normal(size=(3, d))[rng.integers(0, 3, n)] + 0.001 * rng.normal(size=(n, d)), "far from the origin": lambda: 20 + rng.normal(size=(n, d)), "one direction twice": lambda: np.where(rng.random((n, 1)) < 0.5, rng.normal(size=(1, d)), -rng.normal(size=(n, d)))}[rows]()
+    ids = rng.permutation(n) * 12  # all alike by a small remainder
+    df = spark.createDataFrame([(int(k), v.tolist()) for k, v in zip(ids, x)], "vec_id long, embedding array<double>")
+    got = ann.search(df, F.col("vec_id") % 600 == 0).collect()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for q in np.flatnonzero(ids % 600 == 0):
+        near = (unit @ unit[q]).round(11)
+        near[q] = -9
+        best = ids[np.lexsort((ids, -near))[:5]].tolist()
+        mine = sorted((r for r in got if r.query_id == ids[q]), key=lambda r: r["rank"])
+        assert [r.vec_id for r in mine] == best and [r["rank"] for r in mine] == [1, 2, 3, 4, 5]
+
+
 def toxic_corpus(n=400, seed=9):
     rng = np.random.default_rng(seed)
     vocab = [f"{a}{b}{c}" for a in "bcdfg" for b in "aeiou" for c in ("n", "r", "st", "ll")]
