@@ -248,3 +248,34 @@ def test_betweenness_query_takes_all_edges(spark, tmp_path):
     want = {v: sum(ways[s, v] * ways[v, t] / ways[s, t] for s, t in far if v not in (s, t) and far.get((s, v), 99) + far.get((v, t), 99) == far[s, t]) for v in nodes}
     got = {r.id: r.betweenness for r in queries.betweenness_small(spark, str(tmp_path)).collect()}
     assert got == pytest.approx(want, abs=1e-6) and max(want.values()) > 0
+
+
+def test_betweenness_leaves_most_edges_alone(monkeypatch):
+    # two random components of which most nodes are two steps away: a source used to go over all edges of its own
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    n, m = 3000, 360_000
+    o = rng.integers(0, 2 * n, 2 * m)
+    e = np.unique(o * 2 * n + (o + 2 * rng.integers(0, n, 2 * m)) % (2 * n))  # even and odd nodes stay apart
+    o, d = e // (2 * n), e % (2 * n)
+    o, d = o[o != d], d[o != d].astype(np.int32)
+    starts = np.concatenate([[0], np.cumsum(np.bincount(o, minlength=2 * n))])
+    monkeypatch.setattr(graph, "TOGETHER", 50_000)
+    net = graph.Network(d, starts)
+    assert (net.order[:n] % 2 == 0).all() and (net.order[n:] % 2 == 1).all() and net.to.dtype == np.uint16
+    seen, joined = [], graph._joined
+    monkeypatch.setattr(graph, "_joined", lambda *a: (seen.append(len(got := joined(*a))), got)[1])
+
+    def run(back):
+        net.back = back
+        total, fresh, mark = np.zeros(2 * n), np.ones(2 * n, dtype=bool), np.zeros(2 * n, dtype=np.int64)
+        seen.clear()
+        net.add(np.array([7, 4000]), total, fresh, mark)
+        assert fresh.all()
+        return total, sum(seen)
+
+    got, few = run(net.back)
+    want, all_edges = run(None)
+    assert got == pytest.approx(want) and want.max() > 1
+    assert all_edges > 0.9 * len(d) and few < 0.2 * len(d)
