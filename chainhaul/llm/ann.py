@@ -181,6 +181,8 @@ def scan(left: pa.Table, right: pa.Table, book: Codebook, rerank: int, k: int, k
     return pa.concat_tables([FOUND.empty_table(), *out])
 
 
+#: Pairs that a scan holds before it takes the nearest of them.
+FINALISTS = 1 << 20
 #: More than the rounding of a cosine from unit vectors.
 ROUNDING = 1e-9
 
@@ -205,25 +207,30 @@ def _scan(queries, asked, ids, codes, along, across, vectors, book: Codebook, re
     # all that can reach it
     reach = np.where(least > 0, np.sqrt(np.clip(1 - least * least, 0, 1)) + 1e-6, 1.0)
     slack = 1e-6 * (codes.shape[1] + 8)  # rounding of estimates
-    places, sides, scores = [], [], []
+    side, place, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     for a in range(0, len(ids), TILE):
         here = est[:, a : a + TILE]
         bound = np.outer(least, along[a : a + TILE]) - np.outer(reach, across[a : a + TILE]) - slack
-        side, place = np.nonzero((here >= bound) & (here > -np.inf))
+        q, r = np.nonzero((here >= bound) & (here > -np.inf))
         x = unit_rows(vectors[a : a + TILE].astype(np.float64))
-        if len(side) >= DENSE * here.size:
-            score = (units @ x.T)[side, place]
+        if len(q) >= DENSE * here.size:
+            cos = (units @ x.T)[q, r]
         else:
-            score = np.concatenate([np.zeros(0), *(np.einsum("ij,ij->i", units[side[b : b + 65536]], x[place[b : b + 65536]]) for b in range(0, len(side), 65536))])
-        near = score >= least[side] - ROUNDING
-        sides.append(side[near])
-        places.append(place[near] + a)
-        scores.append(score[near])
-    side, place, score = np.concatenate(sides), np.concatenate(places), np.concatenate(scores)
+            cos = np.concatenate([np.zeros(0), *(np.einsum("ij,ij->i", units[q[b : b + 65536]], x[r[b : b + 65536]]) for b in range(0, len(q), 65536))])
+        near = cos >= least[q] - ROUNDING
+        side, place, score = np.append(side, q[near]), np.append(place, r[near] + a), np.append(score, cos[near])
+        if len(side) > FINALISTS:  # large groups of copies
+            side, place, score = _first(side, place, score, asked, ids, vectors, k)
+    side, place, score = _first(side, place, score, asked, ids, vectors, k)
+    return pa.table([queries[side], ids[place], score], schema=FOUND)
+
+
+def _first(side, place, score, asked, ids, vectors, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each query's ``k`` nearest of the pairs (side: query, place: vector), with exact scores; the given ones only rule out."""
     order = np.argsort(side, kind="stable")
     place, score = place[order], score[order]
-    ends = np.cumsum(np.bincount(side, minlength=len(queries)))
-    out = []
+    ends = np.cumsum(np.bincount(side, minlength=len(asked)))
+    sides, places, scores = [side[:0]], [place[:0]], [score[:0]]
     for q, (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True)):
         at = place[a:b]
         if b - a > k:
@@ -231,8 +238,10 @@ def _scan(queries, asked, ids, codes, along, across, vectors, book: Codebook, re
         if len(at):
             exact = cosine(asked[q : q + 1], vectors[at].astype(np.float64))
             best = np.lexsort((ids[at], -exact))[:k]
-            out.append(pa.table([np.full(len(best), queries[q]), ids[at][best], exact[best]], schema=FOUND))
-    return pa.concat_tables([FOUND.empty_table(), *out])
+            sides.append(np.full(len(best), q))
+            places.append(at[best])
+            scores.append(exact[best])
+    return np.concatenate(sides), np.concatenate(places), np.concatenate(scores)
 
 
 def cosine(q: np.ndarray, x: np.ndarray) -> np.ndarray:

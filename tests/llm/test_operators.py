@@ -438,6 +438,25 @@ def test_ann_finds_all_nearest(spark, rows):
         assert [r.vec_id for r in mine] == best and [r["rank"] for r in mine] == [1, 2, 3, 4, 5]
 
 
+def test_ann_large_groups_of_copies(monkeypatch):
+    rng = np.random.default_rng(6)
+    x = np.concatenate([np.tile(rng.normal(size=16), (3000, 1)), rng.normal(size=(6000, 16))])[rng.permutation(9000)]
+    book = ann.Codebook(ann.unit_rows(x))
+    codes, along, across = book.encode(ann.unit_rows(x))
+    asked = np.arange(0, 9000, 90)
+    unit = ann.unit_rows(x)
+    want = []
+    for q in asked:
+        near = (unit @ unit[q]).round(12)
+        near[q] = -9
+        want += [(int(q), int(v)) for v in np.lexsort((np.arange(9000), -near))[:5]]
+    monkeypatch.setattr(ann, "TILE", 512)
+    for most in (1 << 20, 100):  # the second takes the nearest again and again
+        monkeypatch.setattr(ann, "FINALISTS", most)
+        got = ann._scan(asked, x[asked], np.arange(9000), codes, along.astype(np.float32), across.astype(np.float32), x, book, 300, 5)
+        assert list(zip(got["query_id"].to_pylist(), got["vec_id"].to_pylist())) == want
+
+
 def toxic_corpus(n=400, seed=9):
     rng = np.random.default_rng(seed)
     vocab = [f"{a}{b}{c}" for a in "bcdfg" for b in "aeiou" for c in ("n", "r", "st", "ll")]
